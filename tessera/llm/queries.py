@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sharding
+from . import decontaminate, line_dedup, secrets, sharding
 from .common import table
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 32 << 20
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind_no"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("bigint")
+    return out.select(F.col("key").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), count(3).alias("n_random"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -27,6 +34,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "n_bytes", "depth", "shard", "overflow", "shard_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op6_decontaminate, op7_line_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op6_decontaminate, op7_line_dedup, op9_sharding)}
 
 ORACLES = {"op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
