@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, secrets, sharding
+from . import decontaminate, line_dedup, minhash, secrets, sharding
 from .common import table
 
 #: Bytes of text in a shard at most.
@@ -34,6 +34,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "n_bytes", "depth", "shard", "overflow", "shard_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op6_decontaminate, op7_line_dedup, op9_sharding)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
-ORACLES = {"op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op6_decontaminate, op7_line_dedup, op9_sharding, op10_minhash)}
+
+ORACLES = {"op10_minhash": minhash.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
