@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, quality, rp_forest, secrets, sharding, token_counts
+from . import decontaminate, line_dedup, minhash, pieces, quality, rp_forest, secrets, sharding, token_counts
 from .common import table
 
 #: Bytes of text in a shard at most.
@@ -42,6 +42,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_before", "lines_removed", F.sha2(F.coalesce(F.array_join(units, "\n"), F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "n_bytes", "depth", "shard", "overflow", "shard_bytes")
 
@@ -51,6 +56,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op9_sharding, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash)}
 
 ORACLES = {"op10_minhash": minhash.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
