@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, pieces, quality, rp_forest, secrets, sharding, token_counts
+from . import decontaminate, line_dedup, minhash, pieces, quality, repeats, rp_forest, secrets, sharding, token_counts
 from .common import table
 
 #: Bytes of text in a shard at most.
@@ -23,6 +23,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), count(3).alias("n_random"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("key", "doc_id")
 
@@ -56,6 +61,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op3_repeats, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash)}
 
 ORACLES = {"op10_minhash": minhash.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
