@@ -112,16 +112,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     add = ("n_words", "n_hit", "items", "contaminated")
     found = contamination(docs, items, key, text, item_key, item_text, size, gram).select(*[F.col(c).alias(P + c) for c in ("key", "t", "n_hit", "items")])
     n = F.size(F.filter(F.split(F.col(f"`{text}`"), APART_ANY_CASE, -1), lambda x: x != ""))
-    joined = docs.withColumn(f"{P}own", F.xxhash64(f"`{text}`")).join(found, F.col(f"`{key}`").eqNullSafe(F.col(f"{P}key")) & (F.col(f"{P}own") == F.col(f"{P}t")), "left")
+    # counted before the join, so that a caller who doesn't take the text doesn't shuffle it either
+    counted = docs.withColumn(f"{P}n", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint")).withColumn(f"{P}own", F.xxhash64(f"`{text}`"))
+    joined = counted.join(found, F.col(f"`{key}`").eqNullSafe(F.col(f"{P}key")) & (F.col(f"{P}own") == F.col(f"{P}t")), "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in add],
-        F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.col(f"{P}n").alias("n_words"),
         F.coalesce(F.col(f"{P}n_hit"), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.col(f"{P}items"), F.array().cast("array<string>")).alias("items"),
         F.col(f"{P}n_hit").isNotNull().alias("contaminated"),
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = 10, gram: int = 5, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` without a hit."""
+    hits = benchmark_hits(docs, items, key, text, item_key, item_text, size, gram)
+    found = staged(hits.select(F.col("key").alias(f"{P}key"), F.col("t").alias(f"{P}t")).distinct())
+    same = F.col(f"`{key}`").eqNullSafe(F.col(f"{P}key")) & (F.xxhash64(f"`{text}`") == F.col(f"{P}t"))
+    return docs.join(small_or_shuffled(found, found.count(), broadcast_rows), same, "left_anti")
+
+
 #: Whole documents against the whole benchmark, windows of 10 words.
 SQL = r"""
 with dw as (

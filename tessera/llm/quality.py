@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_or_shuffled, staged
 
 FEATURES, CELLS, SEED = 384, 512, 7
 RIDGE, WIDTH = 1e-3, 4.0
@@ -194,3 +194,23 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     scored = x.mapInArrow(run, f"key {kind}, score double")
     return scored.select("key", held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more; each row is judged by its own text, and texts aren't shuffled
+    while the labelled keys are few enough to broadcast."""
+    known = staged(labels.where(F.col(f"`{label}`").isNotNull() & ~held_out(F.col(f"`{label_key}`"))).groupBy(F.col(f"`{label_key}`").alias("key")).agg(F.avg(f"`{label}`").alias("label")))
+    some = small_or_shuffled(known, known.count(), broadcast_rows)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    score = fit(measured(rows.join(some.select("key"), "key", "left_semi"), "key", "text").join(some, "key").select("x", "label"))
+    if score is None:
+        return docs if threshold <= 0.5 else docs.limit(0)
+    at = docs.columns.index(text)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                s = score(np.array([statistics(t or "") for t in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
