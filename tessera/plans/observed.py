@@ -50,9 +50,9 @@ def gate(s, d):
     return S.quality_gate(rows, 10.0, 0.92, 0.6, 2000.0)
 
 
-@query("o4_quality_gate", f"with {GATE} select k, i, t, array_to_string(reasons, ',') as reasons, len(reasons) = 0 as passed, round(score, 8) as score from q")
+@query("o4_quality_gate", f"with {GATE} select k, i, t, array_to_string(reasons, ',') as reasons, len(reasons) = 0 as passed, round(score, 10) as score from q")
 def o4(s, d):
-    return gate(s, d).select("k", "i", "t", F.array_join("reasons", ",").alias("reasons"), "passed", F.round("gate_score", 8).alias("score"))
+    return gate(s, d).select("k", "i", "t", F.array_join("reasons", ",").alias("reasons"), "passed", F.round("gate_score", 10).alias("score"))
 
 
 @query("o5_rank_detections", f"with {GATE} select k, i, t from (select *, row_number() over (partition by k order by round(score, 9) desc, i, t) as rn from q) where rn = 1")
@@ -122,7 +122,7 @@ def o16(s, d):
     return S.assign_pids(e, "video", "entity", "seen", F.col("entity") % 4 != 0).select("video", "entity", "pid")
 
 
-@query("o17_sample_points", sql("with r as (select video_id, min(start_s) as a, max(end_s) as b from segments group by 1), g as (select video_id, unnest(range(ceil(a)::bigint, floor(b)::bigint + 1))::double as "at", false as forced from r union all select video_id, start_s, true from segments) select video_id, "at", bool_or(forced) as forced from g group by all", "segments"))
+@query("o17_sample_points", sql("with r as (select video_id, min(start_s) as a, max(end_s) as b from segments group by 1), g as (select video_id, unnest(range(ceil(a)::bigint, floor(b)::bigint + 1))::double as \"at\", false as forced from r union all select video_id, start_s, true from segments) select video_id, \"at\", bool_or(forced) as forced from g group by all", "segments"))
 def o17(s, d):
     seg = view(s, d, "segments")
     return S.sample_points(seg.groupBy("video_id").agg(F.min("start_s").alias("a"), F.max("end_s").alias("b")), "video_id", "a", "b", seg.select("video_id", F.col("start_s").alias("at")))
