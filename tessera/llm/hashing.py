@@ -71,13 +71,14 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def batches(texts: list[bytes], most: int = 1 << 20):
+def batches(texts, most: int = 1 << 20, length=len):
     """Slices of ``texts`` of about ``most`` bytes each."""
-    a = size = 0
+    a = size = i = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+        n = length(t) + 1
+        if size and size + n > most:
             yield slice(a, i)
             a, size = i, 0
-        size += len(t) + 1
+        size += n
     if size:
-        yield slice(a, len(texts))
+        yield slice(a, i + 1)
