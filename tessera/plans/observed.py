@@ -50,9 +50,9 @@ def gate(s, d):
     return S.quality_gate(rows, 10.0, 0.92, 0.6, 2000.0)
 
 
-@query("o4_quality_gate", f"with {GATE} select k, i, t, array_to_string(reasons, ',') as reasons, len(reasons) = 0 as passed, round(score, 10) as score from q")
+@query("o4_quality_gate", f"with {GATE} select k, i, t, array_to_string(reasons, ',') as reasons, len(reasons) = 0 as passed, round(score, 12) as score from q")
 def o4(s, d):
-    return gate(s, d).select("k", "i", "t", F.array_join("reasons", ",").alias("reasons"), "passed", F.round("gate_score", 10).alias("score"))
+    return gate(s, d).select("k", "i", "t", F.array_join("reasons", ",").alias("reasons"), "passed", F.round("gate_score", 12).alias("score"))
 
 
 @query("o5_rank_detections", f"with {GATE} select k, i, t from (select *, row_number() over (partition by k order by round(score, 9) desc, i, t) as rn from q) where rn = 1")
