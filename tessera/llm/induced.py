@@ -21,14 +21,14 @@ from .hashing import BASE, INVERSE, U, powers
 
 #: Names that are sorted at once, which ends the recursion.
 DIRECT = 1 << 21
-MAPPED = 64 << 20
+MAPPED = 32 << 20
 
 
 class Queues:
     """First in, first out by character; the rows are (position, shared)."""
 
     def __init__(self, folder: str, memory: int):
-        self.folder, self.memory, self.used = folder, memory, 0
+        self.folder, self.memory, self.used = tempfile.mkdtemp(dir=folder), memory, 0
         self.held: dict[int, list[np.ndarray]] = {}
         self.files: dict[int, str] = {}
 
@@ -37,7 +37,7 @@ class Queues:
         self.used += rows.nbytes
         if self.used > self.memory:
             for k, parts in self.held.items():
-                self.files.setdefault(k, os.path.join(self.folder, f"{id(self)}-{k}"))
+                self.files.setdefault(k, os.path.join(self.folder, str(k)))
                 with open(self.files[k], "ab") as f:
                     for p in parts:
                         f.write(p.tobytes())
@@ -57,15 +57,37 @@ class Queues:
     def has(self, c: int) -> bool:
         return c in self.held or c in self.files
 
+    def all(self, c: int) -> np.ndarray:
+        """The rows of ``c`` in one array; they stay."""
+        parts = list(self.held.get(c, ()))
+        if name := self.files.get(c):
+            parts.insert(0, np.fromfile(name, np.int64).reshape(-1, 2))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+
+
+def room(folder: str, name: str, n: int, kind: type) -> np.ndarray:
+    """An array of n items, in a mapped file if it is large."""
+    if n * np.dtype(kind).itemsize <= MAPPED:
+        return np.empty(n, kind)
+    return np.memmap(os.path.join(tempfile.mkdtemp(dir=folder), name), kind, "w+", shape=(n,))
+
 
 class Hashes:
-    """Prefix sums from which equality of any two stretches of a text is told."""
+    """Prefix sums from which equality of any two stretches of a text is told; worked out a block at a time."""
 
-    def __init__(self, t: np.ndarray):
+    def __init__(self, t: np.ndarray, folder: str, block: int = 1 << 20):
         self.n = len(t)
+        self.sums, self.back = room(folder, "sums", self.n + 1, np.uint64), room(folder, "back", self.n + 1, np.uint64)
+        self.sums[0] = 0
+        base, back = powers(BASE, block + 1), powers(INVERSE, block + 1)
+        up = down = U(1)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, U), np.cumsum((t.astype(U) + U(7)) * powers(BASE, len(t)))))
-        self.back = powers(INVERSE, len(t) + 1)
+            for i in range(0, self.n + 1, block):
+                part = t[i : i + block]
+                self.sums[i + 1 : i + 1 + len(part)] = self.sums[i] + np.cumsum((part.astype(U) + U(7)) * (base[: len(part)] * up))
+                m = min(block, self.n + 1 - i)
+                self.back[i : i + m] = back[:m] * down
+                up, down = up * base[block], down * back[block]
 
     def same(self, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -91,14 +113,14 @@ def smaller(t: np.ndarray) -> np.ndarray:
     return d[np.minimum.accumulate(where[::-1])[::-1]] > 0
 
 
-def _scan(t, kind, seeds: dict[int, np.ndarray], order: list[int], up: bool, folder: str, memory: int, joint) -> dict[int, list[np.ndarray]]:
-    """One scan. up: induce the larger suffixes in ascending order, ``seeds`` being S*; else the smaller ones in
-    descending order, ``seeds`` being the larger ones. Returns each character's rows in the order of the scan.
+def _scan(t, kind, seeds, order: list[int], up: bool, folder: str, memory: int, joint) -> Queues:
+    """One scan. up: induce the larger suffixes in ascending order, ``seeds(c)`` being the S* of a character; else the smaller ones in
+    descending order, ``seeds(c)`` being the larger ones. Returns each character's rows in the order of the scan.
 
     ``joint`` gives the shared prefix of two suffixes of one character, one induced and the other a seed; None: no
     shared prefixes are wanted.
     """
-    queues, out = Queues(folder, memory), {}
+    queues, out = Queues(folder, memory), Queues(folder, memory)
     far = 1 << 40
     since = dict.fromkeys(order, far) if joint else None
 
@@ -144,16 +166,17 @@ def _scan(t, kind, seeds: dict[int, np.ndarray], order: list[int], up: bool, fol
         if joint:
             since[last] = 0
     for c in order if up else order[::-1]:
-        done = out[c] = []
+        last = None
         while queues.has(c):
             for rows in list(queues.take(c)):
-                done.append(rows)
+                out.put(c, rows)
                 block(c, rows)
-        own = seeds.get(c)
+                last = int(rows[-1, 0])
+        own = seeds(c)
         if own is not None and len(own):
             if joint:
                 own = own.copy()
-                own[0, 1] = joint(done[-1][-1, 0], own[0, 0]) if done else 0
+                own[0, 1] = joint(last, own[0, 0]) if last is not None else 0
             for i in range(0, len(own), 1 << 20):
                 block(c, own[i : i + (1 << 20)])
     return out
@@ -190,25 +213,23 @@ def _order(t: np.ndarray, folder: str, memory: int, most: int):
     kind = smaller(t)
     star = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
     order = np.unique(t).tolist()
-    hashes = Hashes(t)
+    hashes = Hashes(t, folder)
     if len(star) > 1:
-        # 1: by the piece up to the next S*, induced from S* in any order of equal first characters
+        # by the piece up to the next S*, induced from S* in any order of equal first characters
         by_first = star[np.argsort(t[star], kind="stable")]
-        up = _scan(t, kind, _split(t, _rows(by_first)), order, True, folder, memory, None)
-        down = _scan(t, kind, _down_seeds(up), order, False, folder, memory, None)
+        up = _scan(t, kind, _split(t, _rows(by_first)).get, order, True, folder, memory, None)
+        down = _scan(t, kind, _turned(up), order, False, folder, memory, None)
         is_star = np.zeros(len(t), bool)
         is_star[star] = True
-        got = np.concatenate([p[:, 0] for c in order for p in [*down[c]][::-1] for p in [p[::-1]]])
-        got = got[is_star[got]]
-        length = np.empty(len(t), np.int64)
-        length[star] = np.append(np.diff(star) + 1, len(t) - star[-1])
-        m = length[got]
+        got = np.concatenate([x[is_star[x]] for c in order for x in [down.all(c)[::-1, 0]]])
+        at = np.searchsorted(star, got)
+        length = np.append(np.diff(star) + 1, len(t) - star[-1])
+        m = length[at]
         new = ~((m[1:] == m[:-1]) & hashes.same(got[1:], got[:-1], np.minimum(m[1:], m[:-1])))
         # the last piece ends with the text and equals no other
         new |= (got[1:] == star[-1]) | (got[:-1] == star[-1])
-        names = np.empty(len(t), np.int64)
-        names[got] = np.concatenate(([0], np.cumsum(new)))
-        reduced = names[star]
+        reduced = np.empty(len(star), np.int64)
+        reduced[at] = np.concatenate(([0], np.cumsum(new)))
         if new.all():
             sorted_star = got
         elif len(reduced) <= DIRECT:
@@ -223,40 +244,37 @@ def _order(t: np.ndarray, folder: str, memory: int, most: int):
         joint = lambda a, b: int(hashes.shared(np.array([a]), np.array([b]), most)[0])
     else:
         rows, joint = _rows(sorted_star), None
-    up = _scan(t, kind, _split(t, rows), order, True, folder, memory, joint)
-    down = _scan(t, kind, _down_seeds(up), order, False, folder, memory, joint)
+    up = _scan(t, kind, _split(t, rows).get, order, True, folder, memory, joint)
+    down = _scan(t, kind, _turned(up), order, False, folder, memory, joint)
     for c in order:
-        last = None
-        for p in up[c]:
-            if len(p):
-                yield p
-                last = p[-1, 0]
-        smalls = [p for p in down[c] if len(p)]
-        if smalls:
+        larger, less = up.all(c), down.all(c)[::-1]
+        if len(larger):
+            yield larger
+        if len(less):
             # in descending order a row shares with the one above it; turned round, with the one before
-            rows = np.concatenate(smalls)[::-1]
-            shared = np.concatenate(([0], rows[:-1, 1]))
-            if joint and last is not None:
-                shared[0] = joint(last, rows[0, 0])
-            yield _rows(rows[:, 0], shared)
-
-
-def _down_seeds(up: dict[int, list[np.ndarray]]) -> dict[int, np.ndarray]:
-    out = {}
-    for c, parts in up.items():
-        if parts:
-            rows = np.concatenate(parts)[::-1]
-            out[c] = _rows(rows[:, 0], np.concatenate(([0], rows[:-1, 1])))
-    return out
+            shared = np.concatenate(([0], less[:-1, 1]))
+            if joint and len(larger):
+                shared[0] = joint(larger[-1, 0], less[0, 0])
+            yield _rows(less[:, 0], shared)
+
+
+def _turned(up: Queues):
+    """The rows of a character in descending order, as seeds of the second scan."""
+
+    def seeds(c: int) -> np.ndarray:
+        rows = up.all(c)[::-1]
+        return _rows(rows[:, 0], np.concatenate(([0], rows[:-1, 1]))) if len(rows) else rows
+
+    return seeds
 
 
-def repeated(strings: list[bytes], size: int, memory: int = 256 << 20) -> list[np.ndarray]:
+def repeated(strings: list[bytes], size: int, memory: int = 48 << 20) -> list[np.ndarray]:
     """For each string the starts of its stretches of ``size`` bytes that also start elsewhere in the strings."""
     lengths = np.array([len(s) for s in strings])
     first = np.concatenate(([0], np.cumsum(lengths + 1)))
     with tempfile.TemporaryDirectory(prefix="tessera-") as folder:
         n = int(first[-1])
-        t = np.memmap(os.path.join(folder, "text"), np.uint16, "w+", shape=(n,)) if 2 * n > MAPPED else np.empty(n, np.uint16)
+        t = room(folder, "text", n, np.uint16)
         for a, s in zip(first, strings):
             t[a : a + len(s)] = np.frombuffer(s, np.uint8)
             t[a : a + len(s)] += 1

@@ -32,7 +32,7 @@ from .common import small_or_shuffled, staged
 from .hashing import BASE, INVERSE, U, batches, mix, powers
 from .induced import repeated
 
-SIZE, SHARD = 400, 8 << 20
+SIZE, SHARD = 400, 1 << 20
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
