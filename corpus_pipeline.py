@@ -36,8 +36,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Document ids with their pieces, and whether these decode to the text."""
-    out = pieces.decode(pieces.encode(docs.select("doc_id", "text")))
-    return out.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    out = pieces.encode(docs.select("doc_id", "text"), check="lossless")
+    return out.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
 
 
 STAGES = [

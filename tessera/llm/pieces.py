@@ -13,14 +13,13 @@ makes decoding lossless for any text.
 
 Nulls and edges: a null text gives null ids and null back; an empty text gives no pieces; a null key counts as the text
 'null'; rows equal in key and text get the same segmentation. A lone surrogate can't be in a Spark string. A very long
-text is encoded whole, chunk by chunk. Other columns are kept by ``encode`` and ``decode``; a column that has the name
+text is encoded whole, chunk by chunk, and a run of more than LONGEST characters without a space in parts. Other columns are kept by ``encode`` and ``decode``; a column that has the name
 of the result is replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +28,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import U, batches, mix
+from .hashing import BASE, U, batches, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks whose lattice a worker keeps, and the characters of a chunk beyond which it isn't kept.
-KEPT, SHORT = 150_000, 48
 OFFSET, SHARPNESS, SEED = 2.7, 1.0, 1
 SPACE = "▁"
-CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: A run of more than so many spaces or other characters is cut; the cut bounds the lattice, not the text.
+LONGEST = 512
+CHUNK = re.compile(f"{SPACE}{{1,{LONGEST}}}[^{SPACE}]{{0,{LONGEST}}}|[^{SPACE}]{{1,{LONGEST}}}")
 #: Stands for a ▁ of the text itself while chunks are cut: a lone surrogate, which no text can hold.
 OWN = chr(0xD800)
 BYTES_OF = 1 << 24
+SLOTS = 20
+
+
+class Pieces:
+    """Pieces by the hash of their characters, for many lookups at once: slot tables of which each piece is in one."""
+
+    def __init__(self, ids: dict[str, int], weight: dict[str, float]):
+        self.key = np.array([self.hash(p) for p in ids], U)
+        self.id = np.array(list(ids.values()), np.int64)
+        self.weight = np.array([weight[p] for p in ids])
+        self.tables: list[tuple[U, np.ndarray]] = []
+        left, k = np.arange(len(self.key)), 0
+        while len(left):
+            k += 1
+            times = mix(np.array([k], U))[0] | U(1)
+            with np.errstate(over="ignore"):
+                slot = (self.key[left] * times) >> U(64 - SLOTS)
+            _, first = np.unique(slot, return_index=True)
+            table = np.full(1 << SLOTS, -1, np.int32)
+            table[slot[first]] = left[first]
+            self.tables.append((times, table))
+            left = np.delete(left, first)
+
+    @staticmethod
+    def hash(piece: str) -> int:
+        h = 0
+        for i, c in enumerate(piece):
+            h += (ord(c) + 1) * pow(BASE, i, 1 << 64)
+        return h & ((1 << 64) - 1)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(at, piece): which of the hashes are of pieces, and of which; later tables are asked only where a slot is taken by another."""
+        where, found = [], []
+        at = np.arange(len(h))
+        for times, table in self.tables:
+            with np.errstate(over="ignore"):
+                got = table[(h * times) >> U(64 - SLOTS)]
+            full = np.flatnonzero(got >= 0)
+            got, at, h = got[full], at[full], h[full]
+            hit = self.key[got] == h
+            where.append(at[hit]), found.append(got[hit])
+            at, h = at[~hit], h[~hit]
+        return np.concatenate(where), np.concatenate(found)
 
 
 class Lattice:
@@ -68,41 +110,58 @@ class Lattice:
         self.weight = {p: (i, (i - first + 1 + OFFSET) ** -sharpness) for p, i in ids.items()}
         self.rare = (n + OFFSET) ** -sharpness
         self.longest = max(map(len, ids))
-        self.kept: dict[str, tuple] = {}
-
-    def chunk(self, c: str) -> tuple[int, array, array, array]:
-        """Number of characters; for each way to end at each character: node + cumulative chance, node before, piece."""
-        if (got := self.kept.get(c)) is not None:
-            return got
-        n, longest, find = len(c), self.longest, self.weight.get
-        forward, cum, back, ids = [1.0], [], [], []
-        for j in range(1, n + 1):
-            total, first = 0.0, len(cum)
-            for i in range(j - longest if j > longest else 0, j):
-                e = find(c[i:j])
-                if e is not None:
-                    total += forward[i] * e[1]
-                    cum.append(total)
-                    back.append(i)
-                    ids.append(e[0])
-            if c[j - 1] not in self.weight:
-                own = c[j - 1] if c[j - 1] != OWN else SPACE
-                total += forward[j - 1] * self.rare ** len(own.encode())
-                cum.append(total)
-                back.append(j - 1)
-                ids.append(BYTES_OF + ord(own))
-            for k in range(first, len(cum) - 1):
-                cum[k] = j + cum[k] / total
-            cum[-1] = j + 1 - 1e-9
-            forward.append(total)
-            if total < 1e-150:  # far into a long chunk: only the ratios of the last sums are used again
-                forward[-longest:] = [x * 1e150 for x in forward[-longest:]]
-        out = (n, array("d", cum), array("q", back), array("q", ids))
-        if n <= SHORT:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[c] = out
-        return out
+        self.pieces = Pieces(ids, {p: w for p, (_, w) in self.weight.items()})
+
+    def chances(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rank of each chunk by length, its number of characters, and the first node of each place; for each node (a place
+        of a chunk: first node of the place + rank) and length of the last piece, the cumulative chance and the piece.
+
+        Nodes lie place by place, longer chunks first, so that the forward sums of all chunks are whole slices."""
+        x = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        by = np.argsort(-size, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        start, longest = (np.cumsum(size) - size)[by], int(size.max())
+        many = np.searchsorted(-size[by], -np.arange(longest + 1), side="right")
+        many[0] = len(by)
+        base = np.cumsum(many) - many
+        width = self.longest
+        cum, ids = np.full((int(many.sum()), width), np.float32(2.0)), np.zeros((int(many.sum()), width), np.int32)
+        codes, f = [], [np.ones(len(by))]
+        for j in range(1, longest + 1):
+            n, most = int(many[j]), min(width, j)
+            codes.append(x[start[:n] + (j - 1)].astype(U))
+            w, h = np.zeros((most, n)), np.zeros(n, U)
+            mine = ids[base[j] : base[j] + n]
+            for m in range(1, most + 1):
+                with np.errstate(over="ignore"):
+                    h = h * U(BASE) + (codes[j - m][:n] + U(1))
+                at, got = self.pieces.find(h)
+                w[m - 1, at] = self.pieces.weight[got]
+                mine[at, m - 1] = self.pieces.id[got]
+            bare = np.flatnonzero(w[0] == 0)
+            if len(bare):
+                own = codes[-1][bare].astype(np.int64)
+                own[own == ord(OWN)] = ord(SPACE)
+                w[0, bare] = self.rare ** (1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF))
+                mine[bare, 0] = BYTES_OF + own
+            for m in range(1, most + 1):
+                w[m - 1] *= f[j - m][:n]
+            np.cumsum(w, axis=0, out=w)
+            total = w[-1].copy()
+            w /= total
+            w[w >= 1 - 1e-7] = 2.0
+            cum[base[j] : base[j] + n, :most] = w.T
+            small = np.flatnonzero(total < 1e-150)
+            if len(small):  # far into long chunks: only the ratios of the last sums are used again
+                total[small] *= 1e150
+                for m in range(1, min(width, j) + 1):
+                    f[j - m][small] *= 1e150
+            f.append(total)
+            if j > width:
+                f[j - width - 1] = codes[j - width - 1] = None
+        return rank, size, base, cum, ids
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts one after another, and where each text's end."""
@@ -114,35 +173,25 @@ class Lattice:
             of_text.append(len(chunks))
         if not at:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        size, cum, back, ids, starts = [], array("d"), array("q"), array("q"), []
-        base = 0
-        each = []
-        for c in number:
-            n, a, b, p = self.chunk(c)
-            size.append(n), starts.append(base), each.append(len(a))
-            cum.extend(a), back.extend(b), ids.extend(p)
-            base += n + 1
-        starts, size, each = np.array(starts), np.array(size), np.array(each)
-        shift = np.repeat(starts, each)
-        cum, back, ids = np.frombuffer(cum) + shift, np.frombuffer(back, np.int64) + shift, np.frombuffer(ids, np.int64)
-        at = np.array(at)
-        of_text = np.array(of_text)
+        rank, size, base, cum, ids = self.chances(list(number))
+        at, of_text = np.array(at), np.array(of_text)
         ends = np.cumsum(of_text)
         row = np.repeat(np.arange(len(texts)), of_text)
         with np.errstate(over="ignore"):
             seed = mix(keys[row] + (np.arange(len(at)) - (ends - of_text)[row]).astype(U) * U(0x9E3779B97F4A7C15))
-        left, node, goal = np.arange(len(at)), starts[at] + size[at], starts[at]
+        left, place, rank = np.arange(len(at)), size[at], rank[at]
         who, what, steps = [], [], np.zeros(len(at), np.int64)
         step = 0
         while len(left):
             with np.errstate(over="ignore"):
-                u = (mix(seed[left] + U(step) * U(0xD1B54A32D192ED03)) >> U(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(cum, node + np.minimum(u, 1 - 2e-9), side="right")
-            who.append(left), what.append(ids[edge])
+                u = (mix(seed[left] + U(step) * U(0xD1B54A32D192ED03)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+            node = base[place] + rank
+            m = np.argmax(cum[node] > u[:, None], axis=1)
+            who.append(left.astype(np.int32)), what.append(ids[node, m])
             steps[left] += 1
-            node = back[edge]
-            more = node != goal[left]
-            left, node = left[more], node[more]
+            place = place - m - 1
+            more = place > 0
+            left, place, rank = left[more], place[more], rank[more]
             step += 1
         stop = np.cumsum(steps)
         out = np.empty(stop[-1], np.int64)
@@ -156,8 +205,8 @@ class Lattice:
             width = np.ones(len(out), np.int64)
             width[wide] = more
             full = np.repeat(out, width)
-            first = np.cumsum(width)[wide] - more
-            for i, r in zip(first, runs):
+            start = np.cumsum(width)[wide] - more
+            for i, r in zip(start, runs):
                 full[i : i + len(r)] = r
             ends_at = np.concatenate(([0], np.cumsum(width)))[ends_at]
             out = full
@@ -184,27 +233,29 @@ def _sent(df: DataFrame, model: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "pieces", model: str = MODEL, seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
-    """``docs`` with the column ``out``: the ids of the pieces of a sampled segmentation."""
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str = "pieces", model: str = MODEL, seed: int = SEED, sharpness: float = SHARPNESS, check: str | None = None) -> DataFrame:
+    """``docs`` with the column ``out``: the ids of the pieces of a sampled segmentation; ``check`` names a column that says
+    whether they were decoded to the text again."""
     sent = _sent(docs, model)
-    kept = [c for c in docs.columns if c != out]
+    kept = [c for c in docs.columns if c not in (out, check)]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))).alias("__sp_key"))
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(check, T.BooleanType())] if check else [])]
+    schema = T.StructType([docs.schema[c] for c in kept] + added)
     i_text = kept.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(sent.value, sharpness)
         for part in parts:
-            texts = part.column(i_text).to_pylist()
-            keys = part.column(part.num_columns - 1).to_numpy().view(U)
-            ids, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for at in batches([t or "" for t in texts], 2 << 20):
-                got, stop = lattice.encode([t or "" for t in texts[at]], keys[at])
-                ends.append(stop + ends[-1][-1])
-                ids.append(got)
-            offsets = pa.array(np.concatenate(ends), pa.int32(), mask=np.append([t is None for t in texts], False))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*kept, out])
+            for at in batches(part.column(i_text), 3 << 19, lambda t: len(t.as_py() or "")):
+                piece = part.slice(at.start, at.stop - at.start)
+                texts = piece.column(i_text).to_pylist()
+                ids, ends = lattice.encode([t or "" for t in texts], piece.column(piece.num_columns - 1).to_numpy().view(U))
+                ends = np.append(0, ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append([t is None for t in texts], False)), pa.array(ids))
+                columns = [*piece.columns[:-1], lists]
+                if check:
+                    columns.append(pa.array([t is None or lattice.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1], ends[1:])]))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -219,7 +270,8 @@ def decode(df: DataFrame, pieces: str = "pieces", out: str = "decoded", model: s
         lattice = _lattice(sent.value, SHARPNESS)
         for part in parts:
             column = part.column(kept.index(pieces))
-            texts = [lattice.decode(p.values.to_numpy().tolist()) if p.is_valid else None for p in column]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, out])
+            for at in batches(column, 1 << 20, lambda p: len(p) if p.is_valid else 0):
+                texts = [lattice.decode(p.values.to_numpy().tolist()) if p.is_valid else None for p in column[at]]
+                yield pa.RecordBatch.from_arrays([*part.slice(at.start, len(texts)).columns, pa.array(texts, pa.string())], schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

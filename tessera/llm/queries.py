@@ -48,8 +48,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check="lossless")
+    return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"), "lossless")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
