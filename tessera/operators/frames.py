@@ -208,3 +208,13 @@ def transition_f1(truth: DataFrame, found: DataFrame, key: str, tolerance: int =
     return sums.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+
+
+def change_score(df: DataFrame, key: str, order: str, half: int = 3, vector: str = "embedding") -> DataFrame:
+    """(key, order, score): cosine distance of the mean of the ``half`` rows before each row and of that row and the ones after
+    it, up to ``half``; null at the first row. Windows sum by component, so a row is compared in linear time."""
+    rows = df.select(key, order, F.posexplode(vector).alias("pos", "x"))
+    w = Window.partitionBy(key, "pos").orderBy(order)
+    sides = rows.withColumn("a", F.avg("x").over(w.rowsBetween(-half, -1))).withColumn("b", F.avg("x").over(w.rowsBetween(0, half - 1)))
+    dots = sides.groupBy(key, order).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    return dots.select(key, order, F.when(F.col("aa").isNotNull(), 1 - F.coalesce(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0))).alias("score"))

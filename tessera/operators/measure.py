@@ -243,3 +243,41 @@ def palette(df: DataFrame, keys: list[str], k: int = 4, rounds: int = 3) -> Data
         near = F.array_min(F.transform("cs", lambda c: F.struct(F.round(away(c), 12).alias("d"), c["colour"].alias("colour"))))
         centres = df.join(F.broadcast(lists), keys).withColumn("colour", near["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
     return centres.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).select(*keys, "colour", "r", "g", "b", "share")
+
+
+def palette_stats(colours: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, diversity, distance): entropy of the shares and mean distance in Lab of the pairs of a palette, which is a few rows."""
+    lab = with_lab(colours).select(*keys, "colour", "share", "lab_l", "lab_a", "lab_b")
+    other = lab.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("colour", "lab_l", "lab_a", "lab_b")])
+    away = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) ** 2 for c in ("lab_a", "lab_b")), (F.col("lab_l") - F.col("lab_l2")) ** 2))
+    pairs = lab.join(other, keys).where("colour < colour2").groupBy(*keys).agg(F.avg(away).alias("distance"))
+    return lab.groupBy(*keys).agg((-F.sum(F.col("share") * F.log2("share"))).alias("diversity")).join(pairs, keys, "left").na.fill(0.0, ["distance"])
+
+
+def validate_grades(long: DataFrame, keys: list[str], params: DataFrame) -> DataFrame:
+    """(keys, problem, n): missing and unexpected parameters, and values out of (param, lo, hi)."""
+    wanted = long.select(*keys).distinct().withColumn("w", F.lit(1)).join(F.broadcast(params.select("param").withColumn("w", F.lit(1))), "w").drop("w")
+    put = lambda rows, what: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("problem", F.lit(what))
+    missing = put(wanted.join(long, [*keys, "param"], "left_anti"), "missing")
+    odd = put(long.join(F.broadcast(params), "param", "left_anti"), "unexpected")
+    out = put(long.join(F.broadcast(params), "param").where(~F.col("current").between(F.col("lo"), F.col("hi"))), "range")
+    return missing.unionByName(odd).unionByName(out)
+
+
+def parse_value(text: Column) -> Column:
+    """The number at the start of a text such as ``4200K`` or ``-3.5 dB``; null if there is none."""
+    return F.regexp_extract(F.trim(text), r"^([-+]?[0-9]*\.?[0-9]+)", 1).try_cast("double")
+
+
+def sanitise(payloads: DataFrame, keys: list[str], values: str, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values, report): numbers of a map of texts clamped to (param, lo, hi); report counts ignored and clamped ones by key."""
+    rows = payloads.select(*keys, F.explode(values).alias("param", "text")).withColumn("raw", parse_value(F.col("text"))).join(F.broadcast(params), "param", "left")
+    good = F.col("lo").isNotNull() & F.col("raw").isNotNull()
+    value = F.least("hi", F.greatest("lo", "raw"))
+    report = rows.groupBy(*keys).agg(F.count_if(~good).alias("ignored"), F.count_if(good & (value != F.col("raw"))).alias("clamped"))
+    return rows.where(good).select(*keys, "param", value.alias("value")), report
+
+
+def caveats(df: DataFrame, rules: list[tuple[Column, str]]) -> Column:
+    """Notes whose rule holds, in order, joined by semicolons."""
+    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules])), "; ")

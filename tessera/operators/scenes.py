@@ -113,3 +113,8 @@ def shards(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """``df`` with ``shard``: consecutive rows, ceil(count / n) in each."""
     w = Window.partitionBy(*keys)
     return df.withColumn("shard", F.floor((F.row_number().over(w.orderBy(order)) - 1) / F.ceil(F.count(F.lit(1)).over(w) / n)).cast("int"))
+
+
+def prune_frame(df: DataFrame, keep: list[str], nested: str, fields: list[str]) -> DataFrame:
+    """Only the columns ``keep`` and, of the structs in ``nested``, the ``fields``."""
+    return df.select(*keep, F.transform(nested, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(nested))

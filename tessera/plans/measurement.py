@@ -177,3 +177,38 @@ def c40(s, d):
     rows = M.with_ycrcb(M.with_xyz(px(s, d)))
     out = rows.groupBy(*K).agg((F.avg("r") / (F.avg("r") + F.avg("g") + F.avg("b"))).alias("red_ratio"), *[F.avg(c).alias(c) for c in ("cx", "cy", "cz", "cr", "cb")])
     return rounded(out, *K)
+
+
+@query("c18_palette_stats")
+def c18(s, d):
+    return rounded(M.palette_stats(M.palette(px(s, d), K), K), *K, n=4)
+
+
+GP = "g as (select l_orderkey as k, unnest(['q', 'd', 'z']) as param, unnest([l_quantity, l_discount, l_tax]) as cur from lineitem where l_linenumber <= 3), lim(param, lo, hi) as (values ('q', 5.0, 40.0), ('d', 0.02, 0.08), ('m', 0.0, 1.0))"
+
+
+def params(s):
+    return s.createDataFrame([("q", 5.0, 40.0), ("d", 0.02, 0.08), ("m", 0.0, 1.0)], "param string, lo double, hi double")
+
+
+def grades(s, d):
+    each = F.array(*[F.struct(F.lit(n).alias("param"), F.col(c).alias("current")) for n, c in (("q", "l_quantity"), ("d", "l_discount"), ("z", "l_tax"))])
+    return view(s, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("k"), F.explode(each).alias("e")).select("k", "e.*")
+
+
+@query("c25_validate_grades", f"with {GP} select k, 'missing' as problem, count(*) as n from (select distinct k, lim.param from g, lim except select k, param from g) group by 1 union all select k, 'unexpected', count(*) from g where param not in (select param from lim) group by 1 union all select k, 'range', count(*) from g join lim using (param) where cur not between lo and hi group by 1")
+def c25(s, d):
+    return M.validate_grades(grades(s, d), ["k"], params(s))
+
+
+@query("c26_sanitise", f"with {GP} select k, count(*) filter (param = 'z') as ignored, count(*) filter (param <> 'z' and cur not between lo and hi) as clamped from g left join lim using (param) group by 1")
+def c26(s, d):
+    rows = grades(s, d).groupBy("k", "param").agg(F.collect_list("current").alias("v")).select("k", "param", F.posexplode("v").alias("i", "x"))
+    maps = rows.groupBy("k", "i").agg(F.map_from_entries(F.collect_list(F.struct("param", F.concat(F.col("x").cast("decimal(20,6)").cast("string"), F.lit("K"))))).alias("m"))
+    return M.sanitise(maps, ["k", "i"], "m", params(s))[1].groupBy("k").agg(F.sum("ignored").alias("ignored"), F.sum("clamped").alias("clamped"))
+
+
+@query("c41_caveats", sql("with a as (select frame_id, avg(r) as r, avg(g) as g from pixels group by 1) select frame_id, concat_ws('; ', case when r > 0.51 then 'bright red' end, case when g < 0.49 then 'little green' end) as notes from a", "pixels"))
+def c41(s, d):
+    a = px(s, d).groupBy(*K).agg(F.avg("r").alias("r"), F.avg("g").alias("g"))
+    return a.select(*K, M.caveats(a, [(F.col("r") > 0.51, "bright red"), (F.col("g") < 0.49, "little green")]).alias("notes"))

@@ -242,3 +242,13 @@ def p34(s, d):
     rows = view(s, d, "lineitem").withColumn("day", F.to_date("l_shipdate").cast("string")).withColumn("one", F.lit(1))
     out = P.latency_summary(rows, ["day"], "l_quantity", "one")
     return out.select("day", "n", F.round("mean", 6).alias("mean"), "median", F.round("p95", 6).alias("p95"), F.round("items_per_s", 6).alias("items_per_s"))
+
+
+@query("p29_merge_profile", "select c_custkey as k, case when c_custkey % 2 = 0 then c_acctbal * 2 else c_acctbal end as pace, case when c_custkey % 3 = 0 then 'hand' when c_custkey % 2 = 0 then 'auto' end as style from customer")
+def p29(s, d):
+    from ..operators.maintain import upsert
+
+    c = view(s, d, "customer")
+    old = c.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("pace"), F.when(F.col("c_custkey") % 3 == 0, "hand").alias("style"))
+    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") * 2).alias("pace"), F.lit("auto").alias("style"))
+    return upsert(old, new, ["k"], keep=("style",))

@@ -131,3 +131,12 @@ def n18(s, d):
 @query("n19_shards", sql("select key, frame, ((row_number() over (partition by key order by frame) - 1) // ceil(count(*) over (partition by key) / 4.0)::bigint)::int as shard from observations", "observations"))
 def n19(s, d):
     return N.shards(view(s, d, "observations"), ["key"], "frame", 4).select("key", "frame", "shard")
+
+
+@query("n14_prune_frame", "select event_id, event_type as setting, 'u' || user_id as who from events where event_id % 11 <> 0 and event_id % 13 <> 0")
+def n14(s, d):
+    from ..sources.tables import parse_frame_output
+    from .sourced import outputs
+
+    rows, _ = parse_frame_output(outputs(s, d), ["event_id"], "j")
+    return N.prune_frame(rows, ["event_id", "setting"], "people", ["name"]).select("event_id", "setting", F.col("people")[0]["name"].alias("who"))

@@ -64,3 +64,34 @@ def t11(s, d):
     e = events(s, d)
     twice = e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return finished(S.distinct_events(twice, ["event_id"], "ts", "40 days")).select("event_id", "user_id", "event_type")
+
+
+LAST = "m as (select max(ts) as top from events)"
+
+
+@query("t2_sessions", f"with {LAST}, l as (select user_id as key, ts, lag(ts) over (partition by user_id order by ts) as p from events), i as (select key, ts, sum((p is null or ts - p >= interval 6 hours)::int) over (partition by key order by ts rows unbounded preceding) as s from l), g as (select key, min(ts) as a, max(ts) as b, count(*) as n from i group by key, s) select key, (epoch_us(a) // 1000)::bigint as start_ms, (epoch_us(b + interval 6 hours) // 1000)::bigint as end_ms, n from g, m where b + interval 6 hours <= top - interval 1 hour")
+def t2(s, d):
+    out = finished(S.sessions(events(s, d).withColumn("key", F.col("user_id")), "key", "ts", "6 hours", "1 hour"))
+    return out.select("key", F.unix_millis("start_at").alias("start_ms"), F.unix_millis("end_at").alias("end_ms"), "n")
+
+
+@query("t6_sliding_rates", f"with {LAST}, w as (select event_type, value, unnest([time_bucket(interval 1 day, ts), time_bucket(interval 1 day, ts) - interval 1 day]) as a from events) select event_type, epoch_ms(a) as start_ms, count(*) as n, round(avg(value), 8) as mean from w, m where a + interval 2 days <= top - interval 1 hour group by 1, 2")
+def t6(s, d):
+    out = finished(S.period_counts(events(s, d), ["event_type"], "ts", "2 days", "1 hour", "1 day"))
+    return out.select("event_type", F.unix_millis("start_at").alias("start_ms"), "n", F.round("mean", 8).alias("mean"))
+
+
+@query("t7_period_counts", f"with {LAST} select event_type, epoch_ms(time_bucket(interval 1 day, ts)) as start_ms, count(*) as n from events, m where time_bucket(interval 1 day, ts) + interval 1 day <= top - interval 1 hour group by 1, 2")
+def t7(s, d):
+    out = finished(S.period_counts(events(s, d), ["event_type"], "ts", "1 day", "1 hour"))
+    return out.select("event_type", F.unix_millis("start_at").alias("start_ms"), "n")
+
+
+@query("t10_upsert_sink", "select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
+def t10(s, d):
+    e = events(s, d).select("user_id", "event_type", "event_id")
+    out = folder(s)
+    e.writeStream.foreachBatch(S.upsert_sink(out, ["user_id"], "event_id")).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    states = [int(f.getPath().getName()) for f in p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return s.read.schema(e.schema).parquet(f"{out}/{max(states)}")

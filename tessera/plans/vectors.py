@@ -292,3 +292,8 @@ def v39(s, d):
 @query("v40_frame_labels", sql(f"with {ON}, g as (select key, lag(end_frame) over (partition by key order by start_frame) as a, start_frame as b from sc) select key, f as frame_index, (f = floor((a + b) / 2))::int as one_hot, 1 as many_hot from g, unnest(range(a, b + 1)) as r(f) where a is not null", "observations"))
 def v40(s, d):
     return O.frame_labels(scenes(s, d), "key")
+
+
+@query("v7_change_score", sql("with x as (select video_id, frame_index, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from frames), s as (select video_id, frame_index, avg(x) over (w rows between 3 preceding and 1 preceding) as a, avg(x) over (w rows between current row and 2 following) as b from x window w as (partition by video_id, pos order by frame_index)) select video_id, frame_index, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) as score from s group by 1, 2", "frames"))
+def v7(s, d):
+    return O.change_score(frames(s, d), "video_id", "frame_index").withColumn("score", F.round("score", 6))
