@@ -281,3 +281,53 @@ def sanitise(payloads: DataFrame, keys: list[str], values: str, params: DataFram
 def caveats(df: DataFrame, rules: list[tuple[Column, str]]) -> Column:
     """Notes whose rule holds, in order, joined by semicolons."""
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules])), "; ")
+
+
+def tone(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, stops, brightness, black, white, dark_share, bright_share): readings of luminance; stops are of the median against 0.18."""
+    y = luminance()
+    p = F.percentile(y, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+    rows = df.groupBy(*keys).agg(p.alias("p"), F.avg(y).alias("brightness"), F.avg((y <= 0.01).cast("double")).alias("dark_share"), F.avg((y >= 0.99).cast("double")).alias("bright_share"))
+    return rows.select(*keys, F.log2(F.greatest(F.col("p")[1], F.lit(1e-4)) / 0.18).alias("stops"), "brightness", F.col("p")[0].alias("black"), F.col("p")[2].alias("white"), "dark_share", "bright_share")
+
+
+def zone_balance(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, channel, shadows, mids, highs): offsets of red, green and blue from luminance in soft zones."""
+    out = None
+    for c in "rgb":
+        rows = soft_zones(df, keys, F.col(c) - luminance()).select(*keys, F.lit(c).alias("channel"), "shadows", "mids", "highs")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def vibrance(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mean_sat, muted_sat): mean saturation, plain and weighted by how muted a row is."""
+    muted = 1 - F.col("sat")
+    return with_hsv(df).groupBy(*keys).agg(F.avg("sat").alias("mean_sat"), F.coalesce(F.try_divide(F.sum(muted * F.col("sat")), F.sum(muted)), F.lit(0.0)).alias("muted_sat"))
+
+
+#: Offsets in degrees of the templates of hue harmony.
+TEMPLATES = {"mono": (0,), "analogous": (0, 30, -30), "complementary": (0, 180), "split": (0, 150, -150), "triadic": (0, 120, -120), "tetradic": (0, 90, 180, -90)}
+
+
+def harmony(h: DataFrame, keys: list[str], bins: int = 12) -> DataFrame:
+    """(keys, template, fit): the template and rotation whose bins explain most of a hue histogram (bin, p), weighed by the share
+    of its bins that are used. Templates and rotations are a table of fixed size."""
+    width = 360 // bins
+    table = [(n, r, (r + o // width) % bins, len(t)) for n, t in TEMPLATES.items() for r in range(bins) for o in t]
+    t = F.broadcast(h.sparkSession.createDataFrame(table, "template string, turn int, bin int, size int"))
+    rows = h.join(t, "bin").groupBy(*keys, "template", "turn").agg((F.sum("p") * F.count(F.lit(1)) / F.max("size")).alias("fit"))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(F.round("fit", 9).alias("fit"), F.col("template"), (-F.col("turn")).alias("turn"))).alias("b"))
+    return best.select(*keys, "b.template", "b.fit")
+
+
+def audit_documents(df: DataFrame, keys: list[str], document: str, sections: list[str], forbidden: str, longest: int = 64) -> DataFrame:
+    """(keys, problem): sections that a JSON object lacks or that aren't known, keys that hold a forbidden token, arrays that are too long."""
+    parsed = df.select(*keys, F.from_json(document, "map<string,string>").alias("m"))
+    names = F.map_keys("m")
+    known = F.array(*[F.lit(s) for s in sections])
+    lost = F.transform(F.array_except(known, names), lambda s: F.concat(F.lit("missing "), s))
+    odd = F.transform(F.array_except(names, known), lambda s: F.concat(F.lit("unexpected "), s))
+    bad = F.transform(F.filter(names, lambda s: s.rlike(forbidden)), lambda s: F.concat(F.lit("forbidden "), s))
+    long = F.transform(F.map_keys(F.map_filter("m", lambda k, v: F.coalesce(F.size(F.from_json(v, "array<string>")), F.lit(0)) > longest)), lambda s: F.concat(F.lit("long "), s))
+    return parsed.select(*keys, F.explode(F.concat(lost, odd, bad, long)).alias("problem"))

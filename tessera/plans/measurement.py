@@ -212,3 +212,30 @@ def c26(s, d):
 def c41(s, d):
     a = px(s, d).groupBy(*K).agg(F.avg("r").alias("r"), F.avg("g").alias("g"))
     return a.select(*K, M.caveats(a, [(F.col("r") > 0.51, "bright red"), (F.col("g") < 0.49, "little green")]).alias("notes"))
+
+
+@query("c16_harmony")
+def c16(s, d):
+    return M.harmony(M.hist(M.with_hsv(px(s, d)), K, "hue", 12, 0.0, 360.0), K)
+
+
+@query("c31_tone", sql(f"with y as (select frame_id, {Y} as lum from pixels) select frame_id, round(log2(greatest(quantile_cont(lum, 0.5), 1e-4) / 0.18), 9) as stops, round(avg(lum), 9) as brightness, round(quantile_cont(lum, 0.01), 9) as black, round(quantile_cont(lum, 0.99), 9) as white, round(avg((lum <= 0.01)::int), 9) as dark_share, round(avg((lum >= 0.99)::int), 9) as bright_share from y group by 1", "pixels"))
+def c31(s, d):
+    return rounded(M.tone(px(s, d), K), *K)
+
+
+@query("c35_zone_balance", sql(f"with {ZONES}, e as (select frame_id, sz, mz, hz, unnest(['r', 'g', 'b']) as channel, unnest([r - lum, g - lum, b - lum]) as v from zz) select frame_id, channel, round(sum(sz * v) / nullif(sum(sz), 0), 9) as shadows, round(sum(mz * v) / nullif(sum(mz), 0), 9) as mids, round(sum(hz * v) / nullif(sum(hz), 0), 9) as highs from e group by 1, 2", "pixels"))
+def c35(s, d):
+    return rounded(M.zone_balance(px(s, d), K), *K, "channel")
+
+
+@query("c39_vibrance", sql(f"with {HSV} select frame_id, round(avg(sat), 9) as mean_sat, round(coalesce(sum((1 - sat) * sat) / nullif(sum(1 - sat), 0), 0.0), 9) as muted_sat from hs group by 1", "pixels"))
+def c39(s, d):
+    return rounded(M.vibrance(px(s, d), K), *K)
+
+
+@query("c42_audit_documents", "select event_id, unnest(case when event_id % 2 = 0 then ['missing tone', 'unexpected pixel_dump', 'forbidden pixel_dump'] else ['long tone'] end) as problem from events")
+def c42(s, d):
+    tone = F.lit("[" + ",".join("1" * 70) + "]")
+    doc = F.when(F.col("event_id") % 2 == 0, F.lit('{"look": "a", "pixel_dump": "b"}')).otherwise(F.concat(F.lit('{"look": "a", "tone": '), tone, F.lit("}")))
+    return M.audit_documents(view(s, d, "events").select("event_id", doc.alias("j")), ["event_id"], "j", ["look", "tone"], "pixel")
