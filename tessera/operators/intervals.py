@@ -10,22 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, c: str, d: str, bucket: float, closed: bool = False, slack: float = 0.0, how: str = "inner") -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, c: str, d: str, bucket: float, closed: bool = False, slack: float = 0.0) -> DataFrame:
     """Pairs of ``left`` [a, b] and ``right`` [c, d] of equal keys that overlap: a < d and b > c, or <= and >= if ``closed``,
-    with ``slack`` added on both sides of the left interval. ``how``: inner or left. Column names must differ but for the keys."""
+    with ``slack`` added on both sides of the left interval. Column names must differ but for the keys."""
     lo, hi = F.col(a) - slack, F.col(b) + slack
     cell = lambda x: F.floor(x / bucket)
     spread = lambda df, x, y: df.where(x.isNotNull() & y.isNotNull() & (x <= y)).withColumn("first_b", cell(x)).withColumn("at_b", F.explode(F.sequence(cell(x), cell(y))))
     kept = [k for k in right.columns if k not in keys]
-    lhs = left.withColumn("row_b", F.monotonically_increasing_id()) if how == "left" else left
-    x = spread(lhs, lo, hi)
+    x = spread(left, lo, hi)
     y = spread(right, F.col(c), F.col(d)).select(*keys, F.col("first_b").alias("first_c"), "at_b", *kept)
     hit = ((lo <= F.col(d)) & (hi >= F.col(c))) if closed else ((lo < F.col(d)) & (hi > F.col(c)))
-    pairs = x.join(y, [*keys, "at_b"]).where(hit & (F.col("at_b") == F.greatest("first_b", "first_c")))
-    if how == "inner":
-        return pairs.drop("first_b", "first_c", "at_b")
-    pairs = pairs.select("row_b", *kept)
-    return lhs.join(pairs, "row_b", "left").drop("row_b")
+    return x.join(y, [*keys, "at_b"]).where(hit & (F.col("at_b") == F.greatest("first_b", "first_c"))).drop("first_b", "first_c", "at_b")
 
 
 def points_in(left: DataFrame, points: DataFrame, keys: list[str], a: str, b: str, at: str, bucket: float, slack: float = 0.0) -> DataFrame:
