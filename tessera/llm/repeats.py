@@ -13,9 +13,13 @@ Least hashes are joined and counted, never gathered by key, so a passage in a th
 in many tasks. A shard is a run of the rows of one task, cut between least hashes at SHARD bytes; sorting it takes
 bounded memory and files.
 
+Rows are known by key and hash of the text, which any scan gives again, so a retry or another split of the input changes
+nothing.
+
 Nulls and edges: a null text counts as an empty one; texts shorter than ``size`` lose nothing; rows equal in key and
-text are told apart by their number in the scan, so they repeat each other; a match never crosses from one text into
-another; other columns are kept by ``remove_repeats``. An empty table gives an empty table.
+text repeat each other and get the same result (their stretches are counted once for each row); a null key is a key; a
+match never crosses from one text into another; other columns are kept by ``remove_repeats``. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -83,13 +87,12 @@ def _cut(size: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            rid = part.column(0).to_numpy()
             for at in batches(texts, 4 << 20):
-                found = [(r, *stretches(t, size)) for r, t in zip(rid[at], texts[at]) if len(t) >= size]
+                found = [(i, *stretches(texts[i], size)) for i in range(at.start, at.stop) if len(texts[i]) >= size]
                 if found:
                     cols = [np.concatenate([f[i] for f in found]) for i in range(1, 6)]
-                    rids = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(rids), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], ["least", "whole", "rid", "a", "b", "again"])
+                    rids = part.column(0).take(pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), rids, pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], ["least", "whole", "rid", "a", "b", "again"])
 
     return run
 
@@ -136,9 +139,10 @@ def _sorted(size: int, shard: int):
 
 
 def repeated_ranges(docs: DataFrame, rid: str, text: str, size: int = SIZE, broadcast_rows: int = 500_000, shard: int = SHARD) -> DataFrame:
-    """(rid, ranges): for each row with repeats, the ranges (from, to) of bytes to remove, in order and apart."""
+    """(rid, ranges): for each ``rid`` with repeats, the ranges (from, to) of bytes to remove, in order and apart."""
     own = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"))
-    cut = staged(own.mapInArrow(_cut(size), "least bigint, whole bigint, rid bigint, a int, b int, again boolean"))
+    kind = own.schema["rid"].dataType.simpleString()
+    cut = staged(own.mapInArrow(_cut(size), f"least bigint, whole bigint, rid {kind}, a int, b int, again boolean"))
     kinds = cut.groupBy("least").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("differ"), F.max("again").alias("again"))
     kinds = staged(kinds.where("n > 1 or again"))
     rows = staged(cut.drop("again").join(kinds.select("least", (F.col("differ") | F.col("again")).alias("look")), "least"))
@@ -165,12 +169,12 @@ def repeated_ranges(docs: DataFrame, rid: str, text: str, size: int = SIZE, broa
     return starts.select("rid", merged.alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes, binary) instead of ``text``;
     columns of these names are replaced."""
     add = ("n_bytes", "n_removed", "n_spans", "kept")
     rest = [c for c in docs.columns if c != text and c not in add]
-    own = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__rp_text"), F.monotonically_increasing_id().alias("__rp_rid"))
+    own = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__rp_text"), F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(f"`{text}`").alias("t")).alias("__rp_rid"))
     ranges = repeated_ranges(own, "__rp_rid", "__rp_text", size)
     out = own.join(ranges.withColumnRenamed("rid", "__rp_rid").withColumnRenamed("ranges", "__rp_ranges"), "__rp_rid", "left")
     body = F.coalesce(F.col("__rp_text"), F.lit("")).cast("binary")

@@ -108,6 +108,8 @@ def test_repeats_equal_brute_force(spark):
     frame.count()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove_repeats(frame, size=16).collect()}
     assert [got[i] for i in range(len(texts))] == repeats.brute_force(texts, 16)
+    twice = spark.createDataFrame([(1, "x" * 20 + "y"), (1, "x" * 20 + "y"), (None, "abcdefghijklmnopqrs"), (None, "-abcdefghijklmnopqrs"), (5, "1234567890123456789"), (5, "other text of one id")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in repeats.remove_repeats(twice, size=16).collect()) == [0, 0, 19, 19, 21, 21]
     clash = frame.withColumn("n_bytes", F.lit("mine")).limit(3)
     assert repeats.remove_repeats(clash).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
     assert repeats.remove_repeats(none(spark)).count() == 0
