@@ -246,7 +246,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(sent.value, sharpness)
         for part in parts:
-            for at in batches(part.column(i_text), 3 << 19, lambda t: len(t.as_py() or "")):
+            for at in batches(part.column(i_text), 1 << 20, lambda t: len(t.as_py() or "")):
                 piece = part.slice(at.start, at.stop - at.start)
                 texts = piece.column(i_text).to_pylist()
                 ids, ends = lattice.encode([t or "" for t in texts], piece.column(piece.num_columns - 1).to_numpy().view(U))
