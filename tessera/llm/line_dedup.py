@@ -2,13 +2,13 @@
 
 A unit is a line with something other than white space in it; blank lines are kept and never compared. Over the
 hashes of each document's grams of ``gram`` lines, the minimum of every ``window`` neighbours is a fingerprint, so that
-two copies of any run of ``gram + window - 1`` lines have one in common. A line of ``min_words`` words or more is a
-fingerprint of its own. Fingerprints found at one place only end there. The runs of lines through the others are joined
+two copies of any run of ``gram + window - 1`` lines have one in common. A shorter run of ``min_words`` words or more is a
+fingerprint as a whole. Fingerprints found at one place only end there. The runs of lines through the others are joined
 on their content with the earliest place that holds the same run; runs that overlap chain, which extends each match in
 both directions as far as it goes. Lines covered by a run that an earlier place holds are deleted; the first stays.
 
-A run counts if it has ``gram + window - 1`` lines, or fewer of which one has ``min_words`` words or more. Places are
-ordered by (key, hash of the text, line).
+A run counts if it has ``gram + window - 1`` lines, or fewer that have ``min_words`` words or more together, however
+they fall on lines. Places are ordered by (key, hash of the text, line).
 
 Nulls and edges: a null text stays null and has no lines; an empty text stays empty; rows equal in key and text are one
 document and get the same result; a null key sorts first. Columns beside key and text are kept as they are. An empty
@@ -17,6 +17,9 @@ table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def _candidate_runs(docs: DataFrame, key: str, text: str, gram: int, window: int
         "rid",
         F.transform("u", lambda x: F.xxhash64(x)).alias("h"),
         F.transform("u", lambda x: F.xxhash64(F.lit(7), x)).alias("h2"),
-        F.transform("u", lambda x: F.size(F.split(F.trim(x), r"\s+")) >= min_words).alias("long"),
+        F.transform("u", lambda x: F.size(F.split(F.trim(x), r"\s+"))).alias("words"),
     )
     n, none = F.size("h"), F.array().cast(RUN)
     lines = lines.withColumn("grams", F.when(n >= gram, F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))))
@@ -56,11 +59,13 @@ def _candidate_runs(docs: DataFrame, key: str, text: str, gram: int, window: int
         return F.struct(i.alias("start"), F.lit(t).alias("size"), low.alias("fp"), (i + F.array_position(near, low).cast("int") - 1).alias("at"))
 
     runs = F.when(n >= t, F.transform(F.sequence(F.lit(0), n - t), minimum)).otherwise(none)
-    at_long = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("long", i))
-    spans = [(back, m) for m in range(1, t) for back in range(m)] or [(0, 1)]
-    short = F.flatten(F.transform(at_long, lambda i: F.array(*[F.struct((i - back).alias("start"), F.lit(m).alias("size"), F.xxhash64(F.lit("line"), F.get("h", i)).alias("fp"), i.alias("at")) for back, m in spans])))
-    short = F.filter(short, lambda r: (r["start"] >= 0) & (r["start"] + r["size"] <= n))
-    rows = lines.select("rid", "h", "h2", F.explode(F.concat(runs, short)).alias("r"))
+    total = lambda i, m: reduce(add, [F.get("words", i + k) for k in range(m)])
+    short = lambda m: F.transform(
+        F.filter(F.sequence(F.lit(0), n - m), lambda i: total(i, m) >= min_words),
+        lambda i: F.struct(i.alias("start"), F.lit(m).alias("size"), F.xxhash64(F.lit("line"), F.slice("h", i + 1, m)).alias("fp"), i.alias("at")),
+    )
+    runs = F.concat(runs, *[F.when(n >= m, short(m)).otherwise(none) for m in range(1, t)])
+    rows = lines.select("rid", "h", "h2", F.explode(runs).alias("r"))
     content = lambda h: F.xxhash64(F.col("r.size"), F.slice(h, F.col("r.start") + 1, F.col("r.size")))
     return rows.select("rid", "r.start", "r.size", "r.fp", "r.at", F.struct(content("h").alias("a"), content("h2").alias("b")).alias("g"))
 

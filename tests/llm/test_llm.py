@@ -206,6 +206,14 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.line_dedup(none(spark)).count() == 0
 
 
+def test_line_dedup_counts_the_words_of_a_run(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 34), ("b", 33)))
+    few = " ".join(f"f{i}" for i in range(5))
+    frame = spark.createDataFrame([(1, f"x\n{a}\n\n{b}\ny", ""), (2, f"{a}\n{b}", ""), (3, f"p\n{a}\nq\n{b}", ""), (4, f"{few}\n{b}", ""), (5, f"{few}\n{b}\nz", "")], DOCS)
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.line_dedup(frame).collect()}
+    assert got[1][1] == got[3][1] == got[4][1] == got[5][1] == 0 and got[2] == ("", 2)
+
+
 # 8
 
 
