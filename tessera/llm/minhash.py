@@ -15,9 +15,10 @@ together, and one row for each comes out. A larger neighbourhood is settled in r
 proposes, in each bucket, the links of its most central member (nearest to the field-wise most frequent values).
 Confirmed links join classes to components. In each later round, the members outside a bucket's largest component
 propose their nearest members of other components that haven't been tried, twice as many as the round before, until
-nothing is proposed: then each pair of a bucket that looks similar enough is in one component or was compared on full
-sets. There a bucket is read in blocks of BLOCK members, to bound memory; the central member of the first block goes
-with each further block.
+such a round proposes nothing: then each pair of a bucket that looks similar enough is in one component or was compared
+on full sets. To bound memory, the first round reads a bucket in blocks of BLOCK members; the central member of the first
+block goes with each further block. For the later rounds a bucket of more members is dealt into half blocks, and each two
+of these make a part that stands for a bucket of its own, so that every pair of members meets in one.
 
 With 40 bands of 5 rows a pair of similarity 0.8 shares no bucket with a chance of 3e-6 at most, and a chance link would
 need another path to be missed as well.
@@ -30,6 +31,7 @@ smaller id. Columns beside key and text are kept by ``near_dedup``. An empty tab
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,40 +108,51 @@ def _sign(shingle: int):
     return run
 
 
-def _runs(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bool]]:
-    """Columns of the rows of each bucket, from rows that come sorted by bucket; at most BLOCK rows at once. The flag
+def _runs(parts: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[dict, bool]]:
+    """Columns of the rows of each bucket, from rows that come sorted by bucket; at most ``block`` rows at once. The flag
     says that the bucket goes on from the block before."""
     held, before, size = [], None, 0
     for part in parts:
         bucket = part.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            if held and (bucket[a] != before[0] or size >= BLOCK):
-                yield pa.Table.from_batches(held), before[1]
-                held, size, before = [], 0, (bucket[a], bucket[a] == before[0])
-            elif not held:
-                before = (bucket[a], False)
-            for c in range(a, b, BLOCK):
-                held.append(part.slice(c, min(b, c + BLOCK) - c))
-                size += min(b, c + BLOCK) - c
+            for c in range(a, b, block):
+                m = min(b, c + block) - c
+                if held and (bucket[a] != before[0] or size + m > block):
+                    yield pa.Table.from_batches(held), before[1]
+                    held, size, before = [], 0, (bucket[a], bucket[a] == before[0])
+                elif not held:
+                    before = (bucket[a], False)
+                held.append(part.slice(c, m))
+                size += m
     if held:
         yield pa.Table.from_batches(held), before[1]
 
 
+def _in_parts(member: DataFrame, block: int) -> DataFrame:
+    """``member`` (bucket, node) with a bucket of more than ``block`` members as several: one for each two of its half
+    blocks, so that each two members have one in common."""
+    n = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    n = n.select("bucket", F.ceil(2 * F.col("n") / block).alias("halves"))
+    halves, own = F.col("halves"), F.pmod(F.xxhash64("node", "bucket"), F.col("halves"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), halves - 1), lambda j: j != own)
+    parts = F.when(halves.isNull(), F.array("bucket")).otherwise(F.transform(others, lambda j: F.xxhash64("bucket", F.least(j, own), F.greatest(j, own))))
+    return member.join(n, "bucket", "left").select(F.explode(parts).alias("bucket"), "node")
+
+
 def _fields(sig: np.ndarray) -> np.ndarray:
     """Each field of each row as a number."""
     per = 64 // BITS
     return ((sig[:, :, None] >> (np.arange(per, dtype=U) * U(BITS))) & U((1 << BITS) - 1)).reshape(len(sig), -1)[:, :PERMUTATIONS].astype(np.uint8)
 
 
-def _propose(least: float, reach: int):
-    """Candidate pairs of each bucket; ``reach`` 0: links of the central member, else so many from each outsider."""
+def _propose(least: float, reach: int, block: int):
+    """Candidate pairs of each bucket; ``reach`` 0: links of the central member, else so many from each outsider (there
+    buckets are read whole)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
-        for rows, goes_on in _runs(parts):
+        for rows, goes_on in _runs(parts, sys.maxsize if reach else block):
             node = rows.column("node").to_numpy()
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), U).reshape(-1, FIELDS)
             comp = rows.column("comp").to_numpy()
@@ -149,7 +162,7 @@ def _propose(least: float, reach: int):
                 hub = (node[0], sig[0], comp[0]) if not goes_on else hub
                 continue
             x, y = [], []
-            if not reach or not goes_on:
+            if not reach:
                 if len(node) == 2:
                     h = 0
                 else:
@@ -158,16 +171,15 @@ def _propose(least: float, reach: int):
                     h = int(np.argmax((f == common).sum(axis=1)))
                 if not goes_on:
                     hub = (node[h], sig[h], comp[h])
-            if not reach:
                 ok = (similarity(sig[h], sig) >= least) & (comp != comp[h])
                 x, y = [np.full(ok.sum(), node[h])], [node[ok]]
             else:
                 ids, at, many = np.unique(comp, return_inverse=True, return_counts=True)
-                tried = rows.column("tried").to_pylist() + [None]
+                tried = rows.column("tried").to_pylist()
                 for i in np.flatnonzero(at != np.argmax(many)):
                     est = similarity(sig[i], sig)
                     est[comp == comp[i]] = -1
-                    if i < len(tried) and tried[i]:
+                    if tried[i]:
                         est[np.isin(node, tried[i])] = -1
                     best = np.argsort(-est, kind="stable")[:reach]
                     best = best[est[best] >= least]
@@ -268,7 +280,7 @@ def _settle(shingle: int, percent: int):
     return run
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000, close: int = CLOSE) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000, close: int = CLOSE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(signed, roots). signed: (key, t, n, cls) for each row, t being the hash of its text; roots: (node, root) for the classes linked with another."""
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
@@ -302,17 +314,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     comp, links, tried, reach = None, None, None, 0
     while True:
-        rows = member.join(sig, "node")
         if comp is None:
-            rows = rows.withColumn("comp", F.col("node")).withColumn("tried", F.lit(None).cast("array<bigint>"))
+            rows = member.join(sig, "node").withColumn("comp", F.col("node")).withColumn("tried", F.lit(None).cast("array<bigint>"))
         else:
             state = staged(member.join(comp, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp")))
             mixed = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
             rows = state.join(mixed, "bucket").join(sig, "node").join(tried, "node", "left")
         rows = rows.select("bucket", "node", "sig", "comp", "tried").repartition("bucket").sortWithinPartitions("bucket", "node")
-        pairs = staged(rows.mapInArrow(_propose(percent / 100 - SLACK, reach), "x bigint, y bigint").distinct())
+        pairs = staged(rows.mapInArrow(_propose(percent / 100 - SLACK, reach, block), "x bigint, y bigint").distinct())
+        if not reach:
+            member = staged(_in_parts(member, block))
         if not pairs.take(1):
-            break
+            if reach:
+                break
+            reach = 3
+            continue
         at = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}"))
         both = pairs.join(at("x"), "x").join(at("y"), "y").select("x", "y", "tx", "ty")
         checked = staged(both.mapInArrow(_confirm(shingle, percent), "x bigint, y bigint, ok boolean"))

@@ -293,6 +293,48 @@ def test_components_equal_brute_force(spark, duck, monkeypatch, close):
     same(got, con.execute(minhash.SQL.replace("from documents", "from near_documents")).df())
 
 
+def twins(n=40, words=120):
+    """Pairs of similar texts, all of one template: in its buckets each is near its twin only."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base, texts = [word() for _ in range(words)], []
+    for _ in range(n):
+        t = list(base)
+        for at in rng.sample(range(words), 3):
+            t[at] = word()
+        texts.append(" ".join(t))
+        t[rng.randrange(words)] = word()
+        texts.append(" ".join(t))
+    return texts
+
+
+def test_every_pair_of_a_large_bucket_meets(spark, duck, monkeypatch):
+    link = minhash.link
+    monkeypatch.setattr(minhash, "link", lambda *a, **k: link(*a, **k, close=2, block=4))
+    frame = spark.createDataFrame(list(enumerate(twins())), "doc_id long, text string")
+    documents = frame.toPandas()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = minhash.near_components(frame, shingle=4).select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    con = duck.cursor()
+    con.register("docs_frame", documents)
+    con.execute("create or replace temp view near_documents as select * from docs_frame")
+    want = con.execute(minhash.SQL.replace("from documents", "from near_documents")).df()
+    assert 30 < want.kept.sum() < 50
+    same(got, want)
+
+
+def test_first_round_that_proposes_nothing_is_not_the_last(spark, monkeypatch):
+    base, link = [f"w{i}" for i in range(120)], minhash.link
+    monkeypatch.setattr(minhash, "link", lambda *a, **k: link(*a, **k, close=2, block=4))
+    monkeypatch.setattr(minhash, "_propose", lambda least, reach, block, propose=minhash._propose: propose(least if reach else 2.0, reach, block))
+    frame = spark.createDataFrame([(i, " ".join(base[:60] + [f"x{i}"] + base[61:])) for i in range(6)], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_components(frame, shingle=4).collect()} == {0}
+
+
 def test_near_dedup_of_odd_rows(spark):
     frame = odd(spark, "a b c d e f g h", "A b c d e f g h", "q").withColumn("t", F.lit("mine")).withColumn("n", F.lit(1))
     got = sorted((r.doc_id if r.doc_id is not None else -1) for r in minhash.near_dedup(frame).collect())
