@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``, else a temporary one (tests)."""
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; where it is unset and Spark runs
+    in one process (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -34,13 +37,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete what staged() wrote, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete what staged() wrote, once nothing reads it any more; other frames are left alone."""
     for df in frames:
+        context = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if "/tessera-" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:

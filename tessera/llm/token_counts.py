@@ -1,6 +1,7 @@
 """Token counts as an exact histogram of encoded lengths.
 
-Each text is encoded once, as ordinary text, where it lies; only its length goes on. Documents are counted by length,
+Each text is encoded once, as ordinary text, where it lies; only its length goes on, and the counts by length are
+written once for all that is asked of them. Documents are counted by length,
 and sums from the right over the histogram answer, for a context limit at any length: how many documents and tokens lie
 beyond, what total is left if each text is cut there, which share of documents fits. The sums are taken in two levels
 (blocks of lengths, then within a block), so no task sees the whole histogram.
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Ranks of a public byte-level BPE, in tiktoken's format.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
@@ -56,7 +59,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     docs: of length L; docs_over: longer; tokens: in the documents of length L; tokens_over: in longer ones; total: in
     all; truncated_total: what is left if each text is cut at L; fit_share: share of documents of length L at most.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
+    counts = staged(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     blocks = counts.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.partitionBy(F.lit(1)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(1))
