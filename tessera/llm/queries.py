@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import decontaminate, line_dedup, minhash, pieces, quality, repeats, rp_forest, secrets, sharding, token_counts
 from .common import table
 
-#: Bytes of text in a shard at most.
-SHARD_BYTES = 32 << 20
+#: Bytes of text in a shard at most: shards that are read at random, one at a time. Small tables split too.
+SHARD_BYTES = 256 << 10
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
