@@ -13,7 +13,8 @@ makes decoding lossless for any text.
 
 Nulls and edges: a null text gives null ids and null back; an empty text gives no pieces; a null key counts as the text
 'null'; rows equal in key and text get the same segmentation. A lone surrogate can't be in a Spark string. A very long
-text is encoded whole, chunk by chunk, and a run of more than LONGEST characters without a space in parts. Other columns are kept by ``encode`` and ``decode``; a column that has the name
+text is encoded whole, chunk by chunk; in a chunk of more than LONGEST characters (text without spaces) only the forward
+sums are kept, 12 bytes a character, and the chances are worked out again block by block on the way back. Other columns are kept by ``encode`` and ``decode``; a column that has the name
 of the result is replaced. An empty table gives an empty table.
 """
 
@@ -33,15 +34,21 @@ from .hashing import BASE, U, batches, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 OFFSET, SHARPNESS, SEED = 2.7, 1.0, 1
 SPACE = "▁"
-#: A run of more than so many spaces or other characters is cut; the cut bounds the lattice, not the text.
-LONGEST = 512
-CHUNK = re.compile(f"{SPACE}{{1,{LONGEST}}}[^{SPACE}]{{0,{LONGEST}}}|[^{SPACE}]{{1,{LONGEST}}}")
+#: Chunks of more characters than this go place by place, in blocks of so many places; the lattice is the same.
+LONGEST, PLACES = 512, 1 << 14
+CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Stands for a ▁ of the text itself while chunks are cut: a lone surrogate, which no text can hold.
 OWN = chr(0xD800)
 BYTES_OF = 1 << 24
 SLOTS = 20
 
 
+def _chance(seed, step: int):
+    """A number in [0, 1) for each seed, of 24 bits."""
+    with np.errstate(over="ignore"):
+        return (mix(seed + U(step) * U(0xD1B54A32D192ED03)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+
+
 class Pieces:
     """Pieces by the hash of their characters, for many lookups at once: slot tables of which each piece is in one."""
 
@@ -163,6 +170,65 @@ class Lattice:
                 f[j - width - 1] = codes[j - width - 1] = None
         return rank, size, base, cum, ids
 
+    def _ends(self, x: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the places a + 1 .. b of one chunk: weight and piece of each length that ends there."""
+        n, width = b - a, self.longest
+        w, ids, h = np.zeros((n, width)), np.zeros((n, width), np.int32), np.zeros(n, U)
+        padded = np.concatenate((np.zeros(width, U), x[max(0, a - width) : b].astype(U) + U(1)))[-(n + width) :]
+        for m in range(1, width + 1):
+            with np.errstate(over="ignore"):
+                h = h * U(BASE) + padded[width - m + 1 : width - m + 1 + n]
+            at, got = self.pieces.find(h)
+            at, got = at[at + a + 1 >= m], got[at + a + 1 >= m]
+            w[at, m - 1] = self.pieces.weight[got]
+            ids[at, m - 1] = self.pieces.id[got]
+        bare = np.flatnonzero(w[:, 0] == 0)
+        own = x[a:b][bare].astype(np.int64)
+        own[own == ord(OWN)] = ord(SPACE)
+        w[bare, 0] = self.rare ** (1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF))
+        ids[bare, 0] = BYTES_OF + own
+        return w, ids
+
+    def long_chunk(self, chunk: str, seeds: np.ndarray) -> list[np.ndarray]:
+        """The pieces of a long chunk, from the last to the first, for each seed."""
+        x = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n, width = len(x), self.longest
+        # sums before place 0 are 0; ``scaled`` counts how often the sums had been multiplied by 1e150 at a place
+        f, scaled = np.zeros(width + n + 1), np.zeros(n + 1, np.int32)
+        f[width] = 1.0
+        near, times = f[: width + 1][1:].copy(), 0
+        for a in range(0, n, PLACES):
+            b = min(n, a + PLACES)
+            w, _ = self._ends(x, a, b)
+            w = w[:, ::-1].copy()
+            for j in range(a, b):
+                total = float(w[j - a] @ near)
+                near[:-1] = near[1:]
+                near[-1] = total
+                if total < 1e-150:
+                    near *= 1e150
+                    times += 1
+                f[width + j + 1], scaled[j + 1] = near[-1], times
+        out, places, steps = [[] for _ in seeds], np.full(len(seeds), n), np.zeros(len(seeds), np.int64)
+        for a in range((n - 1) // PLACES * PLACES, -1, -PLACES):
+            b = min(n, a + PLACES)
+            w, ids = self._ends(x, a, b)
+            back = np.arange(a, b)[:, None] - np.arange(width)[None, :]
+            level = scaled[np.maximum(back, 0)]
+            w *= f[back + width] * 1e150 ** (level[:, :1] - level).astype(float)
+            np.cumsum(w, axis=1, out=w)
+            w /= w[:, -1:]
+            w[w >= 1 - 1e-7] = 2.0
+            cum = w.astype(np.float32)
+            for s, seed in enumerate(seeds):
+                place, step = int(places[s]), int(steps[s])
+                while place > a:
+                    m = int(np.argmax(cum[place - 1 - a] > _chance(seed, step)))
+                    out[s].append(ids[place - 1 - a, m])
+                    place, step = place - m - 1, step + 1
+                places[s], steps[s] = place, step
+        return [np.array(o, np.int64) for o in out]
+
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts one after another, and where each text's end."""
         number: dict[str, int] = {}
@@ -173,18 +239,25 @@ class Lattice:
             of_text.append(len(chunks))
         if not at:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        rank, size, base, cum, ids = self.chances(list(number))
+        chunks = list(number)
+        rank, size, base, cum, ids = self.chances([c if len(c) <= LONGEST else c[:1] for c in chunks])
         at, of_text = np.array(at), np.array(of_text)
         ends = np.cumsum(of_text)
         row = np.repeat(np.arange(len(texts)), of_text)
         with np.errstate(over="ignore"):
             seed = mix(keys[row] + (np.arange(len(at)) - (ends - of_text)[row]).astype(U) * U(0x9E3779B97F4A7C15))
-        left, place, rank = np.arange(len(at)), size[at], rank[at]
-        who, what, steps = [], [], np.zeros(len(at), np.int64)
+        who, what, steps, apart = [], [], np.zeros(len(at), np.int64), {}
+        long = np.array([len(c) > LONGEST for c in chunks])
+        for c in np.flatnonzero(long):
+            whose = np.flatnonzero(at == c)
+            apart.update(zip(whose.tolist(), self.long_chunk(chunks[c], seed[whose])))
+        for i, got in apart.items():
+            steps[i] = len(got)
+        left = np.flatnonzero(~long[at])
+        place, rank = size[at[left]], rank[at[left]]
         step = 0
         while len(left):
-            with np.errstate(over="ignore"):
-                u = (mix(seed[left] + U(step) * U(0xD1B54A32D192ED03)) >> U(40)).astype(np.float32) * np.float32(2.0**-24)
+            u = _chance(seed[left], step)
             node = base[place] + rank
             m = np.argmax(cum[node] > u[:, None], axis=1)
             who.append(left.astype(np.int32)), what.append(ids[node, m])
@@ -197,6 +270,8 @@ class Lattice:
         out = np.empty(stop[-1], np.int64)
         for s, (w, p) in enumerate(zip(who, what)):
             out[stop[w] - 1 - s] = p
+        for i, got in apart.items():
+            out[stop[i] - len(got) : stop[i]] = got[::-1]
         ends_at = np.concatenate(([0], stop))[ends]
         wide = np.flatnonzero(out >= BYTES_OF)
         if len(wide):
