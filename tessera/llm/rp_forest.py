@@ -2,12 +2,15 @@
 
 TREES trees are grown from a sample of at most SAMPLE distinct vectors (the fit's bound; the whole index is not
 sampled): each node splits its points by the plane halfway between two of them, drawn at random, until LEAF or fewer
-are left. Every vector of the table is put into its leaf of each tree by Spark tasks. A query goes down all trees through one
-priority queue, which is ordered by how far on the wrong side of a plane a branch lies, and takes leaves until those of
-the sample in them number PROBE. Tasks that read the index mark, for a block of queries, the points in any of the leaves
-found, measure those on the original vectors in double precision, and pass on the k + 1 nearest of each batch, which
-are ranked again over all batches; neither pairs nor vectors are shuffled. Queries come in passes of PASS, so that what
-is broadcast is bounded however many there are.
+are left. The index has every vector of the table with its leaf of each tree, in blocks of at most BLOCK rows. A query
+goes down all trees through one priority queue, ordered by the squares of the distances to the planes on whose wrong
+side a branch lies, added up along it, and takes leaves until those of the sample in them number PROBE. The points in
+VOTES or more of these leaves are its candidates; where a block has fewer than k + 1 such points, all points in any of
+the leaves are. Candidates are measured on the original vectors in double precision, and the k + 1 nearest of each
+block are ranked again over all blocks. Neither pairs nor vectors are shuffled.
+
+Queries are packed in blocks too; a pass joins at most about PASS of them, broadcast, with the index blocks, and writes
+what it found before the next pass begins, so what is broadcast and planned is bounded however many queries there are.
 
 Vectors that are equal are one point of the index, which keeps the k + 1 smallest of their ids: none of the others could
 be among k nearest. So a vector that occurs a million times is neither compared nor moved a million times.
@@ -21,6 +24,7 @@ table gives an empty result. Other columns play no part.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
-TREES, LEAF, SAMPLE, PROBE = 32, 64, 20_000, 10_000
-#: Queries that are sent to the tasks at once, and that a task looks at together.
-PASS, TOGETHER = 8192, 512
+TREES, LEAF, SAMPLE, PROBE, VOTES = 48, 24, 20_000, 12_000, 2
+#: Queries in a pass, queries in a block of them, and points in a block of the index.
+PASS, TOGETHER, BLOCK = 8192, 512, 8192
 SEED = 20_011
 
 
@@ -97,7 +101,7 @@ def search(trees: list[Tree], q: np.ndarray, probe: int) -> list[tuple[int, int]
         while tree.low[node] >= 0:
             margin = float(tree.normal[node] @ q - tree.offset[node])
             near, far = (tree.high[node], tree.low[node]) if margin > 0 else (tree.low[node], tree.high[node])
-            heapq.heappush(queue, (max(wrong, abs(margin)), t, int(far)))
+            heapq.heappush(queue, (wrong + margin * margin, t, int(far)))
             node = int(near)
         found.append((t, int(tree.leaf[node])))
         have += tree.size[node]
@@ -114,11 +118,88 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, probe: int = PROBE) -> DataFrame:
+def _grown(sample, leaf: int):
+    """Trees by number, each from its own seed."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for t in part.column(0).to_pylist():
+                tree = Tree(sample.value, np.random.default_rng([SEED, t]), leaf)
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([pickle.dumps(tree)], pa.binary())], ["t", "tree"])
+
+    return run
+
+
+def _indexed(sent):
+    """Blocks of points: ids, vectors, and by tree the points in the order of their leaves."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a in range(0, part.num_rows, BLOCK):
+                rows = part.slice(a, BLOCK)
+                x = _matrix(rows.column(1))
+                leaves = np.stack([t.leaves(x.astype(np.float32)) for t in sent.value]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([rows.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([leaves.tobytes()], pa.binary())], ["p", "x", "leaves"])
+
+    return run
+
+
+def _asked(sent, probe: int):
+    """Blocks of queries: ids, vectors, the leaves to look into (as tree * 2**20 + leaf) and where each query's end."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a in range(0, part.num_rows, TOGETHER):
+                rows = part.slice(a, TOGETHER)
+                x = _matrix(rows.column(1))
+                found = [np.array([(t << 20) + n for t, n in search(sent.value, v, probe)], np.int64) for v in x.astype(np.float32)]
+                ends = np.cumsum([len(f) for f in found])
+                cells = [rows.column(0).to_numpy(), x, np.concatenate(found), ends]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["qp", "qx", "cells", "ends"])
+
+    return run
+
+
+def _measured(k: int, votes: int, n_trees: int):
+    """(qp, p, score): the ``k`` nearest candidates that each query of a block has in a block of the index."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for part in parts:
+            for i in range(part.num_rows):
+                p_raw, x_raw, leaf_raw, qp, qx, cells, ends = (part.column(c)[i].as_py() for c in range(7))
+                if p_raw != last:
+                    last, p = p_raw, np.frombuffer(p_raw, np.int64)
+                    x = np.frombuffer(x_raw).reshape(len(p), -1)
+                    key = (np.frombuffer(leaf_raw, np.int32).reshape(n_trees, -1) + (np.arange(n_trees, dtype=np.int64) << 20)[:, None]).ravel()
+                    by = np.argsort(key, kind="stable")
+                    key, point = key[by], by % len(p)
+                qp, cells, ends = (np.frombuffer(b, np.int64) for b in (qp, cells, ends))
+                qx = np.frombuffer(qx).reshape(len(qp), -1)
+                lo, hi = np.searchsorted(key, cells), np.searchsorted(key, cells, side="right")
+                out = []
+                for j, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+                    many = hi[a:b] - lo[a:b]
+                    hits = point[np.repeat(lo[a:b] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                    count = np.bincount(hits, minlength=len(p))
+                    at = np.flatnonzero(count >= votes)
+                    if len(at) < k:
+                        at = np.flatnonzero(count)
+                    d = np.sqrt(((x[at] - qx[j]) ** 2).sum(axis=1))
+                    best = np.lexsort((p[at], d))[:k]
+                    out.append((np.full(len(best), qp[j]), p[at][best], d[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["qp", "p", "score"])
+
+    return run
+
+
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",
+    trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, probe: int = PROBE, votes: int = VOTES,
+) -> DataFrame:
     """(query_id, rank, <key>, score): the k nearest found of each row for which ``is_query`` holds."""
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
-    item = vectors.schema[vector].dataType.elementType.simpleString()
     own = vectors.where(F.col(f"`{key}`").isNotNull() & usable(F.col(f"`{vector}`"))).select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v"), is_query.alias("q"))
     result = f"query_id {kind}, rank int, {key} {kind}, score double"
     own = staged(own)
@@ -130,69 +211,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_i
     ranked = own.select("v", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     points = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.get("ids", 0).cast("bigint").alias("p"), "v", "ids"))
     fit = points.select("v", F.xxhash64("p").alias("h")).orderBy("h").limit(sample).select("v").toPandas()
-    x = np.array(fit["v"].tolist(), np.float64)
-    rng = np.random.default_rng(SEED)
-    forest = [Tree(x, rng, leaf) for _ in range(trees)]
-    sent = spark.sparkContext.broadcast(forest)
-
-    def probes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found = [[int(n) * len(sent.value) + t for t, n in search(sent.value, v, probe)] for v in _matrix(part.column(1)).astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], ["qp", "v", "buckets"])
+    drawn = spark.sparkContext.broadcast(np.array(fit["v"].tolist(), np.float32))
+    grown = spark.range(0, trees, 1, min(trees, 16)).mapInArrow(_grown(drawn, leaf), "t bigint, tree binary")
+    sent = spark.sparkContext.broadcast([pickle.loads(r.tree) for r in sorted(grown.collect(), key=lambda r: r.t)])
 
+    index = staged(points.select("p", "v").mapInArrow(_indexed(sent), "p binary, x binary, leaves binary"))
     asked = staged(own.where("q").select("id", "v").distinct().join(points.select("p", "v"), "v").select("id", "p"))
-    wanted = points.join(asked.select("p").distinct(), "p", "left_semi").select("p", "v").repartition("p")
-    wanted = staged(wanted.mapInArrow(probes, f"qp bigint, v array<{item}>, buckets array<int>").withColumn("pass", F.xxhash64("qp")))
-    passes = -(-wanted.count() // PASS)
-    near = None
+    wanted = points.join(asked.select("p").distinct(), "p", "left_semi").select("p", "v")
+    n_queries = wanted.count()
+    wanted = wanted.repartition(max(1, -(-n_queries // TOGETHER)), "p").mapInArrow(_asked(sent, probe), "qp binary, qx binary, cells binary, ends binary")
+    wanted = staged(wanted.withColumn("pass", F.monotonically_increasing_id()))
+    passes = -(-n_queries // PASS)
+    near = []
     for i in range(passes):
-        # a hash splits the queries evenly; each pass holds about PASS of them
-        rows = wanted.where(F.pmod("pass", F.lit(passes)) == i).select("qp", "v", "buckets").toPandas()
-        if not len(rows):
-            continue
-        block = spark.sparkContext.broadcast((rows["qp"].to_numpy(), np.array(rows["v"].tolist(), np.float64), rows["buckets"].tolist()))
-        got = points.select("p", "v").mapInArrow(_measure(sent, block, k + 1), "qp bigint, p bigint, score double")
-        near = got if near is None else near.unionByName(got)
-    if near is None:
+        # blocks of queries are dealt by a hash of their place, about PASS / TOGETHER to a pass
+        block = wanted.where(F.pmod(F.xxhash64("pass"), F.lit(passes)) == i).drop("pass")
+        near.append(staged(index.join(F.broadcast(block)).mapInArrow(_measured(k + 1, votes, trees), "qp bigint, p bigint, score double")))
+    if not near:
         return spark.createDataFrame([], result)
+    sent.unpersist()
+    found = near[0]
+    for other in near[1:]:
+        found = found.unionByName(other)
     by_score = Window.partitionBy("qp").orderBy("score", "p")
-    near = near.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).drop("r")
+    found = found.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1).drop("r")
     # equal distances of different points: all of them are kept up to k + 1 ids
-    ids = near.join(points.select("p", "ids"), "p").select("qp", "score", F.explode("ids").alias("other"))
+    ids = found.join(points.select("p", "ids"), "p").select("qp", "score", F.explode("ids").alias("other"))
     best = staged(ids.withColumn("r", F.row_number().over(Window.partitionBy("qp").orderBy("score", "other"))).where(F.col("r") <= k + 1).drop("r"))
+    drop_staged(index, wanted, *near)
     pairs = asked.join(best, asked["p"] == best["qp"]).where(F.col("id") != F.col("other"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "other")).cast("int")).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("query_id"), "rank", F.col("other").alias(key), "score")
-
-
-def _measure(sent, block, k: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: list[Tree] = sent.value
-        qp, qv, buckets = block.value
-        hits = []
-        for a in range(0, len(qp), TOGETHER):
-            hit = [np.zeros((len(qp[a : a + TOGETHER]), t.n_leaves), bool) for t in trees]
-            for i, found in enumerate(buckets[a : a + TOGETHER]):
-                b = np.asarray(found)
-                for t in range(len(trees)):
-                    hit[t][i, b[b % len(trees) == t] // len(trees)] = True
-            hits.append(hit)
-        for part in parts:
-            if not part.num_rows:
-                continue
-            x = _matrix(part.column(1))
-            p = part.column(0).to_numpy()
-            leaves = [t.leaves(x.astype(np.float32)) for t in trees]
-            for hit, a in zip(hits, range(0, len(qp), TOGETHER)):
-                mark = np.zeros((hit[0].shape[0], len(x)), bool)
-                for h, at in zip(hit, leaves):
-                    mark |= h[:, at]
-                q, found, score = [], [], []
-                for i, m in enumerate(mark):
-                    at = np.flatnonzero(m)
-                    d = np.sqrt(((x[at] - qv[a + i]) ** 2).sum(axis=1))
-                    best = np.lexsort((p[at], d))[:k]
-                    q.append(np.full(len(best), qp[a + i])), found.append(p[at][best]), score.append(d[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(score), pa.float64())], ["qp", "p", "score"])
-
-    return run
