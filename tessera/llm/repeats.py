@@ -9,34 +9,41 @@ repeat within themselves, is text looked at: one copy of each distinct stretch g
 the shard's suffix and common-prefix order (induced.py: external induced sorting) tells which strings start elsewhere
 too. (5) The strings found are laid back over the documents.
 
-Least hashes are joined and counted, never gathered by key, so a passage in a third of all documents is rows of hashes
-in many tasks. A shard is a run of the rows of one task, cut between least hashes at SHARD bytes; sorting it takes
-bounded memory and files.
-
+Least hashes are joined and counted, never gathered by key. Where the distinct stretches of one least hash have more
+than HOT bytes (a passage that stands in very many documents, each time among other text), they are cut again, by the
+least hash of longer grams, halfway to ``size`` each time: the longer the gram, the fewer strings share it, and at
+``size`` itself all strings of a hash are equal. So no key gathers more than HOT bytes in a task. A shard is a run of
+the rows of one task, written to a mapped file as they come and cut between least hashes at SHARD bytes; sorting it
+takes bounded memory and files.
+
+Stretches count as equal if two independent 64-bit hashes agree; strings found by the order are compared byte by byte.
 Rows are known by key and hash of the text, which any scan gives again, so a retry or another split of the input changes
 nothing.
 
 Nulls and edges: a null text counts as an empty one; texts shorter than ``size`` lose nothing; rows equal in key and
-text repeat each other and get the same result (their stretches are counted once for each row); a null key is a key; a
-match never crosses from one text into another; other columns are kept by ``remove_repeats``. An empty table gives an
-empty table.
+text repeat each other and get the same result (their stretches are counted once for each row); a null key is a key;
+very long texts are cut whole; a match never crosses from one text into another; other columns are kept by
+``remove_repeats``. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, staged
+from .common import drop_staged, small_or_shuffled, staged
 from .hashing import BASE, INVERSE, U, batches, mix, powers
-from .induced import repeated
+from .induced import MEMORY, Space, repeated
 
-SIZE, SHARD = 400, 1 << 20
+SIZE, SHARD, HOT = 400, 8 << 20, 2 << 20
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -63,110 +70,152 @@ def _again(h: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray, w: in
     return out
 
 
-def stretches(text: bytes, size: int) -> tuple[np.ndarray, ...]:
-    """Least hash, hash of the stretch, first and last start, and whether it may repeat itself, of each stretch of a
-    text of ``size`` bytes or more."""
-    k = size // 2
+def stretches(text: bytes, size: int, k: int) -> tuple[np.ndarray, ...]:
+    """Least hash of grams of ``k`` bytes, hash of the stretch, first and last start, and whether it may repeat itself, of
+    each stretch of a text of ``size`` bytes or more."""
     w = size - k + 1
     t = np.frombuffer(text, np.uint8)
     n = len(t)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, U)
         np.cumsum((t.astype(U) + U(1)) * powers(BASE, n), out=sums[1:])
-        back = powers(INVERSE, n)
-        h = mix((sums[k:] - sums[:-k]) * back[: n - k + 1])
-        least = _least(h, w)
-        cuts = np.flatnonzero(np.diff(least)) + 1
-        a = np.concatenate(([0], cuts))
-        b = np.concatenate((cuts, [len(least)])) - 1
-        whole = mix((sums[b + size] - sums[a]) * back[a] + (b - a).astype(U))
+        h = mix((sums[k:] - sums[:-k]) * powers(INVERSE, n)[: n - k + 1])
+    least = _least(h, w)
+    cuts = np.flatnonzero(np.diff(least)) + 1
+    a = np.concatenate(([0], cuts))
+    b = np.concatenate((cuts, [len(least)])) - 1
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(text[i : j + size]) for i, j in zip(a.tolist(), b.tolist())), U, len(a))
     return least[a], whole, a, b, _again(h, least[a], a, b, w)
 
 
-def _cut(size: int):
+def _cut(size: int, k: int):
+    """(least, whole, id, n, a, b, again) from rows (id, text, n)."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            for at in batches(texts, 4 << 20):
-                found = [(i, *stretches(texts[i], size)) for i in range(at.start, at.stop) if len(texts[i]) >= size]
+            for at in batches(part.column(1), 4 << 20, lambda t: len(t.as_buffer()) if t.is_valid else 0):
+                texts = [t.as_py() or b"" for t in part.column(1)[at]]
+                found = [(i, *stretches(t, size, k)) for i, t in enumerate(texts, at.start) if len(t) >= size]
                 if found:
                     cols = [np.concatenate([f[i] for f in found]) for i in range(1, 6)]
-                    rids = part.column(0).take(pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found])))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), rids, pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])], ["least", "whole", "rid", "a", "b", "again"])
+                    row = pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), part.column(0).take(row), part.column(2).take(row), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])],
+                        ["least", "whole", "id", "n", "a", "b", "again"],
+                    )
 
     return run
 
 
 def _copy(size: int):
-    """(least, whole, bytes) of the stretches wanted of each text."""
+    """(least, whole, n, bytes) of the stretches wanted of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for text, wanted in zip(part.column(0), part.column(1)):
-                t = (text.as_py() or "").encode()
-                w = wanted.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([x["least"] for x in w], pa.int64()), pa.array([x["whole"] for x in w], pa.int64()), pa.array([t[x["a"] : x["b"] + size] for x in w], pa.binary())], ["least", "whole", "bytes"])
+                t, w = text.as_py() or b"", wanted.as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([x[c] for x in w], pa.int64()) for c in ("least", "whole", "n")), pa.array([t[x["a"] : x["b"] + size] for x in w], pa.binary())],
+                    ["least", "whole", "n", "bytes"],
+                )
 
     return run
 
 
-def _sorted(size: int, shard: int):
-    """(least, whole, from, to) ranges of starts that are repeated, from the rows of a task, which come sorted by least hash."""
-
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        found = []
-        for (m, w, _), starts in zip(rows, repeated([r[2] for r in rows], size)):
-            if len(starts):
-                cuts = np.flatnonzero(np.diff(starts) > 1)
-                found += [(m, w, int(starts[x]), int(starts[y])) for x, y in zip(np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(starts) - 1])))]
-        cols = list(zip(*found)) if found else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["least", "whole", "lo", "hi"])
+class _Shard:
+    """Stretches that are sorted together, in a file as they come."""
+
+    def __init__(self, size: int, memory: int):
+        self.size, self.memory, self.held = size, memory, 0
+        self.rows: list[tuple[int, int, int]] = []
+        self.folder = tempfile.TemporaryDirectory(prefix="tessera-")
+        self.file = open(os.path.join(self.folder.name, "text"), "wb")
+
+    def add(self, least: int, whole: int, text: bytes) -> None:
+        t = np.zeros(len(text) + 1, np.uint16)
+        t[:-1] = np.frombuffer(text, np.uint8)
+        t[:-1] += 1
+        t.tofile(self.file)
+        self.rows.append((least, whole, len(text)))
+        self.held += len(text)
+
+    def solve(self) -> pa.RecordBatch:
+        """(least, whole, lo, hi): ranges of starts that are repeated."""
+        self.file.close()
+        least, whole, lengths = np.array(self.rows, np.int64).T
+        with self.folder:
+            t = np.asarray(np.memmap(self.file.name, np.uint16, "r"))
+            out = []
+            for i, starts in enumerate(repeated(t, lengths, self.size, Space(self.folder.name, self.memory))):
+                if len(starts):
+                    cuts = np.flatnonzero(np.diff(starts) > 1)
+                    lo, hi = starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)]
+                    out.append((np.full(len(lo), least[i]), np.full(len(lo), whole[i]), lo.astype(np.int32), hi.astype(np.int32)))
+            del t
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, d) for d in (np.int64, np.int64, np.int32, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["least", "whole", "lo", "hi"])
+
+
+def _sorted(size: int, shard: int, memory: int):
+    """(least, whole, lo, hi) from the rows of a task, which come sorted by least hash."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, None
+        held, last = None, None
         for part in parts:
             for m, w, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                if held >= shard and m != last:
-                    yield solve(rows)
-                    rows, held = [], 0
-                rows.append((m, w, x.as_py()))
-                held += len(rows[-1][2])
-                last = m
-        if rows:
-            yield solve(rows)
+                if held and held.held >= shard and m != last:
+                    yield held.solve()
+                    held = None
+                held, last = held or _Shard(size, memory), m
+                held.add(m, w, x.as_py())
+        if held:
+            yield held.solve()
 
     return run
 
 
-def repeated_ranges(docs: DataFrame, rid: str, text: str, size: int = SIZE, broadcast_rows: int = 500_000, shard: int = SHARD) -> DataFrame:
-    """(rid, ranges): for each ``rid`` with repeats, the ranges (from, to) of bytes to remove, in order and apart."""
-    own = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"))
-    kind = own.schema["rid"].dataType.simpleString()
-    cut = staged(own.mapInArrow(_cut(size), f"least bigint, whole bigint, rid {kind}, a int, b int, again boolean"))
-    kinds = cut.groupBy("least").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("differ"), F.max("again").alias("again"))
-    kinds = staged(kinds.where("n > 1 or again"))
-    rows = staged(cut.drop("again").join(kinds.select("least", (F.col("differ") | F.col("again")).alias("look")), "least"))
-    plain = rows.where("not look").select("rid", "a", "b")
-
-    each = rows.where("look").groupBy("least", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "a", "b")).alias("one"))
-    each = staged(each)
-    wanted = each.groupBy("one.rid").agg(F.collect_list(F.struct("least", "whole", "one.a", "one.b")).alias("wanted"))
-    texts = own.join(small_or_shuffled(wanted, each.count(), broadcast_rows), "rid").select("text", "wanted")
-    copies = texts.mapInArrow(_copy(size), "least bigint, whole bigint, bytes binary")
-    found = copies.repartition("least").sortWithinPartitions("least").mapInArrow(_sorted(size, shard), "least bigint, whole bigint, lo int, hi int")
+def _found(rows: DataFrame, size: int, k: int, broadcast_rows: int, shard: int, memory: int, hot: int) -> DataFrame:
+    """(id, a, b): ranges of repeated starts in the texts of ``rows`` (id, text, n), text standing ``n`` times."""
+    kind = rows.schema["id"].dataType.simpleString()
+    cut = staged(rows.mapInArrow(_cut(size, k), f"least bigint, whole bigint, id {kind}, n bigint, a int, b int, again boolean"))
+    kinds = cut.groupBy("least").agg(F.sum("n").alias("n"), (F.min("whole") != F.max("whole")).alias("differ"), F.max("again").alias("again"))
+    kinds = kinds.where("n > 1 or again").select("least", (F.col("differ") | F.col("again")).alias("look"))
+    used = staged(cut.drop("again").join(kinds, "least"))
+    drop_staged(cut)
+    plain = used.where("not look").select("id", "a", "b")
+
+    each = staged(used.where("look").groupBy("least", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("id", "a", "b")).alias("one")))
+    long = F.col("one.b") - F.col("one.a")
+    large = staged(each.groupBy("least").agg(F.sum(long + size).alias("bytes")).where(F.col("bytes") > hot).select("least", F.lit(True).alias("hot")))
+    wanted = each.groupBy("one.id").agg(F.collect_list(F.struct("least", "whole", "n", "one.a", "one.b")).alias("wanted"))
+    texts = rows.join(small_or_shuffled(wanted, each.count(), broadcast_rows), "id").select("text", "wanted")
+    copies = texts.mapInArrow(_copy(size), "least bigint, whole bigint, n bigint, bytes binary")
     # a stretch that occurs twice is repeated throughout
-    full = each.where("n > 1").select("least", "whole", F.lit(0).alias("lo"), (F.col("one.b") - F.col("one.a")).alias("hi"))
+    full = each.where("n > 1").select("least", "whole", F.lit(0).alias("lo"), long.alias("hi"))
+    rest = None
+    if k < size and (n_large := large.count()):
+        copies = staged(copies.join(small_or_shuffled(large, n_large, broadcast_rows), "least", "left"))
+        again = copies.where("hot").select(F.struct("least", "whole").alias("id"), F.col("bytes").alias("text"), "n")
+        rest = _found(again, size, k + max(1, (size - k) // 2), broadcast_rows, shard, memory, hot).select("id.least", "id.whole", F.col("a").alias("lo"), F.col("b").alias("hi"))
+        copies = copies.where("hot is null")
+    found = copies.select("least", "whole", "bytes").repartition("least").sortWithinPartitions("least").mapInArrow(_sorted(size, shard, memory), "least bigint, whole bigint, lo int, hi int")
+    found = found if rest is None else found.unionByName(rest)
     found = staged(found.join(full.select("least", "whole"), ["least", "whole"], "left_anti").unionByName(full))
-    looked = rows.where("look").join(found, ["least", "whole"]).select("rid", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
-    starts = plain.unionByName(looked).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", (F.col("b") + size).alias("b")))).alias("r"))
-    empty = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    close = lambda s: F.when(s["a"].isNull(), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["a"].alias("a"), s["b"].alias("b"))))
-    merged = F.aggregate(
-        "r", empty,
-        lambda s, x: F.when(s["b"] >= x["a"], F.struct(s["done"].alias("done"), s["a"].alias("a"), F.greatest(s["b"], x["b"]).alias("b"))).otherwise(F.struct(close(s).alias("done"), x["a"].alias("a"), x["b"].alias("b"))),
-        close,
-    )
-    return starts.select("rid", merged.alias("ranges"))
+    looked = used.where("look").join(found, ["least", "whole"]).select("id", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
+    out = staged(plain.unionByName(looked))
+    drop_staged(used, each, large, found)
+    return out
+
+
+def repeated_ranges(docs: DataFrame, rid: str, text: str, size: int = SIZE, broadcast_rows: int = 500_000, shard: int = SHARD, memory: int = MEMORY, hot: int = HOT) -> DataFrame:
+    """(rid, ranges): for each ``rid`` with repeats, the ranges (from, to) of bytes to remove, in order and apart."""
+    own = docs.select(F.col(rid).alias("id"), F.col(text).cast("binary").alias("text"), F.lit(1).cast("bigint").alias("n"))
+    starts = _found(own, size, max(1, size // 2), broadcast_rows, shard, memory, hot).select("id", "a", (F.col("b") + size).alias("b"))
+    in_order = Window.partitionBy("id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = starts.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(in_order), F.lit(-1))).cast("int"))
+    run = F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = fresh.withColumn("run", run).groupBy("id", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return merged.groupBy(F.col("id").alias("rid")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -184,7 +233,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda x: x["b"]))
     ends = F.concat(F.transform(gone, lambda x: x["a"]), F.array(n))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substr(body, a + 1, b - a))
-    kept = F.when(F.size(gone) == 0, body).otherwise(F.aggregate(pieces, F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x)))
+    # bytes may be cut within a character, so they are joined as digits
+    kept = F.when(F.size(gone) == 0, body).otherwise(F.unhex(F.array_join(F.transform(pieces, lambda x: F.hex(x)), "")))
     return out.select(*[F.col(f"`{c}`") for c in rest], n.cast("bigint").alias("n_bytes"), removed.alias("n_removed"), F.size(gone).cast("bigint").alias("n_spans"), kept.alias("kept"))
 
 
