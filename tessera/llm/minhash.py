@@ -26,7 +26,8 @@ need another path to be missed as well.
 Nulls and edges: null texts and texts without words have an empty set, 0 shingles, and are linked with nothing; a text
 of fewer words than a shingle has one, all its words; rows of a null id get a null component and are kept; rows that
 repeat an id belong to one document for ``component_id``, each row getting the component of its own text. Ties go to the
-smaller id. Columns beside key and text are kept by ``near_dedup``. An empty table gives an empty table.
+smaller id; very long texts are shingled whole. Columns beside key and text are kept by ``near_dedup``. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,14 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, staged
+from .common import drop_staged, small_or_shuffled, staged
+from .common import staged as write
 from .components import components
 from .hashing import U, batches, mix, shingle_sets
 
 ROWS, BANDS, BITS = 5, 40, 2
 PERMUTATIONS = ROWS * BANDS
 SLACK, BLOCK = 0.18, 50_000
-CLOSE, CLOSE_SHINGLES, RARE = 20_000, 8_000_000, 16
+CLOSE, CLOSE_SHINGLES, RARE = 20_000, 4_000_000, 16
+#: Bytes of the bit rows of a neighbourhood, and rows of them that are compared at once.
+BIT_BYTES, AT_ONCE = 64 << 20, 1024
 FIELDS = -(-PERMUTATIONS * BITS // 64)
 LOW = U(int("01" * 32, 2))
 
@@ -214,7 +218,10 @@ def closure(sets: list[np.ndarray], sig: np.ndarray, percent: int) -> np.ndarray
     size = np.array([len(s) for s in sets])
     values, number, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), size)
-    common = many > RARE
+    # the shingles that more classes have than RARE get a column of bits, the most frequent ones if all won't fit
+    room = max(64, 8 * BIT_BYTES // n)
+    least = RARE if (many > RARE).sum() <= room else int(np.partition(many, -room)[-room])
+    common = many > least
     place = np.cumsum(common) - 1
     bits = np.zeros((n, max(1, -(-int(common.sum()) // 64))), U)
     at = common[number]
@@ -236,7 +243,7 @@ def closure(sets: list[np.ndarray], sig: np.ndarray, percent: int) -> np.ndarray
             near = left[similarity(sig[x], sig[left]) >= percent / 100 - SLACK]
             if not len(near):
                 continue
-            both = np.bitwise_count(bits[near] & bits[x]).sum(axis=1, dtype=np.int64)
+            both = np.concatenate([np.bitwise_count(bits[near[i : i + AT_ONCE]] & bits[x]).sum(axis=1, dtype=np.int64) for i in range(0, len(near), AT_ONCE)])
             own = number[start[x] : start[x + 1]]
             own = own[~common[own]]
             if len(own):
@@ -280,8 +287,15 @@ def _settle(shingle: int, percent: int):
     return run
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000, close: int = CLOSE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(signed, roots). signed: (key, t, n, cls) for each row, t being the hash of its text; roots: (node, root) for the classes linked with another."""
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, broadcast_rows: int = 2_000_000, close: int = CLOSE, block: int = BLOCK, made: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signed, roots). signed: (key, t, n, cls) for each row, t being the hash of its text; roots: (node, root) for the classes linked with another.
+    ``made`` takes the tables written on the way, for drop_staged() once both have been used."""
+    made = [] if made is None else made
+
+    def staged(df: DataFrame) -> DataFrame:
+        made.append(write(df))
+        return made[-1]
+
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     signed = staged(own.withColumn("t", F.xxhash64("text")).mapInArrow(_sign(shingle), f"key {kind}, t bigint, n bigint, cls bigint, sig binary, bands array<bigint>"))
@@ -361,9 +375,11 @@ def _classed(shingle: int):
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, t, n_shingles, component_id): for each row, the size of its set, and the smallest key that links lead to
     (its own if there are none)."""
-    signed, comp = link(docs, key, text, shingle, percent)
+    made: list[DataFrame] = []
+    signed, comp = link(docs, key, text, shingle, percent, made=made)
     rooted = signed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("key", "t", "n", "cls", F.coalesce("root", "cls").alias("root"))
     rooted = staged(rooted)
+    drop_staged(*made)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
     out = rooted.join(least, "root", "left")
     return out.select("key", "t", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("least", "key")).alias("component_id"))

@@ -8,9 +8,9 @@ token's encoding is inferred (hexadecimal, base 32, base 64), its characters bec
 independent numbers follow: chi-squared of the counts against a uniform alphabet, runs above and below the middle, and
 correlation of each number with the next. The Cauchy combination of the three p-values is the token's randomness.
 The reference for what isn't random is the running text: every document gives one stretch of it, at a place drawn by its
-hash, letters only, at each of the lengths REFERENCE; with tokens of letters alone these are counted by randomness
-within each class of length, which gives every other token (one with a digit at least) an empirical p-value against
-"as ordinary words are". Benjamini-Hochberg at ALPHA over all tokens decides; classes of longer tokens, where
+hash, letters only, at each of the lengths REFERENCE; these are counted by randomness within each class of length, which
+gives every token an empirical p-value against "as ordinary words are". (The reference is a sample of each text, one
+stretch of a length; all tokens of all texts are tested.) Benjamini-Hochberg at ALPHA over all tokens decides; classes of longer tokens, where
 the tests tell more, weigh in proportion to length (the weights average 1 over the tokens, so the control holds).
 Those that pass are spans of kind ``random``. Counts are kept by cell (class, randomness bin), of which there is a fixed
 number, so what is broadcast does not grow with the data.
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     rows = rows.select("rid", "key", "kind", "pos", "m.gap", F.length("m.hit").alias("n"), F.length("m.own").alias("own"), F.when(token, F.col("m.hit")).alias("token"))
     tested = rows.withColumn("t", F.when(F.col("token").isNotNull(), randomness(F.col("token"))))
     cls, b = _cell(F.col("t.p"), F.col("n"))
-    tested = tested.select("rid", "key", "kind", "pos", "gap", "n", "own", F.when(token, cls).alias("cls"), F.when(token, b).alias("bin"), (F.col("token").rlike("[0-9]") & (F.col("kind") == 3)).alias("maybe"))
+    tested = tested.select("rid", "key", "kind", "pos", "gap", "n", "own", F.when(token, cls).alias("cls"), F.when(token, b).alias("bin"), (F.col("kind") == 3).alias("maybe"))
     tested = staged(tested)
 
     cells = tested.where("kind >= 3").groupBy("cls", "bin").agg(F.count_if(~F.col("maybe")).alias("words"), F.count_if("maybe").alias("n"), F.sum(F.when(F.col("maybe"), F.col("n"))).alias("chars"))

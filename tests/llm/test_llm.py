@@ -115,17 +115,45 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.remove_repeats(none(spark)).count() == 0
 
 
-@pytest.mark.parametrize("memory", [64, 1 << 20])
-def test_induced_order_equals_sorting(memory, monkeypatch, tmp_path):
-    monkeypatch.setattr(induced, "DIRECT", 3)
+@pytest.mark.parametrize("limits", [{}, {"hot": 60, "shard": 200, "memory": 256}, {"hot": 400, "shard": 1000, "memory": 4096}])
+def test_a_passage_in_every_text_is_split_over_tasks(spark, limits):
+    rng = random.Random(8)
+    some = lambda a, b: "".join(rng.choices("abcdefgh", k=rng.randint(a, b)))
+    passage = some(14, 14)
+    texts = [some(30, 60) + passage + some(30, 60) for _ in range(150)]
+    texts += [t[5:50] for t in texts[-40:]] + [passage * 9]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select(F.struct("k").alias("rid"), "text").repartition(3)
+    got = {r.rid.k: r.ranges for r in repeats.repeated_ranges(frame, "rid", "text", 16, **limits).collect()}
+    assert [(sum(x.b - x.a for x in got.get(i, [])), len(got.get(i, []))) for i in range(len(texts))] == [b[1:3] for b in repeats.brute_force(texts, 16)]
+
+
+@pytest.mark.parametrize("memory", [64, 4096, 1 << 20])
+def test_induced_order_equals_sorting(memory, tmp_path):
     rng = random.Random(memory)
-    for _ in range(60):
-        t = np.array([rng.randint(0, rng.choice([1, 2, 5])) for _ in range(rng.randint(2, 50))] + [0], np.uint16)
-        got = np.concatenate(list(induced._order(t, str(tmp_path), memory, 10)))
+    for direct in (0, 3, 1000) * 20:
+        space = induced.Space(str(tmp_path), memory)
+        space.direct = direct  # names sorted at once: the recursion goes on below 2
+        t = np.array([rng.randint(0, rng.choice([1, 2, 5])) for _ in range(rng.randint(2, 60))] + [0], np.uint16)
+        if direct == 3:
+            t = np.array(([1] * rng.randint(1, 40) + [0] + [1, 2] * rng.randint(1, 20) + [0]) * 2, np.uint16)
+        blocks = list(induced.order(t, space, 10))
+        got, common = np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
         x = t.tolist()
         want = sorted(range(len(x)), key=lambda i: x[i:])
         shared = [0] + [next((k for k in range(11) if k == 10 or max(a, b) + k >= len(x) or x[a + k] != x[b + k]), 10) for a, b in zip(want, want[1:])]
-        assert got[:, 0].tolist() == want and np.minimum(got[:, 1], 10).tolist() == shared
+        assert got.tolist() == want and np.minimum(common, 10).tolist() == shared
+        assert np.concatenate([b[0] for b in induced.order(t, space, 0)]).tolist() == want
+
+
+def test_a_shard_of_many_times_the_memory(tmp_path):
+    rng = random.Random(6)
+    base = "".join(rng.choices("abcdefgh ", k=40_000)).encode()
+    strings = [base[a : a + 900] for a in (rng.randrange(len(base) - 900) for _ in range(250))]
+    space = induced.Space(str(tmp_path), 20_000)  # a tenth of the text, a hundredth of its queues
+    t = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, 0) for s in strings]).astype(np.uint16)
+    got = [len(x) for x in induced.repeated(t, np.array([900] * 250), 100, space)]
+    seen = collections.Counter(s[i : i + 100] for s in strings for i in range(801))
+    assert got == [sum(seen[s[i : i + 100]] > 1 for i in range(801)) for s in strings]
 
 
 # 4
@@ -147,6 +175,9 @@ def test_quality_of_odd_rows(spark):
     assert set(quality.classify(frame, labels.limit(0)).toPandas().score) == {0.5}
     assert quality.good_documents(frame, labels.limit(0)).count() == frame.count()
     assert quality.classify(none(spark), labels).count() == 0
+    clash = frame.withColumn("score", F.lit("mine")).withColumn("key", F.lit("mine")).withColumn("x", F.lit(1))
+    assert quality.classify(clash, labels).columns == ["key", "held_out", "score", "predicted"]
+    assert quality.good_documents(clash, labels).columns == clash.columns
     x, y = quality.pool(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.5]), np.ones(6))
     assert (np.diff(y) >= 0).all() and len(x) == len(y)
 
@@ -169,6 +200,34 @@ def test_nearest_against_brute_force(spark):
     assert hits / total >= 0.9
 
 
+def test_recall_where_few_leaves_are_taken(spark):
+    n = 20_000
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = rp_forest.nearest(frame, F.pmod("vec_id", F.lit(500)) == 0).toPandas()
+    trees = [rp_forest.Tree(x.astype(np.float32), np.random.default_rng([rp_forest.SEED, t]), rp_forest.LEAF) for t in range(rp_forest.TREES)]
+    leaves = [t.leaves(x.astype(np.float32)) for t in trees]
+    hits, measured = 0, 0
+    for q in range(0, n, 500):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        hits += len(set(np.argsort(d)[1:11]) & set(got[got.query_id == q].vec_id))
+        votes = np.zeros(n, int)
+        for t, leaf in rp_forest.search(trees, x[q].astype(np.float32), rp_forest.PROBE):
+            votes += leaves[t] == leaf
+        measured += (votes >= rp_forest.VOTES).mean() / (n / 500)
+    assert len(got) == n // 500 * 10 and hits / len(got) >= 0.9 and measured < 0.2, (hits / len(got), measured)
+
+
+def test_queries_of_several_passes(spark, monkeypatch):
+    want = queries.op5_rp_forest(spark, SF).toPandas()
+    monkeypatch.setattr(rp_forest, "PASS", 2)
+    monkeypatch.setattr(rp_forest, "TOGETHER", 1)
+    monkeypatch.setattr(rp_forest, "BLOCK", 100)
+    same(queries.op5_rp_forest(spark, SF).toPandas(), want)
+
+
 def test_nearest_with_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0])] + [(i, [1.0, 0.0]) for i in range(1, 31)] + [(200, None), (201, []), (202, [0.0, 0.0]), (203, [nan, 1.0]), (204, [inf, 1.0]), (205, [None, 1.0]), (206, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0]), (300, [0.9, 0.1])]
@@ -214,9 +273,30 @@ def test_line_dedup_counts_the_words_of_a_run(spark):
     assert got[1][1] == got[3][1] == got[4][1] == got[5][1] == 0 and got[2] == ("", 2)
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    text = "\n".join(f"line {i * 7919 % 100_003}" if i % 5 else "" for i in range(40_000))
+    frame = spark.createDataFrame([(1, text, ""), (2, text + "\nlast", "")], DOCS)
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.line_dedup(frame).collect()}
+    assert got[1] == (text, 0) and got[2] == ("\n" * 8000 + "last", 32_000)
+
+
 # 8
 
 
+def test_long_chunks_have_the_same_lattice(monkeypatch):
+    lattice, rng = pieces.Lattice(open(pieces.MODEL, "rb").read(), 1.0), random.Random(1)
+    parts = ["the", "ing", "on", "é", "▁", "①", " ", "  ", "x", "Sp", "http"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 300))) for _ in range(20)] + ["x" * 3000, "那" * 700, " " * 900, "", "a b"]
+    keys = np.arange(len(texts), dtype=np.uint64) * np.uint64(99991)
+    monkeypatch.setattr(pieces, "LONGEST", 10**9)
+    ids, ends = lattice.encode(texts, keys)
+    for longest, places in ((512, 1 << 14), (3, 50), (3, 1000)):
+        monkeypatch.setattr(pieces, "LONGEST", longest)
+        monkeypatch.setattr(pieces, "PLACES", places)
+        got = lattice.encode(texts, keys)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == ends.tolist()
+
+
 def test_pieces_follow_the_lattice_and_come_back():
     lattice = pieces.Lattice(open(pieces.MODEL, "rb").read(), 1.0)
 
@@ -244,6 +324,9 @@ def test_pieces_do_not_depend_on_partitions(spark, docs):
     assert read(once) == read(pieces.encode(frame.repartition(7), check="ok")) and once.where("not ok").count() == 0
     assert pieces.decode(once).where("not decoded <=> text").count() == 0
     assert pieces.encode(none(spark)).count() == 0
+    clash = odd(spark, "a b").withColumn("pieces", F.lit("mine")).withColumn("__sp", F.lit(1))
+    out = pieces.encode(clash)
+    assert out.columns == ["doc_id", "text", "lang", "__sp", "pieces"] and out.where("pieces is null").count() == 1
 
 
 # 9
@@ -257,10 +340,17 @@ def test_shards_fit_their_limit(spark, docs):
     assert all(not a.startswith(b) for a in set(out.shard) for b in set(out.shard) if a != b)
 
 
-def test_shards_of_equal_keys_overflow(spark):
-    frame = spark.createDataFrame([(1, "x" * 100, "")] * 50 + [(2, "y", "")], DOCS)
-    out = sharding.shard(frame, 1000).toPandas()
-    assert out.groupby(["shard", "overflow"]).n_bytes.sum().max() <= 1000 and len(out) == 51
+@pytest.mark.parametrize("chain", [7, sharding.CHAIN])
+def test_shards_of_equal_keys_overflow(spark, chain):
+    rng = random.Random(chain)
+    rows = [(1, "x" * rng.choice([0, 1, 49, 400, 499, 500, 501, 900, 1000, 1500]), "") for _ in range(200)] + [(i, "y" * rng.randint(0, 300), "") for i in range(2, 60)] + [(None, "z" * 700, "")] * 2
+    frame = spark.createDataFrame(rows, DOCS).withColumn("n", F.lit("mine")).withColumn("h", F.lit(3)).withColumn("shard", F.lit("mine"))
+    out = sharding.shard(frame, 1000, chain=chain).toPandas()
+    assert len(out) == len(rows) and list(out.columns) == ["doc_id", "lang", "n", "h", "n_bytes", "depth", "shard", "overflow", "shard_bytes"]
+    each = out.groupby(["shard", "overflow"]).agg(total=("n_bytes", "sum"), rows=("n_bytes", "count"), low=("shard_bytes", "min"), high=("shard_bytes", "max"))
+    assert ((each.total <= 1000) | (each.rows == 1)).all() and (each.low == each.total).all() and (each.high == each.total).all()
+    # no more shards than twice the bytes need, and one for each row over half the limit
+    assert len(each) <= 2 * out.n_bytes.sum() / 1000 + (out.n_bytes > 500).sum() + 60
     assert sharding.shard(odd(spark, "a")).count() == 8 and sharding.shard(none(spark)).count() == 0
 
 
@@ -335,6 +425,25 @@ def test_first_round_that_proposes_nothing_is_not_the_last(spark, monkeypatch):
     assert {r.component_id for r in minhash.near_components(frame, shingle=4).collect()} == {0}
 
 
+@pytest.mark.parametrize("room", [minhash.BIT_BYTES, 600])
+def test_closure_with_few_bit_rows(monkeypatch, room):
+    monkeypatch.setattr(minhash, "BIT_BYTES", room)
+    monkeypatch.setattr(minhash, "AT_ONCE", 3)
+    texts = [t.encode() for t in twins(30)]
+    sets = minhash.shingle_sets(texts, 4)
+    root = minhash.closure(sets, minhash.pack(np.stack([minhash.minima(s) for s in sets])), 80)
+    want = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 80 * (len(a) + len(b) - both):
+                    want[i] = want[j] = min(want[i], want[j])
+        if [want[w] for w in want] == want:
+            break
+    assert root.tolist() == want
+
+
 def test_near_dedup_of_odd_rows(spark):
     frame = odd(spark, "a b c d e f g h", "A b c d e f g h", "q").withColumn("t", F.lit("mine")).withColumn("n", F.lit(1))
     got = sorted((r.doc_id if r.doc_id is not None else -1) for r in minhash.near_dedup(frame).collect())
@@ -368,3 +477,14 @@ def test_pipeline_stages(spark, docs):
     assert clean.where("contaminated").count() == 0
     final = corpus_pipeline.run(spark, SF)
     assert final.where("not lossless").count() == 0 and final.count() == rows.count()
+
+
+def test_pipeline_stages_of_odd_rows(spark, docs):
+    """Nulls, empty and repeated rows and more columns pass every stage; empty tables stay empty."""
+    frame = docs.limit(40).unionByName(odd(spark, "one two three").withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+    frame = frame.withColumn("score", F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, SF)
+        assert name == "sentencepiece" or out.columns == frame.columns, name
+        assert 0 < out.count() <= frame.count(), name
+        assert stage(spark, frame.limit(0), SF).count() == 0, name
