@@ -1,6 +1,11 @@
 """Documents to training pieces in five stages, each one of the operators of ``tessera.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Nulls and edges, beside those of the operators: a null or empty text is judged by the classifier as an empty one, has no
+lines, no shingles and no words, so only the classifier may drop it, and it gets null or no pieces; a row with a null id
+is kept by every stage that keeps its text; rows equal in id and text count as one document, of which near-dedup leaves
+one row; n_chars is counted anew where lines were removed; further columns go along. Empty tables give empty tables.
 """
 
 from __future__ import annotations
