@@ -116,7 +116,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", gram: i
     rid, gone = f"{P}rid", f"{P}gone"
     found = repeated_lines(docs, key, text, gram, window, min_words).select(F.col("rid").alias(rid), F.col("lines").alias(gone))
     body = F.col(f"`{text}`")
-    out = docs.withColumn(rid, _key(docs, key, text)).join(found, rid, "left")
+    # sorted on both sides at every size: what is found grows with the documents
+    out = docs.withColumn(rid, _key(docs, key, text)).join(found.hint("merge"), rid, "left")
     counts = {
         "lines_before": F.coalesce(F.size(F.filter(F.split(body, "\n", -1), is_unit)), F.lit(0)),
         "lines_removed": F.coalesce(F.size(gone), F.lit(0)),
