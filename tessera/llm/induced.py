@@ -26,8 +26,10 @@ import numpy as np
 
 from .hashing import BASE, INVERSE, U, powers
 
-MEMORY = 8 << 20
+MEMORY = 32 << 20
 FAR = 1 << 40
+#: Shared lengths are kept up to this.
+TOP = 32_000
 
 
 class Space:
@@ -36,7 +38,7 @@ class Space:
     def __init__(self, folder: str, memory: int):
         self.folder, self.memory = folder, memory
         #: Entries taken at once, and names sorted at once.
-        self.block, self.direct = max(16, memory // 128), memory // 64
+        self.block, self.direct = max(16, memory // 128), memory // 256
 
     def array(self, n: int, kind: type) -> np.ndarray:
         if n * np.dtype(kind).itemsize <= self.memory // 16:
@@ -47,13 +49,17 @@ class Space:
         os.unlink(path)  # the mapping keeps the file until it is dropped
         return np.asarray(out)
 
+    def places(self, n: int, of: int) -> np.ndarray:
+        """Room for n positions in a text of ``of`` characters."""
+        return self.array(n, np.int32 if of < 1 << 31 else np.int64)
+
     def blocks(self, n: int, start: int = 0) -> Iterator[tuple[int, int]]:
         for a in range(start, n, self.block):
             yield a, min(n, a + self.block)
 
     def where(self, n: int, test) -> np.ndarray:
         """Positions for which ``test(a, b)``, true or false for those from a to b, is true."""
-        out = self.array(sum(int(test(a, b).sum()) for a, b in self.blocks(n)), np.int64)
+        out = self.places(sum(int(test(a, b).sum()) for a, b in self.blocks(n)), n)
         at = 0
         for a, b in self.blocks(n):
             hit = np.flatnonzero(test(a, b)) + a
@@ -62,25 +68,31 @@ class Space:
         return out
 
 
+STEP = 1 << 12
+
+
 class Hashes:
     """Prefix sums from which equality of any two stretches of a text is told; worked out a block at a time."""
 
     def __init__(self, t: np.ndarray, space: Space):
         self.n, block = len(t), space.block
-        self.sums, self.back = space.array(self.n + 1, np.uint64), space.array(self.n + 1, np.uint64)
-        base, back = powers(BASE, block + 1), powers(INVERSE, block + 1)
-        up = down = U(1)
+        self.sums = space.array(self.n + 1, np.uint64)
+        base, up = powers(BASE, block + 1), U(1)
+        # INVERSE**a is the product of one of each
+        self.low = powers(INVERSE, STEP + 1)
+        self.high = np.cumprod(np.append(U(1), np.full(self.n // STEP, self.low[STEP])), dtype=U)
         with np.errstate(over="ignore"):
-            for i in range(0, self.n + 1, block):
+            for i in range(0, self.n, block):
                 part = t[i : i + block]
                 self.sums[i + 1 : i + 1 + len(part)] = self.sums[i] + np.cumsum((part.astype(U) + U(7)) * (base[: len(part)] * up))
-                m = min(block, self.n + 1 - i)
-                self.back[i : i + m] = back[:m] * down
-                up, down = up * base[block], down * back[block]
+                up = up * base[block]
+
+    def _of(self, a: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return (self.sums[a + m] - self.sums[a]) * self.low[a % STEP] * self.high[a // STEP]
 
     def same(self, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (self.sums[a + m] - self.sums[a]) * self.back[a] == (self.sums[b + m] - self.sums[b]) * self.back[b]
+            return self._of(a, m) == self._of(b, m)
 
     def shared(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and b, ``most`` at most."""
@@ -95,12 +107,12 @@ class Hashes:
 class Queue:
     """Suffixes by character, in ascending order in the end; ``up``: they arrive in ascending order, else in descending."""
 
-    def __init__(self, counts: np.ndarray, space: Space, up: bool, carry: bool):
+    def __init__(self, counts: np.ndarray, space: Space, up: bool, carry: bool, of: int):
         self.first = np.concatenate(([0], np.cumsum(counts)))
         self.filled, self.up = np.zeros(len(counts), np.int64), up
-        self.pos = space.array(int(self.first[-1]), np.int64)
+        self.pos = space.places(int(self.first[-1]), of)
         #: Length of the prefix shared with the next smaller suffix of the same character.
-        self.shared = space.array(int(self.first[-1]) + 1, np.int64) if carry else None
+        self.shared = space.array(int(self.first[-1]) + 1, np.int16) if carry else None
 
     def put(self, to: np.ndarray, pos: np.ndarray, shared: np.ndarray | None = None) -> None:
         """``to``: characters, sorted; those of one character in order of arrival."""
@@ -112,7 +124,7 @@ class Queue:
         slot = self.first[to] + at if self.up else self.first[to + 1] - 1 - at
         self.pos[slot] = pos
         if shared is not None:
-            self.shared[slot if self.up else np.where(slot + 1 < self.first[to + 1], slot + 1, len(self.pos))] = shared
+            self.shared[slot if self.up else np.where(slot + 1 < self.first[to + 1], slot + 1, len(self.pos))] = np.minimum(shared, TOP)
         self.filled[to[starts]] += many
 
     def lacking(self, a: int, b: int) -> np.ndarray:
@@ -121,8 +133,8 @@ class Queue:
     def arrived(self, c: int, a: int, b: int) -> np.ndarray:
         """The suffixes of ``c`` that came as number a to b."""
         if self.up:
-            return np.array(self.pos[self.first[c] + a : self.first[c] + b])
-        return np.array(self.pos[self.first[c + 1] - b : self.first[c + 1] - a][::-1])
+            return self.pos[self.first[c] + a : self.first[c] + b].astype(np.int64)
+        return self.pos[self.first[c + 1] - b : self.first[c + 1] - a][::-1].astype(np.int64)
 
 
 class Text:
@@ -163,8 +175,8 @@ class Text:
     def induce(self, seeds: Queue, joint, most: int) -> tuple[Queue, Queue]:
         """From the S* in ``seeds`` all suffixes: the larger and the smaller ones. ``joint``: the shared prefixes of suffixes
         of one character that no scan tells; None: none are carried."""
-        larger = Queue(self.counts(lambda a, b: ~self.kind[a:b]), self.space, True, joint is not None)
-        smaller = Queue(self.counts(lambda a, b: self.kind[a:b]), self.space, False, joint is not None)
+        larger = Queue(self.counts(lambda a, b: ~self.kind[a:b]), self.space, True, joint is not None, self.n)
+        smaller = Queue(self.counts(lambda a, b: self.kind[a:b]), self.space, False, joint is not None, self.n)
         self._scan(larger, larger, seeds, True, joint)
         self._scan(smaller, larger, smaller, False, joint)
         return larger, smaller
@@ -237,18 +249,18 @@ class Text:
         """Blocks (position, shared with the one taken before) of the characters c to d."""
         a, b, e, f = low.first[c], low.first[d + 1], high.first[c], high.first[d + 1]
         if c < d:
-            pos = np.concatenate((low.pos[a:b], high.pos[e:f]))
+            pos = np.concatenate((low.pos[a:b], high.pos[e:f])).astype(np.int64)
             pos = pos[np.argsort(self.t[pos].astype(np.int64) * 2 + (np.arange(len(pos)) >= b - a), kind="stable")]
             yield (pos if up else pos[::-1]), None
             return
         parts = [(low, x, y) for x, y in self.space.blocks(b, a)] + [(high, x, y) for x, y in self.space.blocks(f, e)]
         above = 0
         for q, x, y in parts if up else parts[::-1]:
-            pos, shared = np.array(q.pos[x:y]), None
+            pos, shared = q.pos[x:y].astype(np.int64), None
             if joint:
-                shared = np.array(q.shared[x:y])
+                shared = q.shared[x:y].astype(np.int64)
                 if x == q.first[c]:
-                    shared[0] = joint(low.pos[b - 1], pos[0]) if q is high and b > a else 0
+                    shared[0] = joint(int(low.pos[b - 1]), int(pos[0])) if q is high and b > a else 0
                 if not up:
                     shared, above = np.append(shared[1:], above)[::-1], int(shared[0])
             yield (pos if up else pos[::-1]), shared
@@ -314,7 +326,7 @@ def _equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.nda
 def _sorted_stars(x: Text, star: np.ndarray) -> np.ndarray:
     """The S* in order."""
     space, t = x.space, x.t
-    seeds = Queue(x.counts(x.star), space, True, False)
+    seeds = Queue(x.counts(x.star), space, True, False, x.n)
     for a, b in space.blocks(len(star)):
         c = t[star[a:b]].astype(np.int64)
         by = np.argsort(c, kind="stable")
@@ -322,16 +334,16 @@ def _sorted_stars(x: Text, star: np.ndarray) -> np.ndarray:
     if len(star) < 2:
         return seeds.pos
     _, smaller = x.induce(seeds, None, 0)
-    got, n = space.array(len(star), np.int64), 0
+    got, n = space.places(len(star), x.n), 0
     for a, b in space.blocks(len(smaller.pos)):
-        pos = np.array(smaller.pos[a:b])
+        pos = smaller.pos[a:b].astype(np.int64)
         pos = pos[(pos > 0) & ~x.kind[np.maximum(pos - 1, 0)]]
         got[n : n + len(pos)] = pos
         n += len(pos)
     del seeds, smaller
-    reduced, name, before = space.array(len(star), np.int64), -1, None
+    reduced, name, before = space.places(len(star), x.n), -1, None
     for a, b in space.blocks(len(got)):
-        pos = np.array(got[a:b])
+        pos = got[a:b].astype(np.int64)
         at = np.searchsorted(star, pos)
         # the last piece ends with the text and equals no other
         length = np.where(at + 1 < len(star), star[np.minimum(at + 1, len(star) - 1)] - pos + 1, 0)
@@ -361,10 +373,10 @@ def order(t: np.ndarray, space: Space, most: int) -> Iterator[tuple[np.ndarray,
     x = Text(t, space)
     star = space.where(len(t), x.star)
     placed = _sorted_stars(x, star)
-    seeds, joint = Queue(x.counts(x.star), space, True, bool(most)), Joint(Hashes(t, space), most) if most else None
+    seeds, joint = Queue(x.counts(x.star), space, True, bool(most), x.n), Joint(Hashes(t, space), most) if most else None
     for a, b in space.blocks(len(placed)):
-        pos = np.array(placed[a:b])
-        shared = joint.hashes.shared(np.append(placed[max(0, a - 1)], pos[:-1]), pos, most) if most else None
+        pos = placed[a:b].astype(np.int64)
+        shared = joint.hashes.shared(np.append(int(placed[max(0, a - 1)]), pos[:-1]), pos, most) if most else None
         seeds.put(t[pos].astype(np.int64), pos, shared)
     larger, smaller = x.induce(seeds, joint, most)
     for c in range(x.letters) if most else ():
@@ -380,7 +392,7 @@ def repeated(t: np.ndarray, lengths: np.ndarray, size: int, space: Space) -> Ite
     """For each string of ``t`` (strings of these lengths, each followed by a 0, of characters above 0) the starts of its
     stretches of ``size`` that also start elsewhere in ``t``; each is compared once more, character by character."""
     mark, before = space.array(len(t) + 1, bool), 0
-    partner = space.array(len(t), np.int64)  # 1 + a place of the same stretch
+    partner = space.places(len(t), len(t))  # 1 + a place of the same stretch
     for pos, shared in order(t, space, size):
         hit = np.flatnonzero(shared >= size)
         partner[pos[hit]] = np.append(before, pos[:-1])[hit] + 1
@@ -388,7 +400,7 @@ def repeated(t: np.ndarray, lengths: np.ndarray, size: int, space: Space) -> Ite
     step = max(1, space.block // size)
     for a, b in space.blocks(len(t)):
         one = np.flatnonzero(partner[a:b]) + a
-        two = partner[one] - 1
+        two = partner[one].astype(np.int64) - 1
         # after a stretch that is equal, only the next character of both needs a look
         follows = np.concatenate(([False], (np.diff(one) == 1) & (np.diff(two) == 1)))[: len(one)]
         follows &= bool((t[one[follows] + size - 1] == t[two[follows] + size - 1]).all())

@@ -43,7 +43,7 @@ from .common import drop_staged, small_or_shuffled, staged
 from .hashing import BASE, INVERSE, U, batches, mix, powers
 from .induced import MEMORY, Space, repeated
 
-SIZE, SHARD, HOT = 400, 8 << 20, 2 << 20
+SIZE, SHARD, HOT = 400, 2 << 20, 2 << 20
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
