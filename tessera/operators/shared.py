@@ -7,8 +7,20 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; where it is unset and Spark runs
+    in one process (tests), a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's ``spark.checkpoint.dir``, or a temporary folder where it is unset (tests)."""
+    """Make checkpoint() usable."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        context.setCheckpointDir(shared_dir(spark))

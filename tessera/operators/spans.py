@@ -85,60 +85,98 @@ def best_per_group(df: DataFrame, keys: list[str], *order: Column | str) -> Data
 
 
 def identity_vote(df: DataFrame, key: str, order: str, label: str, value: str, window: int = 5, least: int = 3) -> DataFrame:
-    """``df`` with ``voted`` and ``vote_mean``: the first label with ``least`` of the last ``window`` votes locks and stays; the
-    mean is of the winning votes at that row. Equal counts go to the label seen first in the window."""
+    """``df`` with ``voted`` and ``vote_mean``. The label with most of the last ``window`` votes holds once it has ``least``
+    of them (or all, while there are fewer); until another one does so, it stays. Equal counts go to the label seen first
+    in the window. The mean is of the window's votes for the label that holds; without any, the row's own value."""
     w = Window.partitionBy(key).orderBy(order)
     rows = df.withColumn("held_i", F.collect_list(F.struct(F.col(label).alias("l"), F.col(value).alias("v"))).over(w.rowsBetween(-(window - 1), 0)))
     names = F.array_distinct(F.transform("held_i", lambda x: x["l"]))
     counted = F.transform(names, lambda n: F.struct(F.size(F.filter("held_i", lambda x: x["l"] == n)).alias("n"), (-F.array_position(names, n)).alias("first"), n.alias("l")))
     rows = rows.withColumn("best_i", F.array_max(counted))
-    mean = F.aggregate(F.filter("held_i", lambda x: x["l"] == F.col("best_i.l")), F.lit(0.0), lambda s, x: s + x["v"]) / F.col("best_i.n")
-    lock = F.when(F.col("best_i.n") >= least, F.struct(F.col("best_i.l").alias("l"), mean.alias("m")))
-    rows = rows.withColumn("lock_i", F.first(lock, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn("voted", F.col("lock_i.l")).withColumn("vote_mean", F.col("lock_i.m")).drop("held_i", "best_i", "lock_i")
+    holds = F.when(F.col("best_i.n") >= F.least(F.lit(least), F.size("held_i")), F.col("best_i.l"))
+    rows = rows.withColumn("voted", F.last(holds, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.filter("held_i", lambda x: x["l"] == F.col("voted"))
+    mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda s, x: s + x["v"]) / F.size(own)).otherwise(F.col(value))
+    return rows.withColumn("vote_mean", mean).drop("held_i", "best_i")
+
+
+def most_voted(votes: list[str]) -> tuple[str, int]:
+    """The label with most votes, the one that came first of several, and their number."""
+    best = max(dict.fromkeys(votes), key=votes.count)
+    return best, votes.count(best)
+
+
+class Vote:
+    """Identity of one track from its last votes, as identity_vote() has it row by row."""
+
+    def __init__(self, window: int = 5, least: int = 3):
+        self.window, self.least = window, least
+        self.labels: list[str] = []
+        self.values: list[float] = []
+        self.label: str | None = None
+
+    def push(self, label: str, value: float) -> float:
+        self.labels, self.values = [*self.labels, label][-self.window :], [*self.values, value][-self.window :]
+        best, n = most_voted(self.labels)
+        if n >= min(self.least, len(self.labels)):
+            self.label = best
+        own = [v for x, v in zip(self.labels, self.values) if x == self.label]
+        return sum(own) / len(own) if own else value
 
 
 class Smoother:
-    """State of one track: labels seen lately, running averages by label, the label that holds."""
+    """State of one track: trusted labels seen lately, running averages by label, the label that holds.
 
-    def __init__(self, mode: str, window: int = 7, agree: int = 4, alpha: float = 0.45, fast: float = 0.55):
-        self.mode, self.window, self.agree, self.alpha, self.fast = mode, window, agree, alpha, fast
+    Rows under ``trust`` never vote. The majority takes over when it has ``agree`` of the last ``window`` votes and more
+    than the label that holds; the first one when it has ``agree`` or all of them. The averages (EMA) take over at
+    ``trust`` or more. Hybrid: the majority, but a row of ``fast`` or more that the averages agree with takes over at once.
+    As long as no label holds, a row keeps its own."""
+
+    def __init__(self, mode: str, labels: list[str], window: int = 7, agree: int = 4, alpha: float = 0.45, fast: float = 0.55, trust: float = 0.4):
+        self.mode, self.labels, self.window, self.agree, self.alpha, self.fast, self.trust = mode, sorted(labels), window, agree, alpha, fast, trust
         self.held: list[str] = []
-        self.mean: dict[str, float] = {}
+        self.mean: list[float] = []
         self.label: str | None = None
 
+    def _majority(self) -> str | None:
+        if not self.held:
+            return self.label
+        best, n = most_voted(self.held)
+        need = min(self.agree, len(self.held)) if self.label is None else max(self.agree, self.held.count(self.label) + 1)
+        return best if n >= need else self.label
+
     def push(self, label: str, confidence: float) -> str:
-        self.held = (self.held + [label])[-self.window :]
-        a = self.alpha if self.mean else 1.0
-        self.mean = {k: (1 - a) * self.mean.get(k, 0.0) + a * (confidence if k == label else 0.0) for k in sorted({*self.mean, label})}
-        top = max(self.mean, key=lambda k: (self.mean[k], k == self.label))
-        if self.mode == "ema" or self.label is None:
-            self.label = top if self.mode != "majority" else label
-        elif self.mode == "hybrid" and confidence >= self.fast and top == label:
+        if confidence >= self.trust:
+            self.held = [*self.held, label][-self.window :]
+        now = [confidence if k == label else 0.0 for k in self.labels]
+        self.mean = [self.alpha * p + (1 - self.alpha) * m for p, m in zip(now, self.mean)] if self.mean else now
+        high = max(self.mean)
+        top = self.labels[self.mean.index(high)]
+        if self.mode == "ema":
+            if self.label is None or high >= self.trust:
+                self.label = top
+        elif self.mode == "hybrid" and confidence >= max(self.fast, self.trust) and top == label:
             self.label = label
-        elif self.mode != "ema":
-            counts = {k: self.held.count(k) for k in dict.fromkeys(self.held)}
-            best = max(counts, key=counts.get)
-            if counts[best] >= self.agree:
-                self.label = best
-        return self.label
+        else:
+            self.label = self._majority()
+        return self.label or label
 
     def state(self) -> tuple:
-        return "\t".join(self.held), "\t".join(self.mean), "\t".join(repr(v) for v in self.mean.values()), self.label or ""
+        return "\t".join(self.held), "\t".join(map(repr, self.mean)), self.label or ""
 
-    def restore(self, held: str, names: str, values: str, label: str) -> Smoother:
+    def restore(self, held: str, mean: str, label: str) -> Smoother:
         self.held = held.split("\t") if held else []
-        self.mean = dict(zip(names.split("\t"), map(float, values.split("\t")))) if names else {}
+        self.mean = [float(x) for x in mean.split("\t")] if mean else []
         self.label = label or None
         return self
 
 
-def smooth(df: DataFrame, key: str, order: str, label: str, confidence: str, mode: str, **config) -> DataFrame:
+def smooth(df: DataFrame, key: str, order: str, label: str, confidence: str, mode: str, labels: list[str], **config) -> DataFrame:
     """``df`` with ``smoothed``: ``majority`` of the last labels, ``ema`` of the confidences, or ``hybrid`` of both. The label that
     holds feeds the next decision, so each track goes in order; a group is one track."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Smoother(mode, **config)
+        s = Smoother(mode, labels, **config)
         pdf = pdf.sort_values(order)
         return pdf.assign(smoothed=[s.push(a, b) for a, b in zip(pdf[label], pdf[confidence])])
 
@@ -162,21 +200,19 @@ def spans(df: DataFrame, key: str, order: str, label: str, confidence: str, gap:
 
 def merge_spans(rows: DataFrame, key: str, gap: float = 0.6, least: float = 0.3) -> DataFrame:
     """Spans of one label at most ``gap`` apart become one (means weighted by n); a span shorter than ``least`` goes into the
-    one before; a short first span of one observation is dropped. A group is one key's spans."""
+    one before; without one before, a short span of one observation is dropped. A group is one key's spans."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
         rows = pdf.sort_values(["start_s", "end_s"]).to_dict("records")
-        for i, r in enumerate(rows):
+        for r in rows:
             last = out[-1] if out else None
             if last and last["label"] == r["label"] and r["start_s"] - last["end_s"] <= gap:
                 n = last["n"] + r["n"]
                 last |= {"confidence": (last["confidence"] * last["n"] + r["confidence"] * r["n"]) / n, "n": n, "end_s": max(last["end_s"], r["end_s"])}
             elif r["end_s"] - r["start_s"] < least and last:
                 last["end_s"] = max(last["end_s"], r["end_s"])
-            elif r["end_s"] - r["start_s"] < least and i == 0 and len(rows) > 1 and r["n"] < 2:
-                continue
-            else:
+            elif last or r["end_s"] - r["start_s"] >= least or r["n"] > 1:
                 out.append(dict(r))
         return pd.DataFrame(out, columns=pdf.columns)
 
@@ -231,17 +267,19 @@ def entity_key(df: DataFrame, known: str, track: str, keep_unknown: bool = True)
     return out if keep_unknown else out.where(F.col(known).isNotNull())
 
 
-def reid_due(df: DataFrame, key: str, order: str, value: str, interval: int = 45, decay: float = 0.15, least: int = 3) -> DataFrame:
-    """``df`` with ``due``: a track is looked at when new, until ``least`` looks, after ``interval`` rows, or once its value fell
-    by ``decay`` below the last look."""
+def reid_due(df: DataFrame, key: str, order: str, label: str, value: str, interval: int = 45, threshold: float = 0.38, unknown: str = "unknown") -> DataFrame:
+    """``df`` with ``due``: a track is looked at when new, ``interval`` rows after the last look, and as long as it is known
+    but the mean of the votes for it is under ``threshold``. Each look is a vote (see identity_vote)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        due, looks, since, seen = [], 0, 0, 0.0
-        for v in pdf[value]:
-            ask = looks < least or since >= interval or seen - v > decay
+        due, vote, since, mean = [], Vote(), 0, 0.0
+        for l, v in zip(pdf[label], pdf[value]):
+            since += 1
+            ask = vote.label is None or since >= interval or (vote.label != unknown and mean < threshold)
+            if ask:
+                mean, since = vote.push(l, v), 0
             due.append(ask)
-            looks, since, seen = (looks + 1, 0, v) if ask else (looks, since + 1, seen)
         return pdf.assign(due=due)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)

@@ -27,9 +27,22 @@ def o1(s, d):
     return S.histogram_cuts(hists(s, d), "key", "i", "hist").withColumn("score", F.round("score", 5))
 
 
-@query("o1_histogram_cuts_with_gap")
+#: Cuts in order; ``at`` is the last one that was kept.
+GAP = f"""
+with recursive {HIST}, cut as (select key, i, score, row_number() over (partition by key order by i) as no from sc where score >= 0.35),
+g as (
+  select key, 0::bigint as no, null::bigint as at, false as kept from (select distinct key from cut)
+  union all
+  select c.key, c.no, case when g.at is null or c.i - g.at >= 500 then c.i else g.at end, g.at is null or c.i - g.at >= 500
+  from g join cut c on c.key = g.key and c.no = g.no + 1
+)
+select key, i, round(score, 5) as score from cut join (select key, no from g where kept) using (key, no)
+"""
+
+
+@query("o1_histogram_cuts_with_gap", GAP.strip())
 def o1_gap(s, d):
-    return S.histogram_cuts(hists(s, d), "key", "i", "hist", 0.35, 500)
+    return S.histogram_cuts(hists(s, d), "key", "i", "hist", 0.35, 500).withColumn("score", F.round("score", 5))
 
 
 @query("o2_adaptive_threshold", sql("with w as (select key, frame, confidence, list_sort(list(confidence) over (partition by key order by frame rows between 47 preceding and current row)) as held from observations) select key, frame, round(case when len(held) >= 12 then greatest(0.35, 3 * (held[(len(held) - 1) // 2 + 1] + held[len(held) // 2 + 1]) / 2 + 0.08) else 0.35 end, 5) as lim from w", "observations"))
@@ -60,22 +73,87 @@ def o5(s, d):
     return S.best_per_group(gate(s, d).withColumn("gate_score", F.round("gate_score", 9)), ["k"], F.desc("gate_score"), "i", "t").select("k", "i", "t")
 
 
-@query("o6_salvage_best", f"with {GATE} select k, i, t from (select *, max((len(reasons) = 0)::int) over (partition by k) as some, row_number() over (partition by k order by round(score, 9) desc, t) as rn from q) where len(reasons) = 0 or (some = 0 and rn <= 3)")
+@query("o6_salvage_best", f"with {GATE} select k, i, t from (select *, max((len(reasons) = 0)::int) over (partition by k) as passing, row_number() over (partition by k order by round(score, 9) desc, t) as rn from q) where len(reasons) = 0 or (passing = 0 and rn <= 3)")
 def o6(s, d):
     return S.salvage_best(gate(s, d).withColumn("gate_score", F.round("gate_score", 9)), ["k"], "passed", "gate_score", "t").select("k", "i", "t")
 
 
-@query("o7_identity_vote", sql("with w as (select key, frame, list({'l': label, 'v': confidence}) over (partition by key order by frame rows between 4 preceding and current row) as held from observations), n as (select key, frame, held, list_distinct(list_transform(held, lambda x: x.l)) as names from w), b as (select key, frame, held, list_sort(list_transform(names, lambda n: {'n': len(list_filter(held, lambda x: x.l = n)), 'first': -list_position(list_transform(held, lambda x: x.l), n), 'l': n}))[-1] as best from n), l as (select key, frame, case when best.n >= 3 then {'l': best.l, 'm': list_sum(list_transform(list_filter(held, lambda x: x.l = best.l), lambda x: x.v)) / best.n} end as lock from b), f as (select key, frame, first_value(lock ignore nulls) over (partition by key order by frame rows unbounded preceding) as lock from l) select key, frame, lock.l as voted, round(lock.m, 8) as vote_mean from f", "observations"))
+#: The label with most votes of a list {v}, the first of several: a struct (n, f, l).
+MOST = "list_sort(list_transform(list_distinct({v}), lambda nm: {{'n': len(list_filter({v}, lambda z: z = nm)), 'f': -list_position({v}, nm), 'l': nm}}))[-1]"
+
+VOTES = f"""
+w as (
+  select key, frame, confidence,
+         list(label) over (partition by key order by frame rows between 4 preceding and current row) as names,
+         list(confidence) over (partition by key order by frame rows between 4 preceding and current row) as vals
+  from observations
+),
+b as (select *, {MOST.format(v='names')} as best from w),
+f as (
+  select *, last_value(case when best.n >= least(3, len(names)) then best.l end ignore nulls)
+            over (partition by key order by frame rows between unbounded preceding and current row) as voted
+  from b
+)
+select key, frame, voted,
+       round(coalesce(list_avg(list_transform(list_filter(list_zip(names, vals), lambda z: z[1] = voted), lambda z: z[2])), confidence), 8) as vote_mean
+from f
+"""
+
+
+@query("o7_identity_vote", sql(f"with {VOTES}", "observations"))
 def o7(s, d):
     return S.identity_vote(obs(s, d), "key", "frame", "label", "confidence").select("key", "frame", "voted", F.round("vote_mean", 8).alias("vote_mean"))
 
 
+LABELS = ["click", "error", "purchase", "signup", "view"]
+
+
+def smoothing(mode: str, silence: float | None = None) -> str:
+    """Row by row within each key: ``held`` trusted labels, ``ema`` by label, ``cur`` the label that holds. After more than
+    ``silence`` seconds a key begins anew."""
+    new = {
+        "majority": "maj",
+        "ema": "case when cur is null or list_max(nema) >= 0.4 then top else cur end",
+        "hybrid": "case when confidence >= 0.55 and top = label then label else maj end",
+    }[mode]
+    anew = f"o.sec - o.before > {silence}" if silence else "false"
+    return f"""
+with recursive o as (
+  select key, frame, sec, label, confidence, row_number() over w as i, lag(sec) over w as before
+  from observations window w as (partition by key order by frame)
+),
+s as (
+  select key, 0::bigint as i, 0::bigint as frame, []::varchar[] as held, null::double[] as ema, null::varchar as cur, null::varchar as smoothed
+  from (select distinct key from observations)
+  union all
+  select key, i, frame, nheld, nema, {new} as ncur, coalesce({new}, label) from (
+    select *, {LABELS}[list_position(nema, list_max(nema))] as top,
+           case when len(nheld) = 0 then cur
+                when best.n >= case when cur is null then least(4, len(nheld)) else greatest(4, 1 + len(list_filter(nheld, lambda z: z = cur))) end then best.l
+                else cur end as maj
+    from (
+      select *, case when len(nheld) > 0 then {MOST.format(v='nheld')} end as best from (
+        select o.key, o.i, o.frame, o.label, o.confidence,
+               case when {anew} then null else s.cur end as cur,
+               case when o.confidence >= 0.4 then list_append(case when {anew} then []::varchar[] else s.held end, o.label)[-7:]
+                    when {anew} then []::varchar[] else s.held end as nheld,
+               case when s.ema is null or {anew} then list_transform({LABELS}, lambda z: case when z = o.label then o.confidence else 0.0 end)
+                    else list_transform(list_zip({LABELS}, s.ema), lambda z: 0.45 * (case when z[1] = o.label then o.confidence else 0.0 end) + (1 - 0.45::double) * z[2]) end as nema
+        from s join o on o.key = s.key and o.i = s.i + 1
+      )
+    )
+  )
+)
+select key, frame, smoothed from s where i > 0
+"""
+
+
 for _n, _mode in ((8, "majority"), (9, "ema"), (10, "hybrid")):
 
     def _smooth(s, d, mode=_mode):
-        return S.smooth(obs(s, d), "key", "frame", "label", "confidence", mode).select("key", "frame", "smoothed")
+        return S.smooth(obs(s, d), "key", "frame", "label", "confidence", mode, LABELS).select("key", "frame", "smoothed")
 
-    query(f"o{_n}_smooth_{_mode}")(_smooth)
+    query(f"o{_n}_smooth_{_mode}", sql(smoothing(_mode).strip(), "observations"))(_smooth)
 
 
 ISL = "l as (select *, lag(label) over w as p, lag(sec) over w as ps from observations window w as (partition by key order by sec, label)), f as (select *, coalesce(sec - ps > {gap}, false) as late from l), i as (select *, sum((p is null or p <> label or late)::int) over (partition by key order by sec, label rows unbounded preceding) as island from f), s as (select key, island, min(sec) as start_s, max(sec) as last_s, any_value(label) as label, count(*) as n, avg(confidence) as confidence, bool_or(late) as late from i group by key, island), spans as (select key, label, start_s, case when lead(late) over o or lead(start_s) over o is null then last_s else lead(start_s) over o end as end_s, n, confidence from s window o as (partition by key order by island))"
@@ -96,9 +174,35 @@ def o12(s, d):
     return spans(s, d, 21600.0).withColumn("confidence", F.round("confidence", 8))
 
 
-@query("o13_merge_spans")
+#: Spans in order; ``no`` counts those that came out so far, of which the last one may still grow.
+MERGED = f"""
+with recursive {ISL.format(gap='21600')},
+q as (select *, row_number() over (partition by key order by start_s, end_s) as i from spans),
+m as (
+  select key, 0::bigint as i, 0::bigint as no, null::varchar as label, null::double as start_s, null::double as end_s, 0::bigint as n, 0::double as confidence
+  from (select distinct key from spans)
+  union all
+  select key, i, no + (act = 'new')::bigint,
+         case when act = 'new' then l2 else label end, case when act = 'new' then s2 else start_s end,
+         case when act = 'new' then e2 when act = 'drop' then end_s else greatest(end_s, e2) end,
+         case act when 'new' then n2 when 'join' then n + n2 else n end,
+         case act when 'new' then c2 when 'join' then (confidence * n + c2 * n2) / (n + n2) else confidence end
+  from (
+    select m.key, q.i, m.no, m.label, m.start_s, m.end_s, m.n, m.confidence, q.label as l2, q.start_s as s2, q.end_s as e2, q.n as n2, q.confidence as c2,
+           case when m.no > 0 and m.label = q.label and q.start_s - m.end_s <= 3600 then 'join'
+                when m.no > 0 and q.end_s - q.start_s < 1800 then 'absorb'
+                when m.no > 0 or q.end_s - q.start_s >= 1800 or q.n > 1 then 'new' else 'drop' end as act
+    from m join q on q.key = m.key and q.i = m.i + 1
+  )
+),
+last_of as (select *, row_number() over (partition by key, no order by i desc) as rn from m where no > 0)
+select key, label, start_s, end_s, n, round(confidence, 6) as confidence from last_of where rn = 1
+"""
+
+
+@query("o13_merge_spans", sql(MERGED.strip(), "observations"))
 def o13(s, d):
-    return S.merge_spans(spans(s, d, 21600.0), "key", 3600.0, 1800.0)
+    return S.merge_spans(spans(s, d, 21600.0), "key", 3600.0, 1800.0).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("o14_entity_summary", sql(f"with {ISL.format(gap='21600')} select key, min(start_s) as first_seen, max(end_s) as last_seen, round(sum(end_s - start_s), 3) as total_s, count(*) as spans, sum(change)::bigint as changes from (select *, coalesce((lag(label) over (partition by key order by start_s, end_s) <> label)::int, 0) as change from spans) group by key", "observations"))
@@ -128,8 +232,28 @@ def o17(s, d):
     return S.sample_points(seg.groupBy("video_id").agg(F.min("start_s").alias("a"), F.max("end_s").alias("b")), "video_id", "a", "b", seg.select("video_id", F.col("start_s").alias("at")))
 
 
-@query("o18_sample_changes")
+def changes(forced: str, columns: str) -> str:
+    """Rows in order; ``last`` and ``sent`` are those of the row that went out last."""
+    return f"""
+with recursive o as (select *, row_number() over (partition by key order by sec, frame) as i from observations),
+c as (
+  select key, 0::bigint as i, null::bigint as frame, null::varchar as last, null::double as sent, false as out from (select distinct key from observations)
+  union all
+  select key, i, frame, case when out then label else last end, case when out then sec else sent end, out from (
+    select o.key, o.i, o.frame, o.label, o.sec, c.last, c.sent, {forced} or c.last is null or o.label <> c.last or o.sec - c.sent > 43200 as out
+    from c join o on o.key = c.key and o.i = c.i + 1
+  )
+)
+select {columns} from o join (select key, i from c where out) using (key, i)
+"""
+
+
+@query("o18_sample_changes", sql(changes("o.frame % 50 = 0", "key, frame, label, sec").strip(), "observations"))
 def o18(s, d):
+    return _o18(s, d).select("key", "frame", "label", "sec")
+
+
+def _o18(s, d):
     return S.emit_changes(obs(s, d).withColumn("forced", F.col("frame") % 50 == 0), "key", "sec", "label", "forced", 43200.0)
 
 
@@ -138,9 +262,41 @@ def o19(s, d):
     return S.entity_key(obs(s, d).withColumn("known", F.when(F.col("key") % 3 > 0, F.col("key"))), "known", "key").select("frame", "entity")
 
 
-@query("o20_reid_due")
+#: ``names`` and ``vals`` are the last votes, one for each look.
+DUE = f"""
+with recursive o as (
+  select key, confidence, case label when 'error' then 'unknown' else label end as label, row_number() over (partition by key order by frame) as i
+  from observations
+),
+v as (
+  select key, 0::bigint as i, []::varchar[] as names, []::double[] as vals, null::varchar as who, 0::double as mean, 0::bigint as since, false as due
+  from (select distinct key from observations)
+  union all
+  select key, i, names, vals, now,
+         case when due then coalesce(list_sum(list_transform(list_filter(list_zip(names, vals), lambda z: z[1] = now), lambda z: z[2])) / len(list_filter(names, lambda z: z = now)), confidence) else mean end,
+         case when due then 0 else since end, due
+  from (
+    select *, case when due and best.n >= least(3, len(names)) then best.l else who end as now from (
+      select *, case when len(names) > 0 then {MOST.format(v='names')} end as best from (
+        select key, i, confidence, who, mean, since, due, case when due then list_append(names, label)[-5:] else names end as names,
+               case when due then list_append(vals, confidence)[-5:] else vals end as vals
+        from (
+          select o.key, o.i, o.label, o.confidence, v.names, v.vals, v.who, v.mean, v.since + 1 as since,
+                 v.who is null or v.since + 1 >= 10 or (v.who <> 'unknown' and v.mean < 0.38) as due
+          from v join o on o.key = v.key and o.i = v.i + 1
+        )
+      )
+    )
+  )
+)
+select key, count(*) filter (due) as calls, count(*) as n from v where i > 0 group by key
+"""
+
+
+@query("o20_reid_due", sql(DUE.strip(), "observations"))
 def o20(s, d):
-    return S.reid_due(obs(s, d), "key", "frame", "confidence").groupBy("key").agg(F.count_if("due").alias("calls"), F.count(F.lit(1)).alias("n"))
+    o = obs(s, d).withColumn("label", F.when(F.col("label") == "error", "unknown").otherwise(F.col("label")))
+    return S.reid_due(o, "key", "frame", "label", "confidence", 10).groupBy("key").agg(F.count_if("due").alias("calls"), F.count(F.lit(1)).alias("n"))
 
 
 @query("o21_suppress_overlaps")

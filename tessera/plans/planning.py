@@ -123,11 +123,12 @@ def p15(s, d):
     return P.loudness_eval(e, "m", F.when(F.col("event_type") == "view", "podcast").otherwise("web")).select("event_id", "target", F.round("diff", 4).alias("diff"), "ok")
 
 
-@query("p16_text_drift", "with p as (select conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) as a, lag(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60)) over (partition by conv_id order by turn) as b from conversations) select conv_id, turn, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) as similarity, 1 - levenshtein(a, b) / greatest(length(a), length(b)) < 0.75 as drift from p where b is not null")
+@query("p16_text_drift")
 def p16(s, d):
     from pyspark.sql import Window
 
-    c = view(s, d, "conversations").withColumn("a", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)).withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
+    # whole texts, and by character: DuckDB's distance counts bytes
+    c = view(s, d, "conversations").withColumn("a", F.lower(F.trim("text"))).withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
     return P.text_drift(c, "a", "b").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"), "drift")
 
 

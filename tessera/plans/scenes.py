@@ -109,10 +109,10 @@ def n15(s, d):
     return N.batches(view(s, d, "segments"), ["video_id"], "seg", "seg", 3).withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
-@query("n16_frame_context", sql("with p as (select frame, key, label, sec from observations where frame % 20 = 0), n as (select p.frame, o.label, count(*) as n from p join observations o on o.key = p.key and o.sec between p.sec - 36000 and p.sec + 36000 group by all) select frame, string_agg(label || '=' || n, ',' order by label) as near from n group by 1", "observations"))
+@query("n16_frame_context", sql("with p as (select frame, key, label, sec from observations where frame % 100 = 0), n as (select p.frame, o.label, count(*) as n from p join observations o on o.key = p.key and o.sec between p.sec - 36000 and p.sec + 36000 group by all) select frame, string_agg(label || '=' || n, ',' order by label) as near from n group by 1", "observations"))
 def n16(s, d):
     o = view(s, d, "observations").select("key", "frame", "label", "sec")
-    p = o.where("frame % 20 = 0").select("key", F.col("frame").alias("f"), F.col("sec").alias("a"), F.col("sec").alias("b"))
+    p = o.where("frame % 100 = 0").select("key", F.col("frame").alias("f"), F.col("sec").alias("a"), F.col("sec").alias("b"))
     near = I.points_in(p, o, ["key"], "a", "b", "sec", 36000.0, 36000.0).groupBy("f", "label").agg(F.count(F.lit(1)).alias("n"))
     return near.groupBy(F.col("f").alias("frame")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "label", "n"))), ",").alias("near"))
 
