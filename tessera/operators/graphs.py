@@ -101,7 +101,7 @@ def with_endpoints(edges: DataFrame, src: DataFrame, dst: DataFrame) -> DataFram
 def canonicalise(edges: DataFrame, mapping: DataFrame, ontology: DataFrame) -> DataFrame:
     """Edges with ``canonical``: the mapping's (raw, target) if the target is in the ontology (relation), else OTHER."""
     m = mapping.join(ontology.withColumnRenamed("relation", "target"), "target", "left_semi").select(F.col("raw").alias("relation"), F.col("target").alias("canonical"))
-    return edges.join(F.broadcast(m), "relation", "left").withColumn("canonical", F.coalesce("canonical", F.lit("OTHER")))
+    return edges.join(m, "relation", "left").withColumn("canonical", F.coalesce("canonical", F.lit("OTHER")))
 
 
 def other_share(edges: DataFrame) -> DataFrame:

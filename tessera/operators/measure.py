@@ -241,7 +241,7 @@ def palette(df: DataFrame, keys: list[str], k: int = 4, rounds: int = 3) -> Data
         lists = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("colour", "r", "g", "b"))).alias("cs"))
         away = lambda c: (F.col("r") - c["r"]) ** 2 + (F.col("g") - c["g"]) ** 2 + (F.col("b") - c["b"]) ** 2
         near = F.array_min(F.transform("cs", lambda c: F.struct(F.round(away(c), 12).alias("d"), c["colour"].alias("colour"))))
-        centres = df.join(F.broadcast(lists), keys).withColumn("colour", near["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
+        centres = df.join(lists, keys).withColumn("colour", near["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
     return centres.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).select(*keys, "colour", "r", "g", "b", "share")
 
 
@@ -306,18 +306,35 @@ def vibrance(df: DataFrame, keys: list[str]) -> DataFrame:
     return with_hsv(df).groupBy(*keys).agg(F.avg("sat").alias("mean_sat"), F.coalesce(F.try_divide(F.sum(muted * F.col("sat")), F.sum(muted)), F.lit(0.0)).alias("muted_sat"))
 
 
-#: Offsets in degrees of the templates of hue harmony.
-TEMPLATES = {"mono": (0,), "analogous": (0, 30, -30), "complementary": (0, 180), "split": (0, 150, -150), "triadic": (0, 120, -120), "tetradic": (0, 90, 180, -90)}
-
-
-def harmony(h: DataFrame, keys: list[str], bins: int = 12) -> DataFrame:
-    """(keys, template, fit): the template and rotation whose bins explain most of a hue histogram (bin, p), weighed by the share
-    of its bins that are used. Templates and rotations are a table of fixed size."""
-    width = 360 // bins
-    table = [(n, r, (r + o // width) % bins, len(t)) for n, t in TEMPLATES.items() for r in range(bins) for o in t]
-    t = F.broadcast(h.sparkSession.createDataFrame(table, "template string, turn int, bin int, size int"))
-    rows = h.join(t, "bin").groupBy(*keys, "template", "turn").agg((F.sum("p") * F.count(F.lit(1)) / F.max("size")).alias("fit"))
-    best = rows.groupBy(*keys).agg(F.max(F.struct(F.round("fit", 9).alias("fit"), F.col("template"), (-F.col("turn")).alias("turn"))).alias("b"))
+#: Hue harmonies and the hues in degrees that belong to them, counted from the dominant one.
+HARMONIES = {
+    "monochromatic": (0,),
+    "complementary": (0, 180),
+    "analogous": (0, 30, 330),
+    "triadic": (0, 120, 240),
+    "split_complementary": (0, 150, 210),
+    "tetradic": (0, 90, 180, 270),
+}
+
+
+def harmony(h: DataFrame, keys: list[str], bins: int = 72, tolerance: float = 25.0, least: float = 0.05) -> DataFrame:
+    """(keys, template, fit): the harmony that a hue histogram (bin, p) fits best, turned to its dominant bin. Fit: the mass
+    near the harmony's hues, falling from 1 at a hue to 0 at ``tolerance``, times the share of its hues with a mass of
+    ``least`` or more within ``tolerance``. Ties go to the harmony that is named first. The tables joined are of fixed size."""
+    spark, width = h.sparkSession, 360.0 / bins
+    apart = lambda rel, hue: abs((rel * width - hue + 180.0) % 360.0 - 180.0)
+    near = [(n, rel, max(0.0, 1.0 - min(apart(rel, o) for o in hues) / tolerance)) for n, hues in HARMONIES.items() for rel in range(bins)]
+    at = [(n, i, rel) for n, hues in HARMONIES.items() for i, o in enumerate(hues) for rel in range(bins) if apart(rel, o) <= tolerance]
+    names = [(n, i, len(HARMONIES[n])) for i, n in enumerate(HARMONIES)]
+    near = F.broadcast(spark.createDataFrame(near, "template string, rel int, weight double"))
+    at = F.broadcast(spark.createDataFrame(at, "template string, target int, rel int"))
+    names = F.broadcast(spark.createDataFrame(names, "template string, place int, size int"))
+    top = h.groupBy(*keys).agg(F.max(F.struct("p", (-F.col("bin")).alias("low"))).alias("top"))
+    rows = h.join(top, keys).select(*keys, "p", F.pmod(F.col("bin") + F.col("top.low"), F.lit(bins)).cast("int").alias("rel"))
+    mass = rows.join(near, "rel").groupBy(*keys, "template").agg(F.sum(F.col("p") * F.col("weight")).alias("mass"))
+    used = rows.join(at, "rel").groupBy(*keys, "template", "target").agg(F.sum("p").alias("p")).where(F.round("p", 12) >= least).groupBy(*keys, "template").agg(F.count(F.lit(1)).alias("used"))
+    fits = mass.join(used, [*keys, "template"], "left").join(names, "template").withColumn("fit", F.round(F.col("mass") * F.coalesce("used", F.lit(0)) / F.col("size"), 9))
+    best = fits.groupBy(*keys).agg(F.max(F.struct("fit", (-F.col("place")).alias("place"), "template")).alias("b"))
     return best.select(*keys, "b.template", "b.fit")
 
 

@@ -151,7 +151,7 @@ def finalise_turns(turns: DataFrame, first: DataFrame, second: DataFrame, key: s
     rows = turns.select(key).join(a, key, "left").join(b, key, "left")
     escalate = F.coalesce(F.col("c1") < 0.5, F.lit(True)) & F.col("w2").isNotNull()
     rows = rows.withColumn("who", F.when(escalate, F.col("w2")).otherwise(F.col("w1"))).withColumn("c", F.when(escalate, F.col("c2")).otherwise(F.col("c1")))
-    rows = rows.join(F.broadcast(known.select(F.col("who"), F.lit(True).alias("in_k"))), "who", "left")
+    rows = rows.join(known.select(F.col("who"), F.lit(True).alias("in_k")), "who", "left")
     good = F.col("in_k") & (F.col("c") >= 0.5)
     return rows.select(key, F.when(good, F.col("who")).alias("who"), F.when(F.col("w1").isNull() & F.col("w2").isNull(), "undecided").when(good, "tiebreak").otherwise("unresolved_final").alias("method"))
 

@@ -66,10 +66,10 @@ def fallback_summary(df: DataFrame, keys: list[str], text: str, order: str, most
 
 def resolve_participants(df: DataFrame, cast: DataFrame, name: str) -> DataFrame:
     """``df`` with ``member``: of (member) the one equal to the name, to what is before a bracket, or to it in any case."""
-    exact = F.broadcast(cast.select(F.col("member").alias("m1")))
-    folded = F.broadcast(cast.groupBy(F.lower("member").alias("low__")).agg(F.min("member").alias("m3")))
+    exact = cast.select(F.col("member").alias("m1"))
+    folded = cast.groupBy(F.lower("member").alias("low__")).agg(F.min("member").alias("m3"))
     head = F.trim(F.split(F.col(name), r"\(")[0])
-    rows = df.withColumn("head__", head).join(exact, F.col(name) == F.col("m1"), "left").join(F.broadcast(cast.select(F.col("member").alias("m2"))), F.col("head__") == F.col("m2"), "left")
+    rows = df.withColumn("head__", head).join(exact, F.col(name) == F.col("m1"), "left").join(cast.select(F.col("member").alias("m2")), F.col("head__") == F.col("m2"), "left")
     return rows.join(folded, F.lower(F.trim(F.col(name))) == F.col("low__"), "left").withColumn("member", F.coalesce("m1", "m2", "m3")).drop("m1", "m2", "m3", "low__", "head__")
 
 

@@ -63,7 +63,7 @@ def j7(s, d):
     nested = obs(s, d).withColumn("people", F.array(F.col("label"), F.concat(F.lower("label"), F.lit(" ")), F.lit("other")))
     rows = I.points_in(view(s, d, "turns"), nested, ["key"], "start_s", "end_s", "sec", HALF).select("key", "turn_id", F.explode("people").alias("raw"))
     cast = obs(s, d).select(F.upper(F.trim("label")).alias("person")).distinct().withColumn("yes", F.lit(True))
-    rows = rows.select("key", "turn_id", F.upper(F.trim("raw")).alias("person")).join(F.broadcast(cast), "person", "left")
+    rows = rows.select("key", "turn_id", F.upper(F.trim("raw")).alias("person")).join(cast, "person", "left")
     return rows.groupBy("key", "turn_id", "person", F.coalesce("yes", F.lit(False)).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -216,7 +216,7 @@ def c41(s, d):
 
 @query("c16_harmony")
 def c16(s, d):
-    return M.harmony(M.hist(M.with_hsv(px(s, d)), K, "hue", 12, 0.0, 360.0), K)
+    return M.harmony(M.hist(M.with_hsv(px(s, d)), K, "hue", 72, 0.0, 360.0), K)
 
 
 @query("c31_tone", sql(f"with y as (select frame_id, {Y} as lum from pixels) select frame_id, round(log2(greatest(quantile_cont(lum, 0.5), 1e-4) / 0.18), 9) as stops, round(avg(lum), 9) as brightness, round(quantile_cont(lum, 0.01), 9) as black, round(quantile_cont(lum, 0.99), 9) as white, round(avg((lum <= 0.01)::int), 9) as dark_share, round(avg((lum >= 0.99)::int), 9) as bright_share from y group by 1", "pixels"))
