@@ -20,7 +20,7 @@ def rounded(df, *keys, n=9):
     return df.select(*keys, *[F.round(c, n).alias(c) if t == "double" else c for c, t in df.dtypes if c not in keys])
 
 
-HSV = "hv as (select *, greatest(r, g, b) as val, greatest(r, g, b) - least(r, g, b) as dd from pixels), hs as (select *, case when dd = 0 then 0.0 when val = r then (((g - b) / dd) % 6 + 6) % 6 when val = g then (b - r) / dd + 2 else (r - g) / dd + 4 end * 60 as hue, coalesce(dd / nullif(val, 0), 0.0) as sat from hv)"
+HSV = "hv as (select *, greatest(r, g, b) as val, greatest(r, g, b) - least(r, g, b) as dd from pixels), hs as (select *, case when dd = 0 then 0.0 when val = r then case when g < b then (g - b) / dd + 6 else (g - b) / dd end when val = g then (b - r) / dd + 2 else (r - g) / dd + 4 end * 60 as hue, coalesce(dd / nullif(val, 0), 0.0) as sat from hv)"
 LIN = "ln as (select *, {r} as lr, {g} as lg, {b} as lb from pixels)".format(**{c: f"case when {c} <= 0.04045 then {c} / 12.92 else pow(({c} + 0.055) / 1.055, 2.4) end" for c in "rgb"})
 XYZ = f"{LIN}, xz as (select *, 0.4124564 * lr + 0.3575761 * lg + 0.1804375 * lb as cx, 0.2126729 * lr + 0.7151522 * lg + 0.0721750 * lb as cy, 0.0193339 * lr + 0.1191920 * lg + 0.9503041 * lb as cz from ln)"
 FF = lambda c, w: f"case when {c} / {w} > 216.0 / 24389 then cbrt({c} / {w}) else (24389.0 / 27 * ({c} / {w}) + 16) / 116 end"

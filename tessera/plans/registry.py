@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-SECTIONS = ("vectors", "observed", "intervals", "scenes", "graphs", "maintenance", "planning", "measurement", "sourced", "streams")
+SECTIONS = ("vectors", "observed", "intervals", "scenes", "graphs", "maintenance", "planning", "measurement", "grading", "sourced", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

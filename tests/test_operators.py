@@ -185,3 +185,46 @@ def test_harmony_of_known_histograms(spark):
     h = spark.createDataFrame([(k, b, p) for k, c in cases.items() for b, p in c.items()], "k int, bin int, p double")
     got = {r.k: (r.template, r.fit) for r in measure.harmony(h, ["k"]).collect()}
     assert got == {1: ("monochromatic", 1.0), 2: ("complementary", 1.0), 3: ("triadic", 1.0), 4: ("analogous", 1.0)}
+
+
+def test_ratio_to_kelvin_is_straight_between_points(spark):
+    from tessera.operators import grading as G
+
+    df = spark.createDataFrame([(9.0,), (3.3,), (1.92,), (1.76,), (1.0,), (0.96,), (0.74,), (0.1,)], "x double")
+    got = [round(r.k, 6) for r in df.select(G.ratio_to_kelvin(F.col("x")).alias("k")).collect()]
+    assert got == [2000, 2000, 3000, 3250, 6500, 7000, 12000, 12000]
+
+
+def test_grey_frame_is_neutral_and_a_saturated_one_is_not_trusted(spark):
+    from tessera.operators import grading as G
+
+    df = spark.createDataFrame([(k, *rgb) for k, rgb in ((1, (0.5, 0.5, 0.5)), (2, (0.9, 0.2, 0.1)), (3, (0.0, 0.0, 0.0))) for _ in range(4)], "k int, r double, g double, b double")
+    got = {r.k: r for r in G.neutral_white_balance(df, ["k"]).collect()}
+    assert (got[1].temperature, got[1].tint, got[1].coverage, got[1].confidence) == (6500, 0, 1.0, 1.0)
+    assert got[2].temperature == 2000 and got[2].confidence == 0.4 and got[3].coverage == 1.0
+    assert {r.k: (r.detected, r.tone) for r in G.mask_tone(df, ["k"]).collect()} == {1: (False, "none"), 2: (False, "none"), 3: (False, "none")}
+
+
+def test_split_needs_two_ends_of_different_hue(spark):
+    from tessera.operators import grading as G
+
+    teal, orange = (0.05, 0.2, 0.25), (1.0, 0.85, 0.6)
+    df = spark.createDataFrame([(k, *rgb) for k, pair in ((1, (teal, orange)), (2, (teal, teal))) for rgb in pair * 5], "k int, r double, g double, b double")
+    got = {r.k: r for r in G.split_strength(df, ["k"]).collect()}
+    assert got[1].separation > 120 and got[1].strength == min(got[1].shadow_sat, got[1].high_sat) > 90
+    assert got[2].strength == 0 and (got[2].high_hue, got[2].high_sat) == (0, 0)
+
+
+def test_flat_dark_frame_is_graded_toward_natural_or_moody(spark):
+    from tessera.operators import grading as G
+
+    df = spark.createDataFrame([(1, 0.1, 0.1, 0.12)] * 8, "k int, r double, g double, b double")
+    sec = G.sections(df, ["k"]).withColumn("local_contrast", F.lit(0.0)).withColumn("laplacian", F.lit(0.0))
+    scored = G.style_scores(sec)
+    state = {r.param: r for r in G.measure(scored, ["k"]).collect()}
+    assert len(state) == 45 and state["quality.noise_risk"].label == "high" and state["presence.dehaze"].value == pytest.approx(60)
+    r = G.recommend(G.choose_style(scored), ["k"]).collect()[0]
+    assert {"Adjust exposure", "Add contrast", "Cut haze for punch"} <= set(r.notes) and r.targets["presence.dehaze"] == pytest.approx(0, abs=1e-9)
+    assert r.targets["primary.exposure"] == pytest.approx(state["primary.exposure"].value + 0.6)
+    summary = G.grade_summary(scored, ["k"]).collect()[0]
+    assert summary.brightness == "very dark" and summary.contrast == "flat/low" and len(summary.top_styles.split(", ")) == 3
