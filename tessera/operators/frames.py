@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance, dot, gather, unit, vector_sum
+from .intervals import points_in
 
 
 def mean_pool(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
@@ -127,14 +128,14 @@ def candidate_grid(videos: DataFrame, key: str, total: str, fps: str, effective:
     return videos.where(F.col(total) > 0).select(key, F.explode(F.sequence(F.lit(0), F.col(total).cast("int") - 1, step)).alias("frame_index"))
 
 
-def assign_frames(frames: DataFrame, shots: DataFrame, key: str) -> DataFrame:
+def assign_frames(frames: DataFrame, shots: DataFrame, key: str, bucket: int = 64) -> DataFrame:
     """(key, shot_index, frame_index): the frames inside each shot; for a shot without any, the nearest to its middle.
 
-    The frames inside come from one join on the key; the nearest comes from the frame before and after the middle, which
-    windows over frames and middles in one order give, so nothing is joined with everything.
+    The frames inside come from one join on the key and the bucket of frames, so a long video is spread over tasks; the
+    nearest comes from the frame before and after the middle, which windows over frames and middles in one order give.
     """
     f, s = frames.select(F.col(key).alias("k"), "frame_index"), shots.select(F.col(key).alias("k"), "shot_index", "start_frame", "end_frame")
-    inside = s.join(f, "k").where(F.col("frame_index").between(F.col("start_frame"), F.col("end_frame"))).select("k", "shot_index", "frame_index")
+    inside = points_in(s, f, ["k"], "start_frame", "end_frame", "frame_index", bucket).select("k", "shot_index", "frame_index")
     empty = s.join(inside.select("k", "shot_index").distinct(), ["k", "shot_index"], "left_anti").select("k", "shot_index", ((F.col("start_frame") + F.col("end_frame")) / 2).alias("at"))
     line = f.select("k", F.lit(None).cast("int").alias("shot_index"), F.col("frame_index").cast("double").alias("at"), "frame_index").unionByName(empty.withColumn("frame_index", F.lit(None).cast("int")))
     w = Window.partitionBy("k").orderBy("at", F.col("shot_index").asc_nulls_first())
@@ -186,35 +187,76 @@ def frame_labels(scenes: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "frame_index", (F.col("frame_index") == F.floor((F.col("a") + F.col("b")) / 2)).cast("int").alias("one_hot"), F.lit(1).alias("many_hot"))
 
 
-def transition_f1(truth: DataFrame, found: DataFrame, key: str, tolerance: int = 2) -> DataFrame:
-    """(tp, fp, fn, precision, recall, f1) over all keys: transitions (key, at) matched in order, at most ``tolerance`` apart."""
+def transitions(scenes: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
+    """(keys, a, b): the interval from the end of each scene to the start of the next, widened by half of ``tolerance`` less
+    half a frame on both sides; a gradual transition is as long as the frames between its scenes."""
+    grow = tolerance / 2 - 0.5
+    w = Window.partitionBy(*keys).orderBy("start_frame")
+    rows = scenes.select(*keys, (F.col("end_frame") - grow).alias("a"), (F.lead("start_frame").over(w) + grow).alias("b"))
+    return rows.where("b is not null")
 
-    def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(a["at"]), sorted(b["at"])
-        i = j = tp = 0
+
+def match_scenes(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: int = 2) -> DataFrame:
+    """(keys, tp, fp, fn): transitions of scenes (keys, start_frame, end_frame) matched in order, each with at most one that it
+    meets. Of two that don't meet the earlier one is a miss; what a match does depends on those before it, so a key's
+    transitions (not its frames) are walked in one task."""
+
+    def walk(k: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x, y = (sorted(zip(p["a"], p["b"])) for p in (x, y))
+        i = j = hits = 0
         while i < len(x) and j < len(y):
-            if abs(x[i] - y[j]) <= tolerance:
-                tp, i, j = tp + 1, i + 1, j + 1
-            elif x[i] < y[j]:
-                i += 1
-            else:
-                j += 1
-        return pd.DataFrame([[tp, len(y) - tp, len(x) - tp]], columns=["tp", "fp", "fn"])
-
-    each = truth.groupBy(key).cogroup(found.groupBy(key)).applyInPandas(run, "tp long, fp long, fn long")
-    sums = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+            late, early = y[j][0] > x[i][1], y[j][1] < x[i][0]
+            hits += not (late or early)
+            i, j = i + (not early), j + (not late)
+        return pd.DataFrame([[*k, hits, len(y) - hits, len(x) - hits]])
+
+    a, b = transitions(truth, keys, tolerance), transitions(found, keys, tolerance)
+    fields = [f"`{k}` {truth.schema[k].dataType.simpleString()}" for k in keys]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(walk, ", ".join([*fields, "tp long", "fp long", "fn long"]))
+
+
+def transition_f1(matched: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall, f1) over the rows of ``match_scenes``; a ratio without rows is 0."""
+    sums = matched.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     sums = sums.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return sums.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+#: Thresholds of the sweep.
+SWEEP = (0.02, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
 
+def threshold_sweep(df: DataFrame, key: str, order: str, score: str, truth: str, thresholds: tuple[float, ...] = SWEEP, tolerance: int = 2) -> DataFrame:
+    """(threshold, tp, fp, fn, precision, recall, f1, best) of transitions by ``score`` above each threshold against the flag
+    ``truth``; ``best`` marks the first threshold of the largest f1."""
+    rows = df.select(F.col(key).alias("k"), order, score, truth, F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
+    rows = rows.withColumn("kt", F.struct("k", "threshold")).withColumn("on", F.col(score) > F.col("threshold"))
+    flat = lambda flag: predictions_to_scenes(rows, "kt", order, flag).select("kt.k", "kt.threshold", "start_frame", "end_frame")
+    out = transition_f1(match_scenes(flat(truth), flat("on"), ["k", "threshold"], tolerance), ["threshold"])
+    none = df.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
+    out = F.broadcast(none).join(out, "threshold", "left").na.fill(0)
+    first = F.row_number().over(Window.orderBy(F.desc(F.round("f1", 9)), "threshold")) == 1
+    return out.withColumn("best", first)
 
-def change_score(df: DataFrame, key: str, order: str, half: int = 3, vector: str = "embedding") -> DataFrame:
-    """(key, order, score): cosine distance of the mean of the ``half`` rows before each row and of that row and the ones after
-    it, up to ``half``; null at the first row. Windows sum by component, so a row is compared in linear time."""
-    rows = df.select(key, order, F.posexplode(vector).alias("pos", "x"))
-    w = Window.partitionBy(key, "pos").orderBy(order)
-    sides = rows.withColumn("a", F.avg("x").over(w.rowsBetween(-half, -1))).withColumn("b", F.avg("x").over(w.rowsBetween(0, half - 1)))
-    dots = sides.groupBy(key, order).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return dots.select(key, order, F.when(F.col("aa").isNotNull(), 1 - F.coalesce(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0))).alias("score"))
+
+def change_score(df: DataFrame, key: str, order: str, hard: str, least: int = 3, most: int = 15, vector: str = "embedding") -> DataFrame:
+    """(key, order, score): cosine distance of the means of the rows before each row and of those from it on. The two windows
+    follow the segment between the hard cuts (flag ``hard``) around the row: a quarter of its length, from ``least`` to
+    ``most``, half of that on each side. The first and last row and hard cuts score 0. Sums go by component, one order for
+    all window lengths."""
+    w = Window.partitionBy(key).orderBy(order)
+    rows = df.withColumn("at", F.row_number().over(w) - 1).withColumn("last", F.count(F.lit(1)).over(Window.partitionBy(key)) - 1)
+    cut = F.when(F.col(hard), F.col("at"))
+    before = F.coalesce(F.last(cut, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.coalesce(F.first(cut, True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.col("last"))
+    width = F.least(F.lit(most), F.greatest(F.lit(least), F.floor((after - before) / 4)))
+    rows = rows.withColumn("half", F.greatest(F.lit(1), F.floor(width / 2)))
+    rows = rows.withColumn("out", F.col(hard) | (F.col("at") == 0) | (F.col("at") == F.col("last")))
+    x = rows.select(key, order, "half", "out", F.posexplode(vector).alias("pos", "x"))
+    o = Window.partitionBy(key, "pos").orderBy(order)
+    by_half = lambda lo, hi: F.coalesce(*[F.when(F.col("half") == h, F.avg("x").over(o.rowsBetween(lo(h), hi(h)))) for h in range(max(1, least // 2), max(1, most // 2) + 1)])
+    sides = x.withColumn("a", by_half(lambda h: -h, lambda h: -1)).withColumn("b", by_half(lambda h: 0, lambda h: h - 1))
+    dots = sides.groupBy(key, order).agg(F.first("out").alias("out"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    score = 1 - F.coalesce(F.try_divide(F.col("ab"), F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))), F.lit(0.0))
+    return dots.select(key, order, F.when(F.col("out"), 0.0).otherwise(score).alias("score"))

@@ -283,10 +283,29 @@ def v38(s, d):
     return scenes(s, d)
 
 
-@query("v39_transition_f1")
+def trans(name, flag):
+    """SQL of the transitions (key, thr, a, b) by ``flag`` of the rows of fl, widened for a tolerance of two frames, and of their lists by key."""
+    return (
+        f"{name}1 as (select key, thr, frame, {flag} as on_, lag({flag}) over (partition by key, thr order by frame) as p from fl), {name}2 as (select *, sum((not on_ and coalesce(p, true))::int) over (partition by key, thr order by frame) as island from {name}1), "
+        f"{name}3 as (select key, thr, min(frame) as s, max(frame) as e from {name}2 where not on_ group by key, thr, island), {name}4 as (select key, thr, e - 0.5 as a, lead(s) over (partition by key, thr order by s) + 0.5 as b from {name}3), {name} as (select key, thr, list({{'a': a, 'b': b}} order by a) as l from {name}4 where b is not null group by all)"
+    )
+
+
+SWEPT = (
+    "with recursive th(thr) as (values (0.02::double), (0.06), (0.1), (0.15), (0.2), (0.3), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9)), fl as (select key, frame, thr, label = 'purchase' as real, confidence > thr as guess from observations, th), "
+    + trans("gt", "real") + ", " + trans("pt", "guess")
+    + ", pr as (select key, thr, coalesce(gt.l, []) as gs, coalesce(pt.l, []) as ps from gt full join pt using (key, thr)), walk as (select key, thr, 1::bigint as i, 1::bigint as j, 0 as tp from pr union all select key, thr, case when ps[j].b < gs[i].a then i else i + 1 end, case when ps[j].a > gs[i].b then j else j + 1 end, tp + (ps[j].b >= gs[i].a and ps[j].a <= gs[i].b)::int from walk join pr using (key, thr) where i <= len(gs) and j <= len(ps)), "
+    "hit as (select key, thr, max(tp) as tp from walk group by all), su as (select thr as threshold, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(len(ps) - tp), 0)::bigint as fp, coalesce(sum(len(gs) - tp), 0)::bigint as fn from th left join (select * from hit join pr using (key, thr)) using (thr) group by 1), "
+    "ra as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as precision, coalesce(tp / nullif(tp + fn, 0), 0) as recall from su), f as (select *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) as f1 from ra) "
+    "select threshold, tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, row_number() over (order by round(f1, 9) desc, threshold) = 1 as best from f"
+)
+
+
+@query("v39_transition_f1", sql(SWEPT, "observations"))
 def v39(s, d):
-    f = frames(s, d)
-    return O.transition_f1(f.where("frame_index % 11 = 0").select("video_id", F.col("frame_index").alias("at")), f.where("frame_index % 7 = 3").select("video_id", F.col("frame_index").alias("at")), "video_id")
+    rows = view(s, d, "observations").select("key", "frame", "confidence", (F.col("label") == "purchase").alias("real"))
+    out = O.threshold_sweep(rows, "key", "frame", "confidence", "real")
+    return out.select("threshold", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "best")
 
 
 @query("v40_frame_labels", sql(f"with {ON}, g as (select key, lag(end_frame) over (partition by key order by start_frame) as a, start_frame as b from sc) select key, f as frame_index, (f = floor((a + b) / 2))::int as one_hot, 1 as many_hot from g, unnest(range(a, b + 1)) as r(f) where a is not null", "observations"))
@@ -294,6 +313,6 @@ def v40(s, d):
     return O.frame_labels(scenes(s, d), "key")
 
 
-@query("v7_change_score", sql("with x as (select video_id, frame_index, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from frames), s as (select video_id, frame_index, avg(x) over (w rows between 3 preceding and 1 preceding) as a, avg(x) over (w rows between current row and 2 following) as b from x window w as (partition by video_id, pos order by frame_index)) select video_id, frame_index, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) as score from s group by 1, 2", "frames"))
+@query("v7_change_score", sql("with r as (select video_id, frame_index, embedding, row_number() over w - 1 as rk, count(*) over (partition by video_id) - 1 as n, frame_index % 29 = 28 as hard from frames window w as (partition by video_id order by frame_index)), c as (select *, coalesce(max(case when hard then rk end) over (partition by video_id order by rk rows between unbounded preceding and 1 preceding), 0) as lo, coalesce(min(case when hard then rk end) over (partition by video_id order by rk rows between 1 following and unbounded following), n) as hi from r), h as (select *, greatest(1, least(15, greatest(3, (hi - lo) // 4)) // 2) as half, hard or rk = 0 or rk = n as out from c), x as (select video_id, rk, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from r), m as (select h.video_id, h.frame_index, h.out, pos, avg(x) filter (x.rk < h.rk) as a, avg(x) filter (x.rk >= h.rk) as b from h join x on x.video_id = h.video_id and x.rk >= h.rk - half and x.rk < h.rk + half group by all) select video_id, frame_index, case when out then 0.0 else round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) end as score from m group by video_id, frame_index, out", "frames"))
 def v7(s, d):
-    return O.change_score(frames(s, d), "video_id", "frame_index").withColumn("score", F.round("score", 6))
+    return O.change_score(frames(s, d).withColumn("hard", F.col("frame_index") % 29 == 28), "video_id", "frame_index", "hard").withColumn("score", F.round("score", 6))

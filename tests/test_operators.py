@@ -228,3 +228,20 @@ def test_flat_dark_frame_is_graded_toward_natural_or_moody(spark):
     assert r.targets["primary.exposure"] == pytest.approx(state["primary.exposure"].value + 0.6)
     summary = G.grade_summary(scored, ["k"]).collect()[0]
     assert summary.brightness == "very dark" and summary.contrast == "flat/low" and len(summary.top_styles.split(", ")) == 3
+
+
+@pytest.mark.parametrize("tolerance,second,hit", [(0, (0, 5), 1), (0, (0, 4), 0), (1, (0, 4), 1), (1, (0, 3), 0), (2, (0, 3), 1), (2, (0, 2), 0)])
+def test_transitions_meet_within_the_tolerance(spark, tolerance, second, hit):
+    truth = spark.createDataFrame([(1, *second), (1, second[1] + 1, 9)], "v int, start_frame long, end_frame long")
+    found = spark.createDataFrame([(1, 0, 5), (1, 6, 9), (2, 0, 3), (2, 7, 9)], "v int, start_frame long, end_frame long")
+    got = {r.v: (r.tp, r.fp, r.fn) for r in O.match_scenes(truth, found, ["v"], tolerance).collect()}
+    assert got == {1: (hit, 1 - hit, 1 - hit), 2: (0, 1, 0)}
+    assert O.transition_f1(O.match_scenes(truth, found, ["v"], tolerance)).collect()[0].tp == hit
+
+
+def test_change_windows_stay_between_hard_cuts_in_length(spark):
+    v = [[1.0, 0.0]] * 6 + [[0.0, 1.0]] * 6
+    df = spark.createDataFrame([(1, i, x, i == 6) for i, x in enumerate(v)], "v int, i int, embedding array<double>, cut boolean")
+    got = {r.i: r.score for r in O.change_score(df, "v", "i", "cut").collect()}
+    assert got[0] == got[6] == got[11] == 0 and got[7] == pytest.approx(0) and got[5] == pytest.approx(0)
+    assert {r.i: r.score for r in O.change_score(df.withColumn("cut", F.lit(False)), "v", "i", "cut").collect()}[6] == pytest.approx(1)
