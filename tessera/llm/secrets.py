@@ -7,11 +7,12 @@ The battery looks at tokens of MIN_TOKEN or more characters of the base-64 alpha
 token's encoding is inferred (hexadecimal, base 32, base 64), its characters become numbers, and three tests of uniform,
 independent numbers follow: chi-squared of the counts against a uniform alphabet, runs above and below the middle, and
 correlation of each number with the next. The Cauchy combination of the three p-values is the token's randomness.
-The reference for what isn't random is the running text: every document gives one stretch of it, at a place drawn by its
-hash, letters only, at each of the lengths REFERENCE; these are counted by randomness within each class of length, which
-gives every token an empirical p-value against "as ordinary words are". (The reference is a sample of each text, one
-stretch of a length; all tokens of all texts are tested.) Benjamini-Hochberg at ALPHA over all tokens decides; classes of longer tokens, where
-the tests tell more, weigh in proportion to length (the weights average 1 over the tokens, so the control holds).
+The reference for what isn't random is the running text of all documents: the letters of each whole text that stand in no
+such token, one after the other, cut into stretches whose lengths are REFERENCE (fewer than 28 letters at the end of a
+text are left over). Every stretch is tested as a token is, and counted by randomness within its class of length, which
+gives every token an empirical p-value against "as ordinary words are". Benjamini-Hochberg at ALPHA over all tokens
+decides; classes of longer tokens, where the tests tell more, weigh in proportion to length (the weights average 1 over
+the tokens, so the control holds).
 Those that pass are spans of kind ``random``. Counts are kept by cell (class, randomness bin), of which there is a fixed
 number, so what is broadcast does not grow with the data.
 
@@ -39,6 +40,8 @@ MIN_TOKEN, ALPHA, BINS, CLASSES = 20, 0.01, 64, 4
 #: A length within each class of lengths 20-39, 40-79, 80-159 and 160 or more.
 REFERENCE = (28, 56, 112, 224)
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: What is no running text: tokens, and all but letters.
+ASIDE = rf"{TOKEN}|[^A-Za-z0-9+/_-]+|[0-9+/_-]+"
 
 #: The alphabets in the order of their digits.
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
@@ -70,33 +73,39 @@ def randomness(token: Column) -> Column:
         .when(token.rlike(r"[-_]"), F.lit(BASE64_URL)).otherwise(F.lit(BASE64))
     )
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
+    without = lambda s, part: F.length(F.replace(s, part, F.lit(""))).cast("double")
 
-    def numbers(digits: Column) -> Column:
+    def letters(digits: Column) -> Column:
         # a character outside the inferred alphabet (both kinds of base 64 mixed) counts as its last digit
-        place = lambda i: F.when(i > 0, i - 1).otherwise(F.length(digits) - 1)
-        x = F.transform(F.split(token, ""), lambda c: let(F.instr(digits, c), place).cast("double"))
-        return F.struct(x.alias("x"), F.length(digits).cast("double").alias("a"), F.length(token).cast("double").alias("n"))
+        s = F.when(digits == BASE64_URL, F.translate(token, "+/", "__")).otherwise(token)
+        return F.struct(digits.alias("digits"), s.alias("s"), F.split(s, "").alias("chars"), F.length(digits).cast("double").alias("a"), F.length(s).cast("double").alias("n"))
 
-    def sums(t: Column) -> Column:
-        x, a, n = t["x"], t["a"], t["n"]
+    def numbers(t: Column) -> Column:
+        place = lambda c: (F.instr(t["digits"], c) - 1).cast("double")
+        bits = F.when(t["a"] == 16, "0" * 8 + "1" * 8).when(t["a"] == 32, "0" * 16 + "1" * 16).otherwise("0" * 32 + "1" * 32)
         return F.struct(
-            x.alias("x"), a.alias("a"), n.alias("n"),
-            total(F.transform(F.array_distinct(x), lambda d: F.pow(F.size(F.filter(x, lambda v: v == d)).cast("double"), F.lit(2.0)))).alias("squares"),
-            F.transform(x, lambda v: F.when(v >= a / 2, 1.0).otherwise(0.0)).alias("high"),
-            (total(x) / n).alias("m"),
+            t["a"].alias("a"), t["n"].alias("n"), F.call_function("translate", t["s"], t["digits"], bits).alias("high"), F.transform(t["chars"], place).alias("x"),
+            F.transform(F.array_distinct(t["chars"]), lambda c: F.struct(place(c).alias("v"), (t["n"] - without(t["s"], c)).alias("m"))).alias("counts"),
         )
 
-    pairs = lambda x, f: total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), f))
+    def sums(t: Column) -> Column:
+        step = lambda acc, v: F.struct(v.alias("last"), (acc["sum"] + acc["last"] * v).alias("sum"))
+        changes = t["n"] - (without(t["high"], F.lit("01")) + without(t["high"], F.lit("10"))) / 2
+        return F.struct(
+            t["a"].alias("a"), t["n"].alias("n"), (F.element_at(t["x"], 1) + F.element_at(t["x"], -1)).alias("ends"),
+            (t["n"] - without(t["high"], F.lit("1"))).alias("n1"), (1 + changes).alias("runs"),
+            total(F.transform(t["counts"], lambda c: c["m"] * c["m"])).alias("squares"),
+            total(F.transform(t["counts"], lambda c: c["v"] * c["m"])).alias("sx"),
+            total(F.transform(t["counts"], lambda c: c["v"] * c["v"] * c["m"])).alias("sxx"),
+            F.aggregate(t["x"], F.struct(F.lit(0.0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"]).alias("sxy"),
+        )
 
     def moments(t: Column) -> Column:
-        x, a, n, m = t["x"], t["a"], t["n"], t["m"]
-        mean = let(total(t["high"]), lambda n1: 2 * n1 * (n - n1) / n + 1)
+        a, n, m = t["a"], t["n"], t["sx"] / t["n"]
         return F.struct(
-            a.alias("a"), n.alias("n"),
-            F.greatest(a / n * t["squares"] - n, F.lit(0.0)).alias("chi"),
-            (1 + pairs(t["high"], lambda u, v: F.when(u != v, 1.0).otherwise(0.0))).alias("runs"), mean.alias("mean"),
-            total(F.transform(x, lambda v: (v - m) * (v - m))).alias("c0"),
-            pairs(x, lambda u, v: (u - m) * (v - m)).alias("c1"),
+            a.alias("a"), n.alias("n"), F.greatest(a / n * t["squares"] - n, F.lit(0.0)).alias("chi"),
+            t["runs"].alias("runs"), (2 * t["n1"] * (n - t["n1"]) / n + 1).alias("mean"),
+            (t["sxx"] - n * m * m).alias("c0"), (t["sxy"] - m * (2 * t["sx"] - t["ends"]) + (n - 1) * m * m).alias("c1"),
         )
 
     def scores(t: Column) -> Column:
@@ -107,7 +116,7 @@ def randomness(token: Column) -> Column:
         ps = F.transform(F.array(upper_tail(z1), 2 * upper_tail(z2), 2 * upper_tail(z3)), lambda p: F.tan((0.5 - F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-15), p))) * math.pi))
         return F.struct(t["a"].cast("int").alias("alphabet"), F.greatest(F.lit(1e-15), 0.5 - F.atan(total(ps) / 3) / math.pi).alias("p"))
 
-    return let(let(let(let(digits, numbers), sums), moments), scores)
+    return let(let(let(let(let(digits, letters), numbers), sums), moments), scores)
 
 
 def _matches(text: Column, pattern: str, groups: int = 0) -> Column:
@@ -120,12 +129,12 @@ def _matches(text: Column, pattern: str, groups: int = 0) -> Column:
 
 
 def _reference(text: Column) -> Column:
-    """Stretches of running text, as _matches() gives matches."""
-    far = 3 * REFERENCE[-1]
-    start = 1 + F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - far).cast("bigint"))
-    letters = F.regexp_replace(F.substr(text, start.cast("int"), F.lit(far)), "[^A-Za-z]+", "")
-    rows = F.array(*[F.struct(F.lit(0).alias("gap"), F.substr(letters, F.lit(1), F.lit(n)).alias("hit"), F.lit("").alias("own")) for n in REFERENCE])
-    return F.filter(rows, lambda r: F.length(r["hit"]).isin(*REFERENCE) & (F.length(letters) >= F.length(r["hit"])))
+    """The running text in stretches: whole rounds of the lengths REFERENCE, then what is left, longest first."""
+    starts = [1 + sum(REFERENCE[:i]) for i in range(len(REFERENCE))]
+    cuts = "|".join(f".{{{n}}}" for n in (sum(REFERENCE), *reversed(REFERENCE)))
+    parts = F.regexp_extract_all(F.regexp_replace(text, ASIDE, ""), F.lit(cuts), F.lit(0))
+    each = lambda p: F.when(F.length(p) == sum(REFERENCE), F.array(*[F.substr(p, F.lit(i), F.lit(n)) for i, n in zip(starts, REFERENCE)])).otherwise(F.array(p))
+    return F.flatten(F.transform(parts, each))
 
 
 def _cell(p: Column, n: Column) -> tuple[Column, Column]:
@@ -141,18 +150,20 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
         F.struct(F.lit(1).alias("kind"), _matches(body, ACCESS).alias("m")),
         F.struct(F.lit(2).alias("kind"), _matches(body, HEX).alias("m")),
         F.struct(F.lit(3).alias("kind"), _matches(body, TOKEN).alias("m")),
-        F.struct(F.lit(4).alias("kind"), _reference(body).alias("m")),
     )
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{key}`").alias("key"), F.filter(found, lambda x: x["m"].isNotNull()).alias("f"))
     rows = rows.select("rid", "key", F.explode_outer("f").alias("f")).select("rid", "key", "f.kind", F.posexplode_outer("f.m").alias("pos", "m"))
-    token = F.col("kind") >= 3
+    token = F.col("kind") == 3
     rows = rows.select("rid", "key", "kind", "pos", "m.gap", F.length("m.hit").alias("n"), F.length("m.own").alias("own"), F.when(token, F.col("m.hit")).alias("token"))
     tested = rows.withColumn("t", F.when(F.col("token").isNotNull(), randomness(F.col("token"))))
     cls, b = _cell(F.col("t.p"), F.col("n"))
-    tested = tested.select("rid", "key", "kind", "pos", "gap", "n", "own", F.when(token, cls).alias("cls"), F.when(token, b).alias("bin"), (F.col("kind") == 3).alias("maybe"))
+    tested = tested.select("rid", "key", "kind", "pos", "gap", "n", "own", F.when(token, cls).alias("cls"), F.when(token, b).alias("bin"))
     tested = staged(tested)
 
-    cells = tested.where("kind >= 3").groupBy("cls", "bin").agg(F.count_if(~F.col("maybe")).alias("words"), F.count_if("maybe").alias("n"), F.sum(F.when(F.col("maybe"), F.col("n"))).alias("chars"))
+    stretches = docs.select(F.explode(_reference(body)).alias("s")).select(F.length("s").alias("n"), randomness(F.col("s")).alias("t"))
+    ordinary = stretches.groupBy(cls.alias("cls"), b.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("chars"))
+    tokens = tested.where("kind = 3").groupBy("cls", "bin").agg(F.lit(0).cast("bigint").alias("words"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("chars"))
+    cells = staged(ordinary.unionByName(tokens).groupBy("cls", "bin").agg(F.sum("words").alias("words"), F.sum("n").alias("n"), F.sum("chars").alias("chars")))
     # CLASSES * BINS rows at most from here on
     by_class = Window.partitionBy("cls")
     cells = cells.withColumn("p0", (1 + F.sum("words").over(by_class.orderBy("bin"))) / (1 + F.sum("words").over(by_class)))
@@ -167,7 +178,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float
     by_kind = Window.partitionBy("rid", "kind").orderBy("pos")
     end = F.sum(F.col("gap") + F.col("n")).over(by_kind.rowsBetween(Window.unboundedPreceding, 0))
     placed = judged.repartition("rid").withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
-    good = F.when(F.col("kind") == 0, F.col("own") >= 8).when(F.col("kind") == 3, F.col("maybe") & F.coalesce("found", F.lit(False))).otherwise(F.col("kind") < 3)
+    good = F.when(F.col("kind") == 0, F.col("own") >= 8).when(F.col("kind") == 3, F.coalesce("found", F.lit(False))).otherwise(F.col("kind") < 3)
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     span = F.when(good, F.struct(F.col("start"), F.col("kind").alias("kind_no"), F.col("end"), name.alias("kind")))
     return placed.groupBy("rid").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(span)).alias("spans"))

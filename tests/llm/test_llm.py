@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -98,6 +99,38 @@ def test_battery_tells_random_from_words(spark):
     assert got == {1000: ["random"], 1001: []}
 
 
+def p_by_hand(token, alphabet):
+    x = np.array([i if (i := alphabet.find(c)) >= 0 else len(alphabet) - 1 for c in token], float)
+    a, n, m, high = len(alphabet), len(x), x.mean(), x >= len(alphabet) / 2
+    counts = np.unique(x, return_counts=True)[1]
+    chi = max(a / n * (counts**2).sum() - n, 0)
+    mean = 2 * high.sum() * (n - high.sum()) / n + 1
+    var, c0 = (mean - 1) * (mean - 2) / (n - 1), ((x - m) ** 2).sum()
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    z1 = ((chi / (a - 1)) ** (1 / 3) - (1 - 2 / (9 * (a - 1)))) / math.sqrt(2 / (9 * (a - 1)))
+    z2 = abs(1 + (high[1:] != high[:-1]).sum() - mean) / math.sqrt(var) if var > 0 else 8.0
+    z3 = abs(((x[1:] - m) * (x[:-1] - m)).sum() / c0) * math.sqrt(n) if c0 > 0 else 8.0
+    ps = [math.tan((0.5 - min(1 - 1e-9, max(1e-15, p))) * math.pi) for p in (tail(z1), 2 * tail(z2), 2 * tail(z3))]
+    return max(1e-15, 0.5 - math.atan(sum(ps) / 3) / math.pi)
+
+
+def test_randomness_equals_the_three_tests_by_hand(spark):
+    rng = random.Random(9)
+    kinds = (secrets.HEX_LOWER, secrets.HEX_UPPER, secrets.BASE32, secrets.BASE64, secrets.BASE64_URL)
+    cases = [("".join(rng.choices(k, k=rng.randint(60, 200))), k) for k in kinds for _ in range(8)]
+    cases += [("a" * 40, secrets.HEX_LOWER), ("A-+/_" * 9, secrets.BASE64_URL), ("theaninganinganother" * 3, secrets.BASE64), ("01" * 30, secrets.HEX_LOWER)]
+    got = spark.createDataFrame([(t,) for t, _ in cases], "t string").select("t", secrets.randomness(F.col("t")).alias("r")).collect()
+    for (token, alphabet), r in zip(cases, got):
+        assert r.r.alphabet == len(alphabet) and r.r.p == pytest.approx(p_by_hand(token, alphabet), rel=1e-4, abs=1e-6), token
+
+
+def test_reference_covers_whole_texts_but_tokens(spark):
+    text = "It's 2 words, " * 300 + "0aB9" * 30 + " end"
+    got = [r.s for r in spark.createDataFrame([(text,)], "t string").select(F.explode(secrets._reference(F.col("t"))).alias("s")).collect()]
+    letters = "Itswords" * 300 + "end"
+    assert {len(s) for s in got} == set(secrets.REFERENCE) and letters.startswith("".join(got)) and len(letters) - len("".join(got)) < 28
+
+
 # 3
 
 
