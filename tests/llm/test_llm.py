@@ -521,3 +521,87 @@ def test_pipeline_stages_of_odd_rows(spark, docs):
         assert name == "sentencepiece" or out.columns == frame.columns, name
         assert 0 < out.count() <= frame.count(), name
         assert stage(spark, frame.limit(0), SF).count() == 0, name
+
+
+def lower(text):
+    return text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def without_repeated_lines(texts):
+    """{id: text} after line dedup, without documents of which nothing is left, by comparing all runs of lines."""
+    blank, seen, out = re.compile(r"[ \t\n\v\f\r]*"), set(), {}
+    for i, text in sorted(texts.items()):
+        lines = text.split("\n")
+        units = [n for n, x in enumerate(lines) if not blank.fullmatch(x)]
+        gone = set()
+        for at in range(len(units)):
+            for size in (1, 2, 3):
+                run = tuple(lines[n] for n in units[at : at + size])
+                if len(run) == size and (size == 3 or sum(len(re.findall(r"[^ \t\n\v\f\r]+", x)) for x in run) >= 40):
+                    gone.update(units[at : at + size] if run in seen else ())
+                    seen.add(run)
+        if not gone or len(gone) < len(units):
+            out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
+
+
+def without_near_copies(texts):
+    """{id: text} of the smallest id of each group, by comparing all pairs."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    top = {i: i for i in texts}
+
+    def find(i):
+        return i if top[i] == i else find(top[i])
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * (common := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    return {i: t for i, t in texts.items() if top[i] == i}
+
+
+def without_windows(texts, items):
+    """{id: text} without a window of an item, by looking each up."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    spans = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    windows = collections.defaultdict(set)
+    for w in map(words, items):
+        if w:
+            windows[min(10, len(w))] |= spans(w, min(10, len(w)))
+    return {i: t for i, t in texts.items() if not any(spans(words(t), n) & found for n, found in windows.items())}
+
+
+def test_pipeline_equals_brute_force(spark, docs, tmp_path):
+    rng = random.Random(4)
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    base = [r for r in docs.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 80][:24]
+    passage = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(66)]
+    made = []
+    for n, r in enumerate(base):
+        w = r.text.split(" ")
+        if n % 3 == 0:
+            w[rng.randrange(len(w))] = "altered"
+        elif n % 3 == 1:
+            w.insert(len(w) // 2, f"\n{' '.join(passage[:33])}\n{' '.join(passage[33:])}\n")
+        else:
+            w.insert(len(w) // 3, rng.choice(items))
+        made.append((900_000 + n, " ".join(w), r.lang, r.source, len(r.text)))
+    frame = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.key for r in quality.classify(frame.repartition(3), labels).where(f"score >= {quality.THRESHOLD}").collect()}
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    steps = [texts, {i: t for i, t in texts.items() if i in good}]
+    steps.append(without_repeated_lines(steps[-1]))
+    steps.append(without_near_copies(steps[-1]))
+    steps.append(without_windows(steps[-1], items))
+    assert all(a != b for a, b in zip(steps, steps[1:]))
+
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r.doc_id: (r.decoded, r.n_pieces == len(r.pieces), r.lossless) for r in pieces.decode(final).collect()}
+    assert got == {i: (t, True, True) for i, t in steps[-1].items()}
