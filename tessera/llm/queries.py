@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, pieces, quality, repeats, rp_forest, secrets, sharding, token_counts
-from .common import table
+from . import archives, decontaminate, line_dedup, minhash, pieces, quality, repeats, rp_forest, secrets, sharding, token_counts
+from .common import shared_dir, table
 
 #: Bytes of text in a shard at most: shards that are read at random, one at a time. Small tables split too.
 SHARD_BYTES = 256 << 10
@@ -61,6 +63,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op3_repeats, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash)}
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = archives.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}")
+    return archives.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op3_repeats, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash, op11_archives)}
 
-ORACLES = {"op10_minhash": minhash.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
+ORACLES = {"op10_minhash": minhash.SQL, "op11_archives": archives.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
