@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontaminate, line_dedup, minhash, pieces, quality, repeats, rp_forest, secrets, sharding, token_counts, variants
+from . import archives, collocations, decontaminate, line_dedup, minhash, pieces, quality, repeats, rp_forest, secrets, sharding, token_counts, variants
 from .common import shared_dir, table
 
 #: Bytes of text in a shard at most: shards that are read at random, one at a time. Small tables split too.
@@ -73,6 +73,10 @@ def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op3_repeats, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash, op11_archives, op12_variants)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(*collocations.phrase_counts(table(spark, sf_dir, "documents").select("lang", "text")))
 
-ORACLES = {"op10_minhash": minhash.SQL, "op11_archives": archives.SQL, "op12_variants": variants.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secrets, op3_repeats, op4_quality, op5_rp_forest, op6_decontaminate, op7_line_dedup, op8_pieces, op9_sharding, op10_minhash, op11_archives, op12_variants, op13_collocations)}
+
+ORACLES = {"op10_minhash": minhash.SQL, "op11_archives": archives.SQL, "op12_variants": variants.SQL, "op13_collocations": collocations.SQL, "op6_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op9_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
