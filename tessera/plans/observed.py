@@ -13,7 +13,8 @@ def obs(s, d):
     return view(s, d, "observations").drop("ts")
 
 
-HIST = "h as (select user_id as key, event_id as i, [value, value * (event_id % 3), length(event_type)::double, (event_id % 7)::double] as hist from events), l as (select *, lag(hist) over (partition by key order by i) as p from h), c as (select key, i, list_sum(hist) as sa, list_sum(p) as sb, list_dot_product(hist, p) as ab, list_dot_product(hist, hist) as aa, list_dot_product(p, p) as bb from l where p is not null), sc as (select key, i, 1 - coalesce((ab - sa * sb / 4) / nullif(sqrt(greatest((aa - sa * sa / 4) * (bb - sb * sb / 4), 0)), 0), 0.0) as score from c)"
+HISTS = "h as (select user_id as key, event_id as i, [value, value * (event_id % 3), length(event_type)::double, (event_id % 7)::double] as hist from {events}), l as (select *, lag(hist) over (partition by key order by i) as p from h), c as (select key, i, list_sum(hist) as sa, list_sum(p) as sb, list_dot_product(hist, p) as ab, list_dot_product(hist, hist) as aa, list_dot_product(p, p) as bb from l where p is not null), sc as (select key, i, 1 - coalesce((ab - sa * sb / 4) / nullif(sqrt(greatest((aa - sa * sa / 4) * (bb - sb * sb / 4), 0)), 0), 0.0) as score from c)"
+HIST = HISTS.format(events="events")
 
 
 def hists(s, d):
@@ -108,7 +109,7 @@ def o7(s, d):
 LABELS = ["click", "error", "purchase", "signup", "view"]
 
 
-def smoothing(mode: str, silence: float | None = None) -> str:
+def smoothing(mode: str, silence: float | None = None, source: str = "observations") -> str:
     """Row by row within each key: ``held`` trusted labels, ``ema`` by label, ``cur`` the label that holds. After more than
     ``silence`` seconds a key begins anew."""
     new = {
@@ -120,11 +121,11 @@ def smoothing(mode: str, silence: float | None = None) -> str:
     return f"""
 with recursive o as (
   select key, frame, sec, label, confidence, row_number() over w as i, lag(sec) over w as before
-  from observations window w as (partition by key order by frame)
+  from {source} window w as (partition by key order by frame)
 ),
 s as (
   select key, 0::bigint as i, 0::bigint as frame, []::varchar[] as held, null::double[] as ema, null::varchar as cur, null::varchar as smoothed
-  from (select distinct key from observations)
+  from (select distinct key from {source})
   union all
   select key, i, frame, nheld, nema, {new} as ncur, coalesce({new}, label) from (
     select *, {LABELS}[list_position(nema, list_max(nema))] as top,
@@ -232,12 +233,12 @@ def o17(s, d):
     return S.sample_points(seg.groupBy("video_id").agg(F.min("start_s").alias("a"), F.max("end_s").alias("b")), "video_id", "a", "b", seg.select("video_id", F.col("start_s").alias("at")))
 
 
-def changes(forced: str, columns: str) -> str:
+def changes(forced: str, columns: str, source: str = "observations") -> str:
     """Rows in order; ``last`` and ``sent`` are those of the row that went out last."""
     return f"""
-with recursive o as (select *, row_number() over (partition by key order by sec, frame) as i from observations),
+with recursive o as (select *, row_number() over (partition by key order by sec, frame) as i from {source}),
 c as (
-  select key, 0::bigint as i, null::bigint as frame, null::varchar as last, null::double as sent, false as out from (select distinct key from observations)
+  select key, 0::bigint as i, null::bigint as frame, null::varchar as last, null::double as sent, false as out from (select distinct key from {source})
   union all
   select key, i, frame, case when out then label else last end, case when out then sec else sent end, out from (
     select o.key, o.i, o.frame, o.label, o.sec, c.last, c.sent, {forced} or c.last is null or o.label <> c.last or o.sec - c.sent > 43200 as out

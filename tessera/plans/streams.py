@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import shared_dir
 from ..streaming import spans as S
-from .observed import HIST, LABELS, MOST, changes, smoothing
+from .observed import HISTS, LABELS, MOST, changes, smoothing
 from .registry import query
 from .views import sql, table
 
@@ -41,12 +41,14 @@ def finished(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Rows that the watermark, an hour behind the newest, has passed; later ones still wait when the stream ends.
 OBS = """
+top as (select max(epoch_us(ts)) // 1000 - 3600000 as mark from events),
+seen as (select events.* from events, top where epoch_us(ts) <= mark * 1000),
 o as (
   select user_id as key, event_type as label, event_id as frame, least(1.0::double, value / 100) as confidence, floor(epoch_us(ts) / 1000) / 1000 as sec
-  from events
-),
-top as (select floor(max(epoch_us(ts)) / 1000) - 3600000 as mark from events)
+  from seen
+)
 """
 
 
@@ -64,7 +66,7 @@ i as (
 s as (select key, island, any_value(label) as label, min(sec) as start_s, max(sec) as last_s, count(*) as n from i group by 1, 2),
 e as (select *, lead(start_s) over (partition by key order by island) as nx from s)
 select key, label, start_s, case when nx - last_s <= 21600 then nx else last_s end as end_s, n
-from e, top where nx is not null or floor((last_s + 21600) * 1000) < mark
+from e, top where nx is not null or round((last_s + 21600) * 1000) <= mark
 """
 
 
@@ -76,7 +78,7 @@ def t1(s, d):
 SILENCE = 172_800.0
 
 
-@query("t3_smooth_hybrid", sql(smoothing("hybrid", SILENCE).strip(), "observations"))
+@query("t3_smooth_hybrid", sql(smoothing("hybrid", SILENCE, "released").strip(), "released"))
 def t3(s, d):
     return finished(S.smooth_stream(observed(s, d), "key", "frame", "sec", "label", "confidence", "hybrid", LABELS, SILENCE))
 
@@ -126,7 +128,7 @@ def t5(s, d):
 
 
 CUTS = f"""
-with recursive {HIST},
+with recursive {OBS.strip()}, {HISTS.format(events="seen")},
 f as (select key, i, score, list_sort(list(score) over (partition by key order by i rows between 47 preceding and current row)) as held from sc),
 cut as (
   select key, i, score, row_number() over (partition by key order by i) as no from f
@@ -149,7 +151,7 @@ def t8(s, d):
     return finished(S.cut_stream(e, "key", "i", "sec", "hist", 500, 1e9)).withColumn("score", F.round("score", 5))
 
 
-@query("t9_emit_changes", sql(changes("false", "key, sec, label").strip(), "observations"))
+@query("t9_emit_changes", sql(changes("false", "key, sec, label", "released").strip(), "released"))
 def t9(s, d):
     return finished(S.emit_changes_stream(observed(s, d), "key", "sec", "label", 43200.0))
 

@@ -99,6 +99,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "frames": ((), "select video_id, frame_index, (frame_index // 8)::int as shot_index, embedding from (select label as video_id, (row_number() over (partition by label order by vec_id) - 1)::int as frame_index, embedding::double[] as embedding from embeddings)"),
     "shots": (("frames",), "select video_id, shot_index, min(frame_index) as start_frame, max(frame_index) as end_frame, 2.0::double as fps, (max(frame_index) - min(frame_index) + 1) / 2.0::double as duration_s from frames group by all"),
     "observations": ((), "select user_id as key, event_type as label, ts, floor(epoch_us(ts) / 1000) / 1000 as sec, least(1.0, value / 100) as confidence, event_id as frame from events"),
+    "released": (("observations",), "select * from observations where epoch_us(ts) <= (select max(epoch_us(ts)) // 1000 - 3600000 from observations) * 1000"),
     "turns": (("observations",), "select key, concat_ws(':', key, cell) as turn_id, cell * 21600.0::double as start_s, (cell + 1) * 21600.0::double as end_s from (select distinct key, floor(sec / 21600)::bigint as cell from observations)"),
     "segments": ((), "select conv_id as video_id, turn as seg, round(end_s - n, 4) as start_s, round(end_s, 4) as end_s, text, role as speaker from (select *, length(text) / 15.0::double as n, sum(length(text) / 15.0::double) over (partition by conv_id order by turn rows unbounded preceding) as end_s from conversations)"),
     "chunks": (("segments",), "select video_id, chunk, chunk * 60.0::double as start_s, (chunk + 1) * 60.0::double as end_s from (select video_id, unnest(range(0, floor(max(end_s) / 60)::int + 1))::int as chunk from segments group by 1)"),

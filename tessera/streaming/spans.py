@@ -1,4 +1,5 @@
-"""Observation operators on streams. Each gives, on a stream that ends, what its batch twin gives on the table."""
+"""Observation operators on streams. Each gives, on a stream that ends, what its batch twin gives on the rows that the
+watermark has passed, whatever order they came in; release_in_order() takes rows as they come."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.maintain import upsert
 from ..operators.spans import Smoother, Vote
+from .ordered import in_order
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
@@ -32,11 +34,11 @@ def distinct_events(stream: DataFrame, ids: list[str], ts: str, late: str) -> Da
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(ids)
 
 
-def _by_key(stream: DataFrame, key: str, order: list[str], columns: list[str], ts: str, late: str, result: str, state: str, push, wait, flush=None) -> DataFrame:
-    """Rows of each key in order through ``push(state, row)``, which gives the new state and the rows to put out; state: a
+def _as_they_come(stream: DataFrame, key: str, order: list[str], columns: list[str], ts: str, late: str, result: str, state: str, push, wait, flush=None) -> DataFrame:
+    """Rows of each key, those of a micro-batch in order, through ``push(state, row)``, which gives the new state and the rows to put out; state: a
     list, or None at first. A key whose state hasn't changed for ``wait(state)`` (milliseconds since the epoch; the
     watermark, ``late`` behind the newest ``ts``, has passed it) puts out ``flush(state)`` and is forgotten, so what is kept
-    is the keys of late. Rows of a micro-batch are put in order; the source must not go back in time between batches."""
+    is the keys of late."""
     names = [f.split()[0] for f in result.split(", ")]
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,7 +53,8 @@ def _by_key(stream: DataFrame, key: str, order: list[str], columns: list[str], t
                 out += more
             held.update(tuple(at))
             held.setTimeoutTimestamp(max(int(wait(at)), held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     rows = stream.withWatermark(ts, late).select(*dict.fromkeys([key, *order, *columns, ts]))
     return rows.groupBy(key).applyInPandasWithState(run, result, state, "append", GroupStateTimeout.EventTimeTimeout)
@@ -71,7 +74,7 @@ def smooth_stream(stream: DataFrame, key: str, order: str, sec: str, label: str,
         out = s.push(getattr(row, label), getattr(row, confidence))
         return [*s.state(), now], [(getattr(row, key), getattr(row, order), out)]
 
-    return _by_key(stream, key, [order], [sec, label, confidence], ts, late, f"{_field(stream, key, order)}, smoothed string", "held string, mean string, label string, last double", push, lambda at: (at[3] + silence) * 1000)
+    return in_order(stream, key, [sec, order], [sec, label, confidence], ts, late, f"{_field(stream, key, order)}, smoothed string", "held string, mean string, label string, last double", push, lambda at: (at[3] + silence) * 1000)
 
 
 def vote_stream(stream: DataFrame, key: str, order: str, sec: str, label: str, value: str, silence: float, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -84,7 +87,7 @@ def vote_stream(stream: DataFrame, key: str, order: str, sec: str, label: str, v
         mean = v.push(getattr(row, label), getattr(row, value))
         return ["\t".join(v.labels), "\t".join(map(repr, v.values)), v.label, now], [(getattr(row, key), getattr(row, order), v.label, mean)]
 
-    return _by_key(stream, key, [order], [sec, label, value], ts, late, f"{_field(stream, key, order)}, voted string, vote_mean double", "labels string, vals string, label string, last double", push, lambda at: (at[3] + silence) * 1000)
+    return in_order(stream, key, [sec, order], [sec, label, value], ts, late, f"{_field(stream, key, order)}, voted string, vote_mean double", "labels string, vals string, label string, last double", push, lambda at: (at[3] + silence) * 1000)
 
 
 def cut_stream(stream: DataFrame, key: str, order: str, sec: str, hist: str, gap: int, silence: float, base: float = 0.35, factor: float = 3.0, offset: float = 0.08, last: int = 48, least: int = 12, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -104,7 +107,7 @@ def cut_stream(stream: DataFrame, key: str, order: str, sec: str, hist: str, gap
         hit = score >= limit and (cut is None or i - cut >= gap)
         return [h.tolist(), scores, i if hit else cut, now], [(getattr(row, key), i, score)] if hit else []
 
-    return _by_key(stream, key, [order], [sec, hist], ts, late, f"{_field(stream, key, order)}, score double", "hist array<double>, scores array<double>, cut bigint, last double", push, lambda at: (at[3] + silence) * 1000)
+    return in_order(stream, key, [sec, order], [sec, hist], ts, late, f"{_field(stream, key, order)}, score double", "hist array<double>, scores array<double>, cut bigint, last double", push, lambda at: (at[3] + silence) * 1000)
 
 
 def release_in_order(stream: DataFrame, key: str, seq: str, sec: str, first: int, wait: float, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -126,7 +129,7 @@ def release_in_order(stream: DataFrame, key: str, seq: str, sec: str, first: int
     def flush(k, at):
         return [(k, i, True) for i in at[1]]
 
-    return _by_key(stream, key, [sec, seq], [], ts, late, f"{_field(stream, key, seq)}, forced boolean", "due bigint, held array<bigint>, last double", push, lambda at: (at[2] + wait) * 1000, flush)
+    return _as_they_come(stream, key, [sec, seq], [], ts, late, f"{_field(stream, key, seq)}, forced boolean", "due bigint, held array<bigint>, last double", push, lambda at: (at[2] + wait) * 1000, flush)
 
 
 def open_spans(stream: DataFrame, key: str, order: str, label: str, gap: float, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -142,7 +145,7 @@ def open_spans(stream: DataFrame, key: str, order: str, label: str, gap: float,
     def flush(k, at):
         return [(k, *at)]
 
-    return _by_key(stream, key, [order, label], [], ts, late, f"{_field(stream, key)}, label string, start_s double, end_s double, n bigint", "label string, start_s double, last_s double, n bigint", push, lambda at: (at[2] + gap) * 1000, flush)
+    return in_order(stream, key, [order, label], [], ts, late, f"{_field(stream, key)}, label string, start_s double, end_s double, n bigint", "label string, start_s double, last_s double, n bigint", push, lambda at: (at[2] + gap) * 1000, flush)
 
 
 def emit_changes_stream(stream: DataFrame, key: str, order: str, label: str, window: float, ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -155,7 +158,7 @@ def emit_changes_stream(stream: DataFrame, key: str, order: str, label: str, win
             return at, []
         return [l, t], [(getattr(row, key), t, l)]
 
-    return _by_key(stream, key, [order, label], [], ts, late, _field(stream, key, order, label), "label string, last double", push, lambda at: (at[1] + window) * 1000)
+    return in_order(stream, key, [order, label], [], ts, late, _field(stream, key, order, label), "label string, last double", push, lambda at: (at[1] + window) * 1000)
 
 
 def upsert_sink(path: str, keys: list[str], order: str):
