@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import shared_dir
 from ..streaming import spans as S
+from ..streaming.merge import KeyedTable
 from .observed import HISTS, LABELS, MOST, changes, smoothing
 from .registry import query
 from .views import sql, table
@@ -188,7 +189,6 @@ def t7(s, d):
 def t10(s, d):
     e = events(s, d).select("user_id", "event_type", "event_id")
     out = folder(s)
-    e.writeStream.foreachBatch(S.upsert_sink(out, ["user_id"], "event_id")).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
-    p = s.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    states = [int(f.getPath().getName()) for f in p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
-    return s.read.schema(e.schema).parquet(f"{out}/{max(states)}")
+    kept = KeyedTable(s, out, e.schema, ["user_id"], "event_id")
+    e.writeStream.foreachBatch(kept.sink()).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    return kept.read()

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.maintain import upsert
 from ..operators.spans import Smoother, Vote
 from .ordered import in_order
 
@@ -160,19 +159,3 @@ def emit_changes_stream(stream: DataFrame, key: str, order: str, label: str, win
 
     return in_order(stream, key, [order, label], [], ts, late, _field(stream, key, order, label), "label string, last double", push, lambda at: (at[1] + window) * 1000)
 
-
-def upsert_sink(path: str, keys: list[str], order: str):
-    """For foreachBatch: the state at ``path`` takes the last row of each key of every micro-batch. Each batch writes the state
-    of its own number from that of the one before, so a batch that is run again gives the same state."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-        state = upsert(spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}"), last, keys) if number else last
-        state.write.mode("overwrite").parquet(f"{path}/{number}")
-        # the state before stays for a batch that is run again, older ones go
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-    return run
