@@ -23,7 +23,8 @@ phrase is frequent gives no row.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import drop_staged, staged
 from .hashing import U, mix, powers
-from .hat_trie import BITS, BURST, HatTrie, WordTrie
+from .hat_trie import BITS, BURST, HatTrie
 
 #: Entries of a task's tries; bytes of a filter; bytes of text taken at once; distinct words that a task knows; languages.
 ROOM, FILTER, STEP, KNOWN, LANGS = 1_500_000, 64 << 20, 4 << 20, 1 << 20, 64
+#: Rows put out at once.
+ROWS = 1 << 17
 #: Parts of a language for the first round of ranking.
 PARTS = 64
 #: A byte that no text has: between pieces. What ends a piece.
@@ -50,8 +53,9 @@ RUNS = "lang string, prefix string, phrase string, n bigint"
 P = U(0x9E3779B97F4A7C55)
 
 
-def word_hash(lang: bytes, word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=lang[:64]).digest(), "little")
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = zlib.crc32(lang.encode())
+    return np.fromiter((zlib.crc32(w, seed) for w in words), U, len(words))
 
 
 def _joined(hashes: list[np.ndarray]) -> np.ndarray:
@@ -64,78 +68,110 @@ def _joined(hashes: list[np.ndarray]) -> np.ndarray:
 
 
 class Words(dict):
-    """Ids of words from 1 on, given as they come; 0: between pieces, or not frequent."""
+    """Ids of frequent words from 1 on, given as they come; 0: between pieces, or not frequent."""
 
-    def __init__(self, lang: bytes, table: np.ndarray | None):
+    def __init__(self, lang: str, table: np.ndarray):
         self.lang, self.table = lang, table
         self.renew()
 
     def renew(self) -> None:
         self.clear()
         self[GAP] = 0
-        self.names, self.hashes = [b""], [0]
+        self.names, self.hashes = [b""], [np.zeros(1, U)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Give ids to ``words``, those that are frequent, if there is a filter of these."""
-        h = np.array([word_hash(self.lang, w) for w in words], U)
-        known = range(len(words)) if self.table is None else bloom.found(self.table, h).tolist()
+        h = word_hashes(self.lang, words)
+        known = bloom.found(self.table, h)
         self.update(dict.fromkeys(words, 0))
-        self.update((words[i], len(self.names) + n) for n, i in enumerate(known))
-        self.names += [words[i] for i in known]
-        self.hashes += h[list(known)].tolist()
+        self.update((words[i], len(self.names) + n) for n, i in enumerate(known.tolist()))
+        self.names += [words[i] for i in known.tolist()]
+        self.hashes = [np.concatenate((*self.hashes, h[known]))]
 
     def ids(self, tokens: list[bytes]) -> np.ndarray:
         self.learn([w for w in set(tokens) if w not in self])
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
-class Counter:
+def _parts(text: bytes, step: int) -> Iterator[list[bytes]]:
+    """Words and gaps of ``text``, about ``step`` bytes at once."""
+    text, a = text.lower().translate(TABLE), 0
+    while a < len(text):
+        b = min((x for c in (b" ", GAP) if (x := text.find(c, a + step)) >= 0), default=len(text))
+        yield text[a:b].replace(GAP, b" " + GAP + b" ").split()
+        a = b
+
+
+class WordCount:
+    """Single words of one language in a task: one container."""
+
+    order, full = 1, False
+
+    def __init__(self, lang: str):
+        self.lang, self.counts = lang, Counter()
+
+    @property
+    def size(self) -> int:
+        return len(self.counts)
+
+    def read(self, text: bytes, step: int) -> Iterator[None]:
+        """Count the words of ``text``; stops after each part, so that the caller can make room."""
+        for tokens in _parts(text, step):
+            self.counts.update(tokens)
+            self.counts.pop(GAP, None)
+            yield
+
+    def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
+        words = sorted(self.counts) if self.size > keep else []
+        for a in range(0, len(words), ROWS):
+            some = words[a : a + ROWS]
+            names = pa.array(some, pa.binary()).cast(pa.string())
+            yield _rows(self.lang, names, names, pa.array([self.counts[w] for w in some], pa.int64()))
+        if words:
+            self.counts = Counter()
+
+
+def _rows(lang: str, prefix: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int8), [lang]).cast(pa.string()), prefix, phrase, n], ["lang", "prefix", "phrase", "n"])
+
+
+class PhraseCount:
     """Phrases of one order and language in a task."""
 
-    def __init__(self, lang: str, order: int, words: np.ndarray | None, parts: np.ndarray | None, burst: int):
+    #: Set while all that was counted must be put out, as words get new ids.
+    full = False
+
+    def __init__(self, lang: str, order: int, words: np.ndarray, parts: np.ndarray, burst: int):
         """words, parts: the filters of frequent words and of frequent phrases one word shorter."""
         self.lang, self.order, self.parts = lang, order, parts
-        self.words = Words(lang.encode(), words)
-        self.trie = HatTrie(order, burst) if order > 1 else WordTrie()
+        self.words, self.trie = Words(lang, words), HatTrie(order, burst)
+
+    @property
+    def size(self) -> int:
+        return self.trie.size
 
     def read(self, text: bytes, step: int) -> Iterator[None]:
-        """Count the pieces of ``text``; stops after each part, so that the caller can make room."""
-        text, a, tail, held = text.lower().translate(TABLE), 0, np.zeros(0, np.int64), []
-        while a < len(text):
-            b = min((x for c in (b" ", GAP) if (x := text.find(c, a + step)) >= 0), default=len(text))
-            tokens = text[a:b].replace(GAP, b" " + GAP + b" ").split()
+        """Count the phrases of ``text``; stops after each part, so that the caller can make room."""
+        tail, held = np.zeros(0, np.int64), []
+        for tokens in _parts(text, step):
             if len(self.words) > KNOWN:
-                yield from self.renewed()
+                self.full = True
+                yield
+                self.full = False
+                self.words.renew()
                 tail = self.words.ids(held)
             ids = np.concatenate((tail, self.words.ids(tokens)))
             self._count(ids)
-            tail = ids[len(ids) - min(self.order - 1, len(ids)) :]
+            tail = ids[max(0, len(ids) - self.order + 1) :]
             held = [self.words.names[i] if i else GAP for i in tail.tolist()]
-            a = b
             yield
 
-    def renewed(self) -> Iterator[None]:
-        """Forget all words, once everything counted under their ids has been put out."""
-        self.full = True
-        yield
-        self.full = False
-        self.words.renew()
-
-    full = False
-
     def _count(self, ids: np.ndarray) -> None:
         k = self.order
-        if k == 1:
-            n = np.bincount(ids)
-            n[:1] = 0
-            first = np.flatnonzero(n)
-            self.trie.add(first, np.zeros(len(first), np.int64), n[first])
-            return
         alive = ids > 0
         if k > 2:
             m = max(0, len(ids) - k + 2)
             start = np.flatnonzero(np.logical_and.reduce([alive[j : j + m] for j in range(k - 1)]))
-            h = np.array(self.words.hashes, U)
+            h = self.words.hashes[0]
             start = start[bloom.found(self.parts, _joined([h[ids[start + j]] for j in range(k - 1)]))]
             alive = np.zeros(m, bool)
             alive[start] = True
@@ -143,6 +179,10 @@ class Counter:
         first, rest = ids[start], np.zeros(len(start), np.int64)
         for j in range(1, k):
             rest = rest << BITS | ids[start + j]
+        if k < 4:
+            packed, counts = np.unique(first << BITS * (k - 1) | rest, return_counts=True)
+            self.trie.add(packed >> BITS * (k - 1), packed & (1 << BITS * (k - 1)) - 1, counts)
+            return
         order = np.lexsort((rest, first))
         first, rest = first[order], rest[order]
         new = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])))) if len(first) else np.zeros(0, np.int64)
@@ -151,27 +191,26 @@ class Counter:
     def spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
         first, rest, counts = self.trie.spill(keep)
         names = pa.array(self.words.names, pa.binary()).cast(pa.string()) if len(first) else None
-        for a in range(0, len(first), 1 << 17):
-            at = slice(a, a + (1 << 17))
-            words = [names.take(pa.array(w)) for w in self.trie.words(first[at], rest[at])[: self.order]]
+        for a in range(0, len(first), ROWS):
+            at = slice(a, a + ROWS)
+            words = [names.take(pa.array(w)) for w in self.trie.words(first[at], rest[at])]
             phrase = pc.binary_join_element_wise(*words, " ")
-            prefix = phrase if self.order < 3 else pc.binary_join_element_wise(*words[:2], " ")
-            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(phrase)), prefix, phrase, pa.array(counts[at])], ["lang", "prefix", "phrase", "n"])
+            yield _rows(self.lang, phrase if self.order < 3 else pc.binary_join_element_wise(*words[:2], " "), phrase, pa.array(counts[at]))
 
 
 def _runs(order: int, words, parts, room: int, step: int, burst: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held: dict[str, WordCount | PhraseCount] = {}
         filters = [x and x.value for x in (words, parts)]
 
         def spill(keep: int) -> Iterator[pa.RecordBatch]:
-            left = sum(c.trie.size for c in held.values())
-            for c in sorted(held.values(), key=lambda c: -c.trie.size):
+            left = sum(c.size for c in held.values())
+            for c in sorted(held.values(), key=lambda c: -c.size):
                 if left <= keep:
                     break
-                before = c.trie.size
+                before = c.size
                 yield from c.spilled(max(0, before - (left - keep)))
-                left -= before - c.trie.size
+                left -= before - c.size
 
         for batch in batches:
             lang, text = batch.column(0), batch.column(1)
@@ -180,12 +219,12 @@ def _runs(order: int, words, parts, room: int, step: int, burst: int) -> Callabl
                     if len(held) >= LANGS:
                         yield from spill(0)
                         held.clear()
-                    held[name] = Counter(name, order, *filters, burst)
+                    held[name] = WordCount(name) if order == 1 else PhraseCount(name, order, *filters, burst)
                 counter = held[name]
                 for _ in counter.read(GAP.join(text.filter(pc.equal(lang, name)).cast(pa.binary()).to_pylist()), step):
                     if counter.full:
                         yield from counter.spilled(0)
-                    elif sum(c.trie.size for c in held.values()) > room:
+                    elif sum(c.size for c in held.values()) > room:
                         yield from spill(room // 2)
         yield from spill(0)
 
@@ -197,7 +236,7 @@ def _filter(phrases: DataFrame, limit: int):
     blocks = min(max(1, limit // bloom.BLOCK_BYTES), phrases.count() // bloom.PER_BLOCK + 1)
 
     def hashed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        rows = [[word_hash(lang.encode(), w.encode()) for w in phrase.split(" ")] for lang, phrase in zip(*(c.to_pylist() for c in part.columns))]
+        rows = [word_hashes(lang, phrase.encode().split(b" ")) for lang, phrase in zip(*(c.to_pylist() for c in part.columns))]
         h = np.array(rows, U).reshape(len(rows), -1)
         return np.zeros(len(rows), np.int64), (_joined(list(h.T)) if h.shape[1] > 1 else h[:, 0]) if rows else np.zeros(0, U)
 

@@ -18,9 +18,9 @@ class Branch(dict):
 
 
 class HatTrie:
-    """Counts of phrases of ``order`` word ids, at most four.
+    """Counts of phrases of ``order`` word ids, from two to four.
 
-    Below the root, which parts by the first id (there is none for single words), a container counts the rests of its
+    Below the root, which parts by the first id, a container counts the rests of its
     phrases under their packed ids. One that grows over BURST entries becomes a branch with a container for each next id,
     as long as its phrases have more than one word left. Subtrees of one first id are counted, so that the largest go
     first when room is needed, each as one sorted run."""
@@ -70,49 +70,33 @@ class HatTrie:
             out.setdefault(r >> shift, {})[r & mask] = c
         return out
 
-    def _walk(self, node: dict, left: int, above: int) -> Iterator[tuple[int, int]]:
+    def _leaves(self, node: dict, left: int, above: int) -> Iterator[tuple[int, dict]]:
+        """Each container below ``node``, with the packed ids above it."""
         if isinstance(node, Branch):
-            for key in sorted(node):
-                yield from self._walk(node[key], left - 1, above | key << BITS * (left - 1))
+            for key, below in node.items():
+                yield from self._leaves(below, left - 1, above | key << BITS * (left - 1))
         else:
-            for r in sorted(node):
-                yield above | r, node[r]
+            yield above, node
 
     def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, rest, count) of whole subtrees, the largest first, until at most ``keep`` entries stay; each is sorted."""
-        first, rest, counts = [], [], []
+        gone, sizes, rest, counts, above, leaves = [], [], [], [], [], []
         for key in sorted(self.sizes, key=lambda k: (-self.sizes[k], k)):
             if self.size <= keep:
                 break
-            for r, c in self._walk(self.root.pop(key), self.order - 1, 0):
-                rest.append(r)
-                counts.append(c)
-            n = self.sizes.pop(key)
-            first.append(np.full(n, key))
-            self.size -= n
-        return np.concatenate([*first, np.zeros(0, np.int64)]).astype(np.int64), np.array(rest, np.int64), np.array(counts, np.int64)
+            for high, box in self._leaves(self.root.pop(key), self.order - 1, 0):
+                rest.extend(box.keys())
+                counts.extend(box.values())
+                above.append(high)
+                leaves.append(len(box))
+            gone.append(key)
+            sizes.append(self.sizes.pop(key))
+            self.size -= sizes[-1]
+        rest = np.array(rest, np.int64) | np.repeat(np.array(above, np.int64), leaves)
+        order = np.lexsort((rest, np.repeat(np.arange(len(gone)), sizes)))
+        return np.repeat(np.array(gone, np.int64), sizes), rest[order], np.array(counts, np.int64)[order]
 
     def words(self, first: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
         """The ids of each word of the phrases."""
         return [first, *(rest >> BITS * (self.order - 2 - j) & WORD for j in range(self.order - 1))]
 
-
-class WordTrie(HatTrie):
-    """Single words: the root is one container, and one subtree."""
-
-    def __init__(self):
-        super().__init__(1)
-
-    def add(self, first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> None:
-        get = self.root.get
-        for k, c in zip(first.tolist(), counts.tolist()):
-            self.root[k] = get(k, 0) + c
-        self.size = len(self.root)
-
-    def spill(self, keep: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.size <= keep:
-            return (np.zeros(0, np.int64),) * 3
-        keys = sorted(self.root)
-        counts = [self.root[k] for k in keys]
-        self.root, self.size = {}, 0
-        return np.array(keys, np.int64), np.zeros(len(keys), np.int64), np.array(counts, np.int64)

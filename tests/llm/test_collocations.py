@@ -72,14 +72,13 @@ def test_words_known_by_a_task_are_bounded(spark, monkeypatch, rows):
     monkeypatch.setattr(C, "KNOWN", 4)
     monkeypatch.setattr(C, "LANGS", 1)
     want = counted(rows)[0]
-    for order in (1, 3):
+    for order in (1, 2, 3, 4):
         got = Counter()
         for lang in ("en", "und"):
-            c = C.Counter(lang, order, None, None, 2)
-            if order == 3:  # all pairs pass
-                monkeypatch.setattr(C.bloom, "found", lambda table, h: np.arange(len(h)))
+            monkeypatch.setattr(C.bloom, "found", lambda table, h: np.arange(len(h)))  # all pass
+            c = C.PhraseCount(lang, order, None, None, 2) if order > 1 else C.WordCount(lang)
             for _ in c.read(C.GAP.join(t.encode() for t, g in rows if ("und" if g is None else g) == lang), 25):
-                if c.full or c.trie.size > 30:
+                if c.full or c.size > 30:
                     for part in c.spilled(0 if c.full else 15):
                         got.update({(g, tuple(p.split(" "))): k for g, _, p, k in zip(*(x.to_pylist() for x in part.columns))})
             for part in c.spilled(0):
