@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import duplicates as D
 from ..operators import frames as O
+from ..operators import lists as L
 from ..operators import picks as P
+from ..operators.shared import shared_dir
 from .registry import query
 from .views import sql, view
 
@@ -208,10 +213,29 @@ def v28(s, d):
 @query("v29_mark_duplicates", sql(f"with recursive links as (select b.video_id, a.frame_index as x, b.frame_index as y from frames a join frames b on a.video_id = b.video_id and a.frame_index < b.frame_index and round({COS.format(a='a.embedding', b='b.embedding')}, 9) >= 0.45), adj as (select f.video_id, f.frame_index as y, coalesce(list(x) filter (x is not null), []) as xs from frames f left join links l on l.video_id = f.video_id and l.y = f.frame_index group by all), scan as (select video_id, y, [y] as kept, null::int as dup from adj where y = 0 union all select a.video_id, a.y, case when len(list_intersect(s.kept, a.xs)) = 0 then list_append(s.kept, a.y) else s.kept end, list_min(list_intersect(s.kept, a.xs)) from scan s join adj a on a.video_id = s.video_id and a.y = s.y + 1) select video_id * 100000 + y as fact_id, video_id * 100000 + dup as duplicate_of from scan", "frames"))
 def v29(s, d):
     rows = frames(s, d).withColumn("fact_id", F.col("video_id") * 100000 + F.col("frame_index"))
-    from ..operators.shared import checkpoints
-
-    checkpoints(s)
-    return P.mark_duplicates(rows, "video_id", "frame_index", "fact_id", 0.45)
+    return D.mark_duplicates(rows, "video_id", "frame_index", "fact_id", 0.45)
+
+
+ACROSS = f"""
+with recursive f as (select vec_id, row_number() over (order by vec_id) as i, embedding::double[] as e from embeddings),
+adj as (
+  select b.vec_id, b.i, coalesce(list(a.vec_id) filter (a.vec_id is not null), []) as xs
+  from f b left join f a on a.i < b.i and round({COS.format(a='a.e', b='b.e')}, 9) >= 0.6 group by all
+),
+scan as (
+  select vec_id, i, [vec_id] as kept, null::bigint as dup from adj where i = 1
+  union all
+  select a.vec_id, a.i, case when len(list_intersect(s.kept, a.xs)) = 0 then list_append(s.kept, a.vec_id) else s.kept end, list_min(list_intersect(s.kept, a.xs))
+  from scan s join adj a on a.i = s.i + 1
+)
+select vec_id, dup as duplicate_of from scan
+"""
+
+
+@query("v29_duplicates_across_videos", ACROSS.strip())
+def v29_across(s, d):
+    e = view(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return D.mark_duplicates(e, None, "vec_id", "vec_id", 0.6)
 
 
 @query("v30_knn", sql(f"select query, id, rank, score from (select *, row_number() over (partition by query order by score desc, id) as rank from (select q.vec_id as query, c.vec_id as id, round({COS.format(a='c.embedding::double[]', b='q.embedding::double[]')}, 9) as score from embeddings q join embeddings c on c.vec_id <> q.vec_id and c.label <> 3 where q.vec_id % 50 = 0)) where rank <= 5"))
@@ -220,10 +244,25 @@ def v30(s, d):
     return P.knn(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "vec_id", keep=F.col("label") != 3)
 
 
+def inverted(s, d):
+    """The embeddings, an index of them in a new shared folder, every fiftieth as a query, and the probes that these need."""
+    e = view(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    index = L.build_lists(e, f"{shared_dir(s).rstrip('/')}/lists-{uuid.uuid4().hex}", "vec_id")
+    q = e.where("vec_id % 50 = 0")
+    return q, index, L.fewest_probes(L.recall_curve(index, q, e, 5, "vec_id", "vec_id"))
+
+
 @query("v31_cell_search")
 def v31(s, d):
-    e = view(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return P.cell_search(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "vec_id")
+    q, index, (probes, _, _) = inverted(s, d)
+    return L.search_lists(index, q, 5, "vec_id", probes)
+
+
+@query("v31_recall")
+def v31_recall(s, d):
+    """Recall against the exact search (v30) at the probes that the search takes, and the rows it reads."""
+    _, index, (probes, recall, share) = inverted(s, d)
+    return s.createDataFrame([(len(index.centres), probes, recall, share)], "lists int, probes int, recall double, share_read double")
 
 
 @query("v32_gallery_match", sql(f"with s as (select q.vec_id as query, g.label as owner, max(round({COS.format(a='q.embedding::double[]', b='g.embedding::double[]')}, 9)) as score from embeddings q join embeddings g on g.vec_id < 60 where q.vec_id >= 60 group by all), r as (select *, row_number() over w as rank, lead(score) over w as runner_up from s window w as (partition by query order by score desc, owner)) select query, owner, score, runner_up, case when score < 0.38 then 'unknown' when score - coalesce(runner_up, -1.0) < 0.06 then 'ambiguous' else 'match' end as status from r where rank = 1"))

@@ -10,9 +10,11 @@ a key, the rows of one delay are in memory at once.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -77,12 +79,21 @@ def on_disk(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER, ROCKSDB)
 
 
+def by_value(*modules: str) -> None:
+    """Send what these modules define along with the functions that use it: the worker on the driver in which Spark sets up
+    a query's state gets none of the files that the application was given."""
+    for name in modules:
+        if name != "__main__":
+            register_pickle_by_value(sys.modules[name])
+
+
 def in_order(stream: DataFrame, key: str, order: list[str], columns: list[str], ts: str, late: str, result: str, state: str, push: Callable, wait: Callable, flush: Callable | None = None) -> DataFrame:
     """Rows of each key through ``push(state, row)``, which gives the new state and the rows to put out; state: a list as
     ``state`` has it, or None at first. Rows come in order of ``order``, which must not go against ``ts``, once the
     watermark, ``late`` behind the newest ``ts``, has passed them. When it has passed ``wait(state)`` (milliseconds since
     the epoch), the key puts out ``flush(key, state)`` and is forgotten."""
     on_disk(stream.sparkSession)
+    by_value(__name__, *(f.__module__ for f in (push, wait, flush) if f))
     rows = stream.withWatermark(ts, late).withColumn(US, F.unix_micros(ts))
     names = list(dict.fromkeys([key, *order, *columns, US]))
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)

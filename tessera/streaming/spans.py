@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.spans import Smoother, Vote
-from .ordered import in_order
+from .ordered import by_value, in_order
+
+by_value(Smoother.__module__)
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:

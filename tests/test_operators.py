@@ -5,7 +5,9 @@ import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
+from tessera.operators import duplicates as D
 from tessera.operators import frames as O
+from tessera.operators import lists as L
 from tessera.operators import intervals as I
 from tessera.operators import maintain as M
 from tessera.operators import picks as P
@@ -52,7 +54,7 @@ def test_duplicates_equal_the_greedy_scan(spark):
     v = rng.standard_normal((60, 3))
     df = spark.createDataFrame([(0, i, float(i) if i % 7 else None, x.tolist()) for i, x in enumerate(v)], "k int, id int, at double, embedding array<double>")
     shared.checkpoints(spark)
-    got = {r.id: r.duplicate_of for r in P.mark_duplicates(df, "k", "at", "id", 0.8).collect()}
+    got = {r.id: r.duplicate_of for r in D.mark_duplicates(df, "k", "at", "id", 0.8).collect()}
     order = sorted(range(60), key=lambda i: (float(i) if i % 7 else 0.0, i))
     u, kept, want = v / np.linalg.norm(v, axis=1)[:, None], [], {}
     for i in order:
@@ -65,7 +67,8 @@ def test_duplicates_equal_the_greedy_scan(spark):
 def test_cell_search_is_part_of_exact_search_when_all_cells_are_probed(spark):
     e = view(spark, SF, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
     q = e.where("vec_id % 100 = 0")
-    exact, some, all_cells = P.knn(q, e, 5, "vec_id", "vec_id"), P.cell_search(q, e, 5, "vec_id", "vec_id", probes=4), P.cell_search(q, e, 5, "vec_id", "vec_id", probes=8)
+    index = L.build_lists(e, f"{shared.shared_dir(spark)}/eight-cells", "vec_id", lists=8)
+    exact, some, all_cells = P.knn(q, e, 5, "vec_id", "vec_id"), L.search_lists(index, q, 5, "vec_id", 4), L.search_lists(index, q, 5, "vec_id", 8)
     want = set(listed(exact, "query", "id"))
     assert set(listed(all_cells, "query", "id")) == want
     assert len(set(listed(some, "query", "id")) & want) >= 0.6 * len(want)

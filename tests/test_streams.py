@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import spans as B
 from tessera.plans.streams import folder
+from tessera.streaming import ordered
 from tessera.streaming import spans as T
 
 SCHEMA = "k int, i long, sec double, label string, v double"
@@ -119,3 +120,15 @@ def test_changes_of_swapped_batches(spark, run):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("forced", F.lit(False))
     want = B.emit_changes(df, "k", "sec", "label", "forced", 5.0)
     assert listed(got, "k", "sec", "label") == listed(want, "k", "sec", "label") and held["at"] == 0
+
+
+def test_processors_need_no_package_on_the_path():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    processor = ordered.InOrder(["k"], "k int", "n int", ["k"], ["k"], lambda at, row: (B.Smoother("ema", ["a"]), B.Vote()), T.open_spans, None)
+    ordered.by_value(ordered.__name__, T.__name__, __name__)
+    out = subprocess.run([sys.executable, "-c", "import pickle, sys; p = pickle.loads(sys.stdin.buffer.read()); print(p.push(None, None)[1].labels)"], input=cloudpickle.dumps(processor), cwd="/", env={"PATH": "/usr/bin:/bin"}, capture_output=True)
+    assert out.stdout.strip() == b"[]", out.stderr[-500:]
