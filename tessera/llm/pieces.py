@@ -13,8 +13,9 @@ makes decoding lossless for any text.
 
 Nulls and edges: a null text gives null ids and null back; an empty text gives no pieces; a null key counts as the text
 'null'; rows equal in key and text get the same segmentation. A lone surrogate can't be in a Spark string. A very long
-text is encoded whole, chunk by chunk; in a chunk of more than LONGEST characters (text without spaces) only the forward
-sums are kept, 12 bytes a character, and the chances are worked out again block by block on the way back. Other columns are kept by ``encode`` and ``decode``; a column that has the name
+text is encoded whole: blocks of chunks of some CHARS characters are drawn one after another, so that lattices take some
+90 MB whatever the text, which itself takes some eight times its bytes; of a chunk of more than LONGEST characters (text
+without spaces) only the sums at each block's start are kept, and the others worked out again on the way back. Other columns are kept by ``encode`` and ``decode``; a column that has the name
 of the result is replaced. An empty table gives an empty table.
 """
 
@@ -36,6 +37,10 @@ OFFSET, SHARPNESS, SEED = 2.7, 1.0, 1
 SPACE = "▁"
 #: Chunks of more characters than this go place by place, in blocks of so many places; the lattice is the same.
 LONGEST, PLACES = 512, 1 << 14
+#: Characters of chunks that are drawn together; pieces that are decoded together.
+CHARS, TOGETHER = 1 << 19, 1 << 18
+#: The last character before a run of spaces, at whose start a text can be cut.
+CUT = re.compile("[^ ] ")
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Stands for a ▁ of the text itself while chunks are cut: a lone surrogate, which no text can hold.
 OWN = chr(0xD800)
@@ -170,11 +175,12 @@ class Lattice:
                 f[j - width - 1] = codes[j - width - 1] = None
         return rank, size, base, cum, ids
 
-    def _ends(self, x: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    def _ends(self, chunk: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """For the places a + 1 .. b of one chunk: weight and piece of each length that ends there."""
-        n, width = b - a, self.longest
+        n, width, low = b - a, self.longest, max(0, a - self.longest)
+        x = np.frombuffer(chunk[low:b].encode("utf-32-le", "surrogatepass"), np.uint32)
         w, ids, h = np.zeros((n, width)), np.zeros((n, width), np.int32), np.zeros(n, U)
-        padded = np.concatenate((np.zeros(width, U), x[max(0, a - width) : b].astype(U) + U(1)))[-(n + width) :]
+        padded = np.concatenate((np.zeros(width, U), x.astype(U) + U(1)))[-(n + width) :]
         for m in range(1, width + 1):
             with np.errstate(over="ignore"):
                 h = h * U(BASE) + padded[width - m + 1 : width - m + 1 + n]
@@ -183,69 +189,106 @@ class Lattice:
             w[at, m - 1] = self.pieces.weight[got]
             ids[at, m - 1] = self.pieces.id[got]
         bare = np.flatnonzero(w[:, 0] == 0)
-        own = x[a:b][bare].astype(np.int64)
+        own = x[a - low :][bare].astype(np.int64)
         own[own == ord(OWN)] = ord(SPACE)
         w[bare, 0] = self.rare ** (1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF))
         ids[bare, 0] = BYTES_OF + own
         return w, ids
 
+    def _sums(self, w: np.ndarray, near: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """From the weights of a block of places and the sums of the places before it: the sums of these and of its own
+        places, how often they had been multiplied by 1e150, and what the next block goes on from."""
+        n, width = w.shape
+        f, scaled = np.concatenate((near, np.zeros(n))), np.zeros(n, np.int32)
+        w, near = w[:, ::-1].copy(), near.copy()
+        for j in range(n):
+            total = float(w[j] @ near)
+            near[:-1] = near[1:]
+            near[-1] = total
+            if total < 1e-150:
+                near *= 1e150
+                times += 1
+            f[width + j], scaled[j] = near[-1], times
+        return f, scaled, near, times
+
     def long_chunk(self, chunk: str, seeds: np.ndarray) -> list[np.ndarray]:
         """The pieces of a long chunk, from the last to the first, for each seed."""
-        x = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
-        n, width = len(x), self.longest
-        # sums before place 0 are 0; ``scaled`` counts how often the sums had been multiplied by 1e150 at a place
-        f, scaled = np.zeros(width + n + 1), np.zeros(n + 1, np.int32)
-        f[width] = 1.0
-        near, times = f[: width + 1][1:].copy(), 0
+        n, width = len(chunk), self.longest
+        near, times, starts = np.zeros(width), 0, []
+        near[-1] = 1.0  # the sum at place 0
+        scaled_before = np.zeros(width, np.int32)
         for a in range(0, n, PLACES):
-            b = min(n, a + PLACES)
-            w, _ = self._ends(x, a, b)
-            w = w[:, ::-1].copy()
-            for j in range(a, b):
-                total = float(w[j - a] @ near)
-                near[:-1] = near[1:]
-                near[-1] = total
-                if total < 1e-150:
-                    near *= 1e150
-                    times += 1
-                f[width + j + 1], scaled[j + 1] = near[-1], times
+            starts.append((near, times, scaled_before))
+            _, scaled, near, times = self._sums(self._ends(chunk, a, min(n, a + PLACES))[0], near, times)
+            # the sums that go on were brought to the last place's scale
+            scaled_before = np.full(width, times, np.int32)
         out, places, steps = [[] for _ in seeds], np.full(len(seeds), n), np.zeros(len(seeds), np.int64)
         for a in range((n - 1) // PLACES * PLACES, -1, -PLACES):
-            b = min(n, a + PLACES)
-            w, ids = self._ends(x, a, b)
-            back = np.arange(a, b)[:, None] - np.arange(width)[None, :]
-            level = scaled[np.maximum(back, 0)]
-            w *= f[back + width] * 1e150 ** (level[:, :1] - level).astype(float)
+            near, times, before = starts.pop()
+            w, ids = self._ends(chunk, a, min(n, a + PLACES))
+            f, scaled, _, _ = self._sums(w, near, times)
+            scaled = np.concatenate((before, scaled))
+            back = np.arange(len(w))[:, None] + (width - 1) - np.arange(width)[None, :]
+            level = scaled[back]
+            w *= f[back] * 1e150 ** (level[:, :1] - level).astype(float)
             np.cumsum(w, axis=1, out=w)
             w /= w[:, -1:]
             w[w >= 1 - 1e-7] = 2.0
             cum = w.astype(np.float32)
             for s, seed in enumerate(seeds):
-                place, step = int(places[s]), int(steps[s])
+                place, step, got = int(places[s]), int(steps[s]), []
                 while place > a:
                     m = int(np.argmax(cum[place - 1 - a] > _chance(seed, step)))
-                    out[s].append(ids[place - 1 - a, m])
+                    got.append(ids[place - 1 - a, m])
                     place, step = place - m - 1, step + 1
+                out[s].append(np.array(got, np.int32))
                 places[s], steps[s] = place, step
-        return [np.array(o, np.int64) for o in out]
+        return [np.concatenate(o).astype(np.int64) for o in out]
+
+    @staticmethod
+    def _chunks(text: str) -> Iterator[tuple[int, list[str]]]:
+        """Chunks of ``text``, of some CHARS characters at once, each time with the number of the first."""
+        a = number = 0
+        while a < len(text):
+            cut = CUT.search(text, a + CHARS - 1) if len(text) - a > CHARS else None
+            b = cut.start() + 1 if cut else len(text)
+            chunks = CHUNK.findall((SPACE if a == 0 else "") + text[a:b].replace(SPACE, OWN).replace(" ", SPACE))
+            yield number, chunks
+            number, a = number + len(chunks), b
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all texts one after another, and where each text's end."""
+        parts, size, block, room = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), [], CHARS
+
+        def draw() -> None:
+            ids, ends = self._drawn([c for _, _, c in block], np.array([i for i, _, _ in block]), np.array([n for _, n, _ in block]), keys)
+            parts.append(ids)
+            np.add.at(size, [i for i, _, _ in block], np.diff(ends, prepend=0))
+            block.clear()
+
+        for i, text in enumerate(texts):
+            for number, chunks in self._chunks(text):
+                block.append((i, number, chunks))
+                room -= sum(map(len, chunks))
+                if room <= 0:
+                    draw()
+                    room = CHARS
+        if block:
+            draw()
+        return np.concatenate(parts), np.cumsum(size)
+
+    def _drawn(self, lists: list[list[str]], text: np.ndarray, first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of lists of chunks one after another, and where each list's end; the text of each, and its first chunk's number."""
         number: dict[str, int] = {}
-        at, of_text = [], []
-        for t in texts:
-            chunks = CHUNK.findall(SPACE + t.replace(SPACE, OWN).replace(" ", SPACE)) if t else []
-            at += [number.setdefault(c, len(number)) for c in chunks]
-            of_text.append(len(chunks))
-        if not at:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        at = [number.setdefault(c, len(number)) for chunks in lists for c in chunks]
+        of_text = list(map(len, lists))
         chunks = list(number)
         rank, size, base, cum, ids = self.chances([c if len(c) <= LONGEST else c[:1] for c in chunks])
         at, of_text = np.array(at), np.array(of_text)
         ends = np.cumsum(of_text)
-        row = np.repeat(np.arange(len(texts)), of_text)
+        row = np.repeat(np.arange(len(lists)), of_text)
         with np.errstate(over="ignore"):
-            seed = mix(keys[row] + (np.arange(len(at)) - (ends - of_text)[row]).astype(U) * U(0x9E3779B97F4A7C15))
+            seed = mix(keys[text[row]] + (first[row] + np.arange(len(at)) - (ends - of_text)[row]).astype(U) * U(0x9E3779B97F4A7C15))
         who, what, steps, apart = [], [], np.zeros(len(at), np.int64), {}
         long = np.array([len(c) > LONGEST for c in chunks])
         for c in np.flatnonzero(long):
@@ -287,9 +330,23 @@ class Lattice:
             out = full
         return out.astype(np.int32), ends_at
 
-    def decode(self, ids: list[int]) -> str:
-        text = self.text
-        return b"".join([text[i] for i in ids])[1:].decode("utf-8", "replace")
+    def spelled(self, ids: np.ndarray | list[int]) -> Iterator[bytes]:
+        """What the pieces stand for, a leading space included, part by part."""
+        ids = np.asarray(ids, np.int32)
+        for a in range(0, len(ids), TOGETHER):
+            yield b"".join(map(self.text.__getitem__, ids[a : a + TOGETHER].tolist()))
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        return b"".join(self.spelled(ids))[1:].decode("utf-8", "replace")
+
+    def spells(self, ids: np.ndarray | list[int], text: str) -> bool:
+        """Whether decode() gives ``text``."""
+        want, at = (" " + text).encode() if text else b"", 0
+        for part in self.spelled(ids):
+            if not want.startswith(part, at):
+                return False
+            at += len(part)
+        return at == len(want)
 
 
 _kept: dict[int, Lattice] = {}
@@ -329,7 +386,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append([t is None for t in texts], False)), pa.array(ids))
                 columns = [*piece.columns[:-1], lists]
                 if check:
-                    columns.append(pa.array([t is None or lattice.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, ends[:-1], ends[1:])]))
+                    columns.append(pa.array([t is None or lattice.spells(ids[a:b], t) for t, a, b in zip(texts, ends[:-1], ends[1:])]))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -346,7 +403,7 @@ def decode(df: DataFrame, pieces: str = "pieces", out: str = "decoded", model: s
         for part in parts:
             column = part.column(kept.index(pieces))
             for at in batches(column, 1 << 20, lambda p: len(p) if p.is_valid else 0):
-                texts = [lattice.decode(p.values.to_numpy().tolist()) if p.is_valid else None for p in column[at]]
+                texts = [lattice.decode(p.values.to_numpy()) if p.is_valid else None for p in column[at]]
                 yield pa.RecordBatch.from_arrays([*part.slice(at.start, len(texts)).columns, pa.array(texts, pa.string())], schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)

@@ -7,12 +7,15 @@ beyond, what total is left if each text is cut there, which share of documents f
 (blocks of lengths, then within a block), so no task sees the whole histogram.
 
 Nulls and edges: a null text counts as an empty one, of length 0; repeated rows count each time; very long texts are
-encoded whole; no other column is looked at. An empty table gives an empty histogram.
+encoded whole, in some ten times their bytes of memory; no other column is looked at. An empty table gives an empty
+histogram. A run of LONG or more white-space characters, on which the encoder's pattern would overflow its stack, is cut
+out as the pattern itself would cut it, and goes to the encoder as the one piece that it is.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +27,10 @@ from .common import staged
 #: Ranks of a public byte-level BPE, in tiktoken's format.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 1024
+#: White-space characters in a row that are given to the encoder as a piece of their own.
+LONG = 100_000
+#: White space of the encoder's pattern.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _encodings: dict[int, object] = {}
 
@@ -38,6 +45,17 @@ def _encoding(ranks: bytes, pattern: str):
     return _encodings[key]
 
 
+def encoded_length(encoding, text: str, long: int = LONG) -> int:
+    """Tokens of ``text``. Of a run of white space before other text, the pattern leaves the last character to the next piece."""
+    n = done = 0
+    for run in re.finditer(f"[{WHITE}]{{{long},}}", text) if len(text) >= long else ():
+        a, b = run.span()
+        last = int(b < len(text))
+        n += len(encoding.encode_ordinary(text[done:a])) + (len(encoding._encode_single_piece(text[a : b - last])) if b - last > a else 0)
+        done = b - last
+    return n + len(encoding.encode_ordinary(text[done:]))
+
+
 def encoded_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str | None = None) -> DataFrame:
     """(n_tokens): the length of each row's encoded text. ``vocabulary`` is read on the driver and broadcast (0.8 MB)."""
     if pattern is None:
@@ -46,9 +64,9 @@ def encoded_lengths(docs: DataFrame, text: str = "text", vocabulary: str = VOCAB
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks.value, pattern).encode_ordinary
+        encoding = _encoding(ranks.value, pattern)
         for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) if t else 0 for t in part.column(0).to_pylist()], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoded_length(encoding, t) if t else 0 for t in part.column(0).to_pylist()], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "n_tokens bigint")
 
