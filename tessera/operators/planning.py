@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import ratio
 from .intervals import nearest_by_time
 
 
@@ -117,10 +119,14 @@ def loudness_eval(df: DataFrame, measured: str, platform: Column, tolerance: flo
 
 
 def text_drift(pairs: DataFrame, a: str, b: str, limit: float = 0.75) -> DataFrame:
-    """``pairs`` with ``similarity`` (1 less edit distance over the longer length; two empty texts are equal) and ``drift``."""
-    longest = F.greatest(F.length(a), F.length(b))
-    sim = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
-    return pairs.withColumn("similarity", sim).withColumn("drift", F.col("similarity") < limit)
+    """``pairs`` with ``similarity`` (share of characters in matching blocks of the delivered text ``a`` and its source ``b``,
+    see blocks.py; null as empty) and ``drift``."""
+
+    @F.pandas_udf("double")
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([ratio(p, q) for p, q in zip(x, y)], dtype=float)
+
+    return pairs.withColumn("similarity", similarity(a, b)).withColumn("drift", F.col("similarity") < limit)
 
 
 def qa_status(checks: DataFrame, keys: list[str], status: str) -> DataFrame:

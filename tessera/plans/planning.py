@@ -125,11 +125,11 @@ def p15(s, d):
 
 @query("p16_text_drift")
 def p16(s, d):
+    """Each turn, as delivered, against the turn before it, as its source."""
     from pyspark.sql import Window
 
-    # whole texts, and by character: DuckDB's distance counts bytes
-    c = view(s, d, "conversations").withColumn("a", F.lower(F.trim("text"))).withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
-    return P.text_drift(c, "a", "b").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"), "drift")
+    c = view(s, d, "conversations").withColumn("source", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("source is not null")
+    return P.text_drift(c, "text", "source").select("conv_id", "turn", F.round("similarity", 6).alias("similarity"), "drift")
 
 
 @query("p17_clip_audit", f"with {ADJ} select param, count(*) as n from fin where raw <> final group by 1")
