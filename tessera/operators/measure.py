@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoints
+
 #: sRGB to XYZ (D65), the white point, and the weights of luminance.
 TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
 WHITE = (0.95047, 1.0, 1.08883)
@@ -231,18 +233,50 @@ def mood(df: DataFrame, keys: list[str], axes: list[str], profiles: dict[str, di
     return rows.select(*keys, F.col("s_m")[0]["n"].alias("mood"), F.col("s_m")[0]["c"].alias("closeness"), (F.col("s_m")[0]["c"] - F.col("s_m")[1]["c"]).alias("margin"))
 
 
-def palette(df: DataFrame, keys: list[str], k: int = 4, rounds: int = 3) -> DataFrame:
-    """(keys, colour, r, g, b, share): Lloyd's rounds for all groups at once, from the means of the ``k`` fullest cells of a
-    4 x 4 x 4 grid; a centre that loses all rows goes."""
-    cell = lambda c: F.least(F.lit(3), F.floor(F.col(c) * 4))
-    seeds = df.groupBy(*keys, (cell("r") * 16 + cell("g") * 4 + cell("b")).alias("cell")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
-    centres = seeds.withColumn("colour", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "cell"))).where(F.col("colour") <= k)
+#: Weights of luminance.
+LUMA = {"r": 0.2126, "g": 0.7152, "b": 0.0722}
+
+
+def palette(df: DataFrame, keys: list[str], k: int = 6, levels: int = 6, rounds: int = 12, near: float = 0.06) -> DataFrame:
+    """(keys, colour, r, g, b, share, saturation, role): the main colours of each group, numbered by share, then luminance.
+
+    Lloyd's rounds for all groups at once begin at the means of the ``k`` fullest cells of a grid of ``levels`` a channel
+    and end, group by group, when no centre moves. Then, from the largest on, a colour nearer than ``near`` to one that
+    stays gives its share to the first of these. A centre is a row, so a round is one scan with partial sums, and only
+    groups that still move take part; centres are written each round."""
+    checkpoints(df.sparkSession)
+    cell = lambda c: F.least(F.lit(levels - 1), F.floor(F.col(c) * levels))
+    seeds = df.groupBy(*keys, ((cell("r") * levels + cell("g")) * levels + cell("b")).alias("cell")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
+    ranked = seeds.withColumn("colour", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "cell"))).where(F.col("colour") <= k)
+    centres = ranked.select(*keys, "colour", *"rgb", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("done")).checkpoint()
+    away = lambda x, y: sum(((x[c] - y[c]) ** 2 for c in "gb"), (x["r"] - y["r"]) ** 2)
+    own = {c: F.col(c) for c in "rgb"}
     for _ in range(rounds):
-        lists = centres.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("colour", "r", "g", "b"))).alias("cs"))
-        away = lambda c: (F.col("r") - c["r"]) ** 2 + (F.col("g") - c["g"]) ** 2 + (F.col("b") - c["b"]) ** 2
-        near = F.array_min(F.transform("cs", lambda c: F.struct(F.round(away(c), 12).alias("d"), c["colour"].alias("colour"))))
-        centres = df.join(lists, keys).withColumn("colour", near["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
-    return centres.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys))).select(*keys, "colour", "r", "g", "b", "share")
+        open_ = centres.where("not done")
+        if not open_.take(1):
+            break
+        lists = open_.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("colour", *"rgb"))).alias("cs"))
+        nearest = F.array_min(F.transform("cs", lambda c: F.struct(F.round(away(own, c), 12).alias("d"), c["colour"].alias("colour"))))
+        means = df.join(lists, keys).withColumn("colour", nearest["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("m"), *[F.avg(c).alias(f"{c}1") for c in "rgb"])
+        moved = open_.join(means, [*keys, "colour"], "left").select(*keys, "colour", *[F.coalesce(f"{c}1", c).alias(c) for c in "rgb"], *[F.col(c).alias(f"{c}0") for c in "rgb"], F.coalesce("m", F.lit(0)).alias("n"))
+        still = [F.abs(F.col(c) - F.col(f"{c}0")) <= 1e-4 + 1e-5 * F.abs(f"{c}0") for c in "rgb"]
+        done = F.bool_and(still[0] & still[1] & still[2]).over(Window.partitionBy(*keys))
+        centres = moved.select(*keys, "colour", *"rgb", "n", done.alias("done")).unionByName(centres.where("done")).checkpoint()
+
+    item = F.struct((-F.col("n")).alias("m"), "colour", *"rgb", "n")
+    found = centres.where("n > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("found"))
+    first = lambda kept, c: F.array_position(F.transform(kept, lambda x: away(x, c) < near * near), True)
+    into = lambda kept, c: F.transform(kept, lambda x, i: F.when(i + 1 == first(kept, c), x.withField("n", x["n"] + c["n"])).otherwise(x))
+    none = F.filter("found", lambda x: F.lit(False))
+    kept = F.aggregate("found", none, lambda kept, c: F.when(first(kept, c) > 0, into(kept, c)).otherwise(F.array_append(kept, c)))
+    rows = found.select(*keys, F.explode(kept).alias("c")).select(*keys, "c.colour", *[f"c.{c}" for c in "rgb"], "c.n")
+    rows = rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    high = F.greatest(*"rgb")
+    saturation = F.when(high < 1e-6, 0.0).otherwise((high - F.least(*"rgb")) / high)
+    luma = F.round(sum((F.col(c) * w for c, w in LUMA.items()), F.lit(0.0)), 9)
+    role = F.when(F.col("share") >= 0.3, "dominant").when((F.col("saturation") >= 0.45) & (F.col("share") < 0.12), "accent").otherwise("secondary")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), luma, "colour"))
+    return rows.withColumn("saturation", saturation).select(*keys, number.alias("colour"), *"rgb", "share", "saturation", role.alias("role"))
 
 
 def palette_stats(colours: DataFrame, keys: list[str]) -> DataFrame:

@@ -110,7 +110,60 @@ def c14(s, d):
     return rounded(M.mask_summary(px(s, d), K, (F.col("r") > F.col("g")) & (F.col("g") > F.col("b"))), *K)
 
 
-@query("c17_palette")
+def lloyd(rounds: int) -> str:
+    """The rounds one after another; a frame whose centres hold still drops out."""
+    away = "(p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2"
+    still = " and ".join(f"abs({c} - {c}0) <= 1e-4 + 1e-5 * abs({c}0)" for c in "rgb")
+    return ",".join(
+        f"""
+a{t} as materialized (
+  select frame_id, colour, count(*) as m, avg(r) as r, avg(g) as g, avg(b) as b from (
+    select p.frame_id, p.r, p.g, p.b, list_min(list_transform(cs, lambda c: {{'d': round({away}, 12), 'colour': c.colour}})).colour as colour
+    from pixels p join (select frame_id, list({{'colour': colour, 'r': r, 'g': g, 'b': b}}) as cs from c{t} where not done group by 1) using (frame_id)
+  ) group by 1, 2
+),
+c{t + 1} as materialized (
+  select frame_id, colour, r, g, b, n, bool_and({still}) over (partition by frame_id) as done from (
+    select c.frame_id, c.colour, coalesce(a.r, c.r) as r, coalesce(a.g, c.g) as g, coalesce(a.b, c.b) as b, c.r as r0, c.g as g0, c.b as b0, coalesce(m, 0) as n
+    from c{t} c left join a{t} a using (frame_id, colour) where not done
+  ) union all select * from c{t} where done
+)"""
+        for t in range(rounds)
+    )
+
+
+#: From the largest colour on, one near to a colour that stays gives its share to the first such.
+PALETTE = f"""
+with seeds as (
+  select frame_id, (least(5, floor(r * 6)) * 6 + least(5, floor(g * 6))) * 6 + least(5, floor(b * 6)) as cell, count(*) as n, avg(r) as r, avg(g) as g, avg(b) as b
+  from pixels group by 1, 2
+),
+c0 as materialized (
+  select frame_id, row_number() over (partition by frame_id order by n desc, cell) as colour, r, g, b, 0::bigint as n, false as done
+  from seeds qualify colour <= 6
+),{lloyd(12)},
+found as (select frame_id, list([{{'colour': colour, 'r': r, 'g': g, 'b': b, 'n': n}}] order by n desc, colour) as found from c12 where n > 0 group by 1),
+merged as (
+  select frame_id, unnest(list_reduce(found, lambda kept, x:
+    case when len(list_filter(kept, lambda y: (y.r - x[1].r) ** 2 + (y.g - x[1].g) ** 2 + (y.b - x[1].b) ** 2 < 0.06 * 0.06)) = 0 then list_append(kept, x[1])
+         else list_transform(kept, lambda y: {{'colour': y.colour, 'r': y.r, 'g': y.g, 'b': y.b,
+                'n': y.n + case when y.colour = list_filter(kept, lambda z: (z.r - x[1].r) ** 2 + (z.g - x[1].g) ** 2 + (z.b - x[1].b) ** 2 < 0.06 * 0.06)[1].colour then x[1].n else 0 end}}) end)) as c
+  from found
+),
+shares as (
+  select frame_id, c.colour as seed, c.r as r, c.g as g, c.b as b, c.n as n, c.n / sum(c.n) over (partition by frame_id) as share,
+         case when greatest(c.r, c.g, c.b) < 1e-6 then 0.0 else (greatest(c.r, c.g, c.b) - least(c.r, c.g, c.b)) / greatest(c.r, c.g, c.b) end as saturation
+  from merged
+),
+palette as (
+  select *, (row_number() over (partition by frame_id order by n desc, round(r * 0.2126 + g * 0.7152 + b * 0.0722, 9), seed))::int as colour,
+         case when share >= 0.3 then 'dominant' when saturation >= 0.45 and share < 0.12 then 'accent' else 'secondary' end as role
+  from shares
+)
+"""
+
+
+@query("c17_palette", sql(f"{PALETTE.strip()} select frame_id, colour, round(r, 4) as r, round(g, 4) as g, round(b, 4) as b, round(share, 4) as share, round(saturation, 4) as saturation, role from palette", "pixels"))
 def c17(s, d):
     return rounded(M.palette(px(s, d), K), *K, n=4)
 
@@ -179,7 +232,17 @@ def c40(s, d):
     return rounded(out, *K)
 
 
-@query("c18_palette_stats")
+STATS = """
+pairs as (
+  select x.frame_id, avg(sqrt((x.lab_l - y.lab_l) ** 2 + (x.lab_a - y.lab_a) ** 2 + (x.lab_b - y.lab_b) ** 2)) as distance
+  from lab x join lab y on x.frame_id = y.frame_id and x.colour < y.colour group by 1
+)
+select frame_id, round(-sum(share * log2(share)), 4) as diversity, round(coalesce(any_value(distance), 0.0), 4) as distance
+from lab left join pairs using (frame_id) group by 1
+"""
+
+
+@query("c18_palette_stats", sql(f"{PALETTE.strip()}, {LAB.replace('from pixels)', 'from palette)')}, {STATS.strip()}", "pixels"))
 def c18(s, d):
     return rounded(M.palette_stats(M.palette(px(s, d), K), K), *K, n=4)
 

@@ -248,3 +248,25 @@ def test_change_windows_stay_between_hard_cuts_in_length(spark):
     got = {r.i: r.score for r in O.change_score(df, "v", "i", "cut").collect()}
     assert got[0] == got[6] == got[11] == 0 and got[7] == pytest.approx(0) and got[5] == pytest.approx(0)
     assert {r.i: r.score for r in O.change_score(df.withColumn("cut", F.lit(False)), "v", "i", "cut").collect()}[6] == pytest.approx(1)
+
+
+def test_near_colours_of_a_palette_are_merged_into_the_larger(spark):
+    from tessera.operators import measure
+
+    spots = [((0.50, 0.50, 0.50), 40), ((0.52, 0.52, 0.52), 30), ((0.9, 0.1, 0.1), 8), ((0.1, 0.2, 0.1), 22)]
+    rows = [(1, *rgb) for rgb, n in spots for _ in range(n)] + [(2, 0.0, 0.0, 0.0)] * 3
+    got = {}
+    for r in measure.palette(spark.createDataFrame(rows, "k int, r double, g double, b double"), ["k"]).collect():
+        got[r.k, r.colour] = (round(r.r, 3), round(r.share, 3), round(r.saturation, 3), r.role)
+    # the grid parts .50 from .52 at level 3 of 6 or not; either way they are one colour in the end
+    assert {k: v[1:] for k, v in got.items()} == {(1, 1): (0.7, 0.0, "dominant"), (1, 2): (0.22, 0.5, "secondary"), (1, 3): (0.08, 0.889, "accent"), (2, 1): (1.0, 0.0, "dominant")}
+
+
+def test_a_colour_goes_to_the_first_near_one_that_stays(spark):
+    from tessera.operators import measure
+
+    # a chain: the second is near the first, the third only near the second, which is gone
+    spots = [((0.10, 0.0, 0.0), 50), ((0.15, 0.0, 0.0), 30), ((0.20, 0.0, 0.0), 20)]
+    rows = [(1, *rgb) for rgb, n in spots for _ in range(n)]
+    got = [(round(r.r, 2), round(r.share, 2)) for r in measure.palette(spark.createDataFrame(rows, "k int, r double, g double, b double"), ["k"], levels=100).orderBy("colour").collect()]
+    assert got == [(0.1, 0.8), (0.2, 0.2)]
