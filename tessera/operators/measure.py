@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpoints
+from .shared import staged
 
 #: sRGB to XYZ (D65), the white point, and the weights of luminance.
 TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
@@ -244,24 +244,24 @@ def palette(df: DataFrame, keys: list[str], k: int = 6, levels: int = 6, rounds:
     and end, group by group, when no centre moves. Then, from the largest on, a colour nearer than ``near`` to one that
     stays gives its share to the first of these. A centre is a row, so a round is one scan with partial sums, and only
     groups that still move take part; centres are written each round."""
-    checkpoints(df.sparkSession)
     cell = lambda c: F.least(F.lit(levels - 1), F.floor(F.col(c) * levels))
     seeds = df.groupBy(*keys, ((cell("r") * levels + cell("g")) * levels + cell("b")).alias("cell")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
     ranked = seeds.withColumn("colour", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "cell"))).where(F.col("colour") <= k)
-    centres = ranked.select(*keys, "colour", *"rgb", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("done")).checkpoint()
-    away = lambda x, y: sum(((x[c] - y[c]) ** 2 for c in "gb"), (x["r"] - y["r"]) ** 2)
+    centres = staged(ranked.select(*keys, "colour", *"rgb", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("done")))
+    away = lambda x, y: sum(((x[c] - y[c]) * (x[c] - y[c]) for c in "gb"), (x["r"] - y["r"]) * (x["r"] - y["r"]))
     own = {c: F.col(c) for c in "rgb"}
     for _ in range(rounds):
         open_ = centres.where("not done")
         if not open_.take(1):
             break
         lists = open_.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("colour", *"rgb"))).alias("cs"))
-        nearest = F.array_min(F.transform("cs", lambda c: F.struct(F.round(away(own, c), 12).alias("d"), c["colour"].alias("colour"))))
+        at = [F.get("cs", F.lit(i)) for i in range(k)]
+        nearest = F.least(*[F.when(c.isNotNull(), F.struct(F.floor(away(own, c) * 1e12 + 0.5).alias("d"), c["colour"].alias("colour"))) for c in at]) if k > 1 else at[0]
         means = df.join(lists, keys).withColumn("colour", nearest["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("m"), *[F.avg(c).alias(f"{c}1") for c in "rgb"])
         moved = open_.join(means, [*keys, "colour"], "left").select(*keys, "colour", *[F.coalesce(f"{c}1", c).alias(c) for c in "rgb"], *[F.col(c).alias(f"{c}0") for c in "rgb"], F.coalesce("m", F.lit(0)).alias("n"))
         still = [F.abs(F.col(c) - F.col(f"{c}0")) <= 1e-4 + 1e-5 * F.abs(f"{c}0") for c in "rgb"]
         done = F.bool_and(still[0] & still[1] & still[2]).over(Window.partitionBy(*keys))
-        centres = moved.select(*keys, "colour", *"rgb", "n", done.alias("done")).unionByName(centres.where("done")).checkpoint()
+        centres = staged(moved.select(*keys, "colour", *"rgb", "n", done.alias("done")).unionByName(centres.where("done")))
 
     item = F.struct((-F.col("n")).alias("m"), "colour", *"rgb", "n")
     found = centres.where("n > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("found"))

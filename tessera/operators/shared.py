@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,10 @@ def checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(spark))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: worked out once, and a lost executor costs what it was doing."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -112,13 +112,13 @@ def c14(s, d):
 
 def lloyd(rounds: int) -> str:
     """The rounds one after another; a frame whose centres hold still drops out."""
-    away = "(p.r - c.r) ** 2 + (p.g - c.g) ** 2 + (p.b - c.b) ** 2"
+    away = " + ".join(f"(p.{c} - c.{c}) * (p.{c} - c.{c})" for c in "rgb")
     still = " and ".join(f"abs({c} - {c}0) <= 1e-4 + 1e-5 * abs({c}0)" for c in "rgb")
     return ",".join(
         f"""
 a{t} as materialized (
   select frame_id, colour, count(*) as m, avg(r) as r, avg(g) as g, avg(b) as b from (
-    select p.frame_id, p.r, p.g, p.b, list_min(list_transform(cs, lambda c: {{'d': round({away}, 12), 'colour': c.colour}})).colour as colour
+    select p.frame_id, p.r, p.g, p.b, list_min(list_transform(cs, lambda c: {{'d': floor(({away}) * 1e12 + 0.5), 'colour': c.colour}})).colour as colour
     from pixels p join (select frame_id, list({{'colour': colour, 'r': r, 'g': g, 'b': b}}) as cs from c{t} where not done group by 1) using (frame_id)
   ) group by 1, 2
 ),
@@ -145,9 +145,9 @@ c0 as materialized (
 found as (select frame_id, list([{{'colour': colour, 'r': r, 'g': g, 'b': b, 'n': n}}] order by n desc, colour) as found from c12 where n > 0 group by 1),
 merged as (
   select frame_id, unnest(list_reduce(found, lambda kept, x:
-    case when len(list_filter(kept, lambda y: (y.r - x[1].r) ** 2 + (y.g - x[1].g) ** 2 + (y.b - x[1].b) ** 2 < 0.06 * 0.06)) = 0 then list_append(kept, x[1])
+    case when len(list_filter(kept, lambda y: (y.r - x[1].r) * (y.r - x[1].r) + (y.g - x[1].g) * (y.g - x[1].g) + (y.b - x[1].b) * (y.b - x[1].b) < 0.06 * 0.06)) = 0 then list_append(kept, x[1])
          else list_transform(kept, lambda y: {{'colour': y.colour, 'r': y.r, 'g': y.g, 'b': y.b,
-                'n': y.n + case when y.colour = list_filter(kept, lambda z: (z.r - x[1].r) ** 2 + (z.g - x[1].g) ** 2 + (z.b - x[1].b) ** 2 < 0.06 * 0.06)[1].colour then x[1].n else 0 end}}) end)) as c
+                'n': y.n + case when y.colour = list_filter(kept, lambda z: (z.r - x[1].r) * (z.r - x[1].r) + (z.g - x[1].g) * (z.g - x[1].g) + (z.b - x[1].b) * (z.b - x[1].b) < 0.06 * 0.06)[1].colour then x[1].n else 0 end}}) end)) as c
   from found
 ),
 shares as (
@@ -163,9 +163,9 @@ palette as (
 """
 
 
-@query("c17_palette", sql(f"{PALETTE.strip()} select frame_id, colour, round(r, 4) as r, round(g, 4) as g, round(b, 4) as b, round(share, 4) as share, round(saturation, 4) as saturation, role from palette", "pixels"))
+@query("c17_palette", sql(f"{PALETTE.strip()} select frame_id, colour, round(r, 9) as r, round(g, 9) as g, round(b, 9) as b, round(share, 9) as share, round(saturation, 9) as saturation, role from palette", "pixels"))
 def c17(s, d):
-    return rounded(M.palette(px(s, d), K), *K, n=4)
+    return rounded(M.palette(px(s, d), K), *K)
 
 
 @query("c19_grid_regions", sql(f"with c as (select frame_id, floor(x * 4 / 8.0) * 4 + floor(y * 4 / 16.0) as cell, avg({Y}) as m from pixels group by all) select frame_id, count(*) as cells, round(1 / (1 + stddev_pop(m)), 9) as uniformity from c group by 1", "pixels"))
@@ -237,14 +237,14 @@ pairs as (
   select x.frame_id, avg(sqrt((x.lab_l - y.lab_l) ** 2 + (x.lab_a - y.lab_a) ** 2 + (x.lab_b - y.lab_b) ** 2)) as distance
   from lab x join lab y on x.frame_id = y.frame_id and x.colour < y.colour group by 1
 )
-select frame_id, round(-sum(share * log2(share)), 4) as diversity, round(coalesce(any_value(distance), 0.0), 4) as distance
+select frame_id, round(-sum(share * log2(share)), 9) as diversity, round(coalesce(any_value(distance), 0.0), 9) as distance
 from lab left join pairs using (frame_id) group by 1
 """
 
 
 @query("c18_palette_stats", sql(f"{PALETTE.strip()}, {LAB.replace('from pixels)', 'from palette)')}, {STATS.strip()}", "pixels"))
 def c18(s, d):
-    return rounded(M.palette_stats(M.palette(px(s, d), K), K), *K, n=4)
+    return rounded(M.palette_stats(M.palette(px(s, d), K), K), *K)
 
 
 GP = "g as (select l_orderkey as k, unnest(['q', 'd', 'z']) as param, unnest([l_quantity, l_discount, l_tax]) as cur from lineitem), lim(param, lo, hi) as (values ('q', 5.0, 40.0), ('d', 0.02, 0.08), ('m', 0.0, 1.0))"

@@ -270,3 +270,19 @@ def test_a_colour_goes_to_the_first_near_one_that_stays(spark):
     rows = [(1, *rgb) for rgb, n in spots for _ in range(n)]
     got = [(round(r.r, 2), round(r.share, 2)) for r in measure.palette(spark.createDataFrame(rows, "k int, r double, g double, b double"), ["k"], levels=100).orderBy("colour").collect()]
     assert got == [(0.1, 0.8), (0.2, 0.2)]
+
+
+def test_novelty_looks_into_few_cells_of_a_long_video(spark):
+    rng = np.random.default_rng(8)
+    scenes = rng.standard_normal((40, 16))
+    v = scenes[np.arange(4000) // 100] + 0.15 * rng.standard_normal((4000, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(1, i // 50, i, x.tolist()) for i, x in enumerate(v)], "video int, shot int, frame_index int, embedding array<double>")
+    picks = df.where("frame_index % 5 = 0 and frame_index < 3600")
+    first, others = P.novelty_looks(df, picks, "video", "shot")
+    pairs = first.unionByName(others).agg(F.sum("n")).first()[0]
+    assert pairs < 4000 * 720 / 5
+    best = (v @ v[[i for i in range(3600) if i % 5 == 0]].T).max(axis=1)
+    novelty = np.clip(1 - best.reshape(80, 50).min(axis=1), 0, 1)
+    r = P.novelty_missed(df, picks, "video", "shot").collect()[0]
+    assert (r.shots, r.n_missed) == (80, (novelty > 0.15).sum()) and r.max_novelty == pytest.approx(novelty.max()) and r.mean_novelty == pytest.approx(novelty.mean())
