@@ -109,11 +109,25 @@ def other_share(edges: DataFrame) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("relations"), F.avg((F.col("canonical") == "OTHER").cast("double")).alias("other_share"))
 
 
-def shared_neighbours(edges: DataFrame, who: Column | None = None) -> DataFrame:
-    """(a, b, n): pairs of sources with a common target, a <> b; ``who`` limits a."""
+#: Sources of a target from which it is heavy: they are dealt into blocks of about so many. Heavy targets that are broadcast.
+BLOCK, HEAVY = 10_000, 1_000_000
+
+
+def meetings(edges: DataFrame, who: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b) for each common target of two sources. The sources of a heavy target are dealt into blocks, each with its own
+    join key, and those that are asked for go to every block: so no task has a target whole."""
     e = edges.select("src", "dst").distinct()
-    a = e.where(who) if who is not None else e
-    return a.withColumnRenamed("src", "a").join(e.withColumnRenamed("src", "b"), "dst").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    heavy = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    n = heavy.count()
+    marked = e.join(F.broadcast(heavy) if n <= HEAVY else heavy, "dst", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if n else e.withColumn("blocks", F.lit(1))
+    a = (marked.where(who) if who is not None else marked).select(F.col("src").alias("a"), "dst", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = marked.select(F.col("src").alias("b"), "dst", F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int").alias("block"))
+    return a.join(b, ["dst", "block"]).where("a <> b").select("a", "b")
+
+
+def shared_neighbours(edges: DataFrame, who: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b, n): pairs of sources with common targets and how many they have, a <> b; ``who`` limits a."""
+    return meetings(edges, who, block).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def chain(edges: DataFrame, start: DataFrame, hops: int = 10) -> DataFrame:

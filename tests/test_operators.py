@@ -286,3 +286,33 @@ def test_novelty_looks_into_few_cells_of_a_long_video(spark):
     novelty = np.clip(1 - best.reshape(80, 50).min(axis=1), 0, 1)
     r = P.novelty_missed(df, picks, "video", "shot").collect()[0]
     assert (r.shots, r.n_missed) == (80, (novelty > 0.15).sum()) and r.max_novelty == pytest.approx(novelty.max()) and r.mean_novelty == pytest.approx(novelty.mean())
+
+
+def test_a_hub_is_dealt_over_the_tasks(spark):
+    from collections import Counter
+    from itertools import permutations
+
+    from tessera.operators import graphs
+
+    rng = np.random.default_rng(2)
+    rows = [(i, -1) for i in range(3000)] + [(int(rng.integers(3000)), int(rng.integers(2000))) for _ in range(6000)]
+    edges = spark.createDataFrame(rows + rows[:50], "src int, dst int")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(before, ("400", "false", "-1")):
+            spark.conf.set(c, v)
+        met = graphs.meetings(edges, F.col("src") % 100 == 0, 30)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        per = [r[1] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert "SortMergeJoin" in plan and "block" in plan and max(per) <= 0.05 * sum(per)
+    of = {}
+    for s, d in set(rows):
+        of.setdefault(d, []).append(s)
+    want = Counter((a, b) for x in of.values() for a in x if a % 100 == 0 for b in x if a != b)
+    got = {(r.a, r.b): r.n for r in graphs.shared_neighbours(edges, F.col("src") % 100 == 0, 30).collect()}
+    assert got == want
+    small = spark.createDataFrame([(1, 5), (2, 5), (2, 6), (3, 6), (1, 6)], "src int, dst int")
+    assert {tuple(r) for r in graphs.shared_neighbours(small).collect()} == {(a, b, 2 if {a, b} == {1, 2} else 1) for a, b in permutations((1, 2, 3), 2)}
