@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_dir, staged
 from ..sources import tables as S
+from ..sources import timelines as TL
+from .observed import ISL, spans
 from .registry import query
 from .views import sql, view
 
@@ -66,6 +71,61 @@ def s8(s, d):
     return view(s, d, "segments").select("video_id", "seg", S.timecode(F.col("start_s")).alias("clock"))
 
 
+def timeline(s, d):
+    """Spans of observations as events of twenty videos; no share lies between two numbers of four digits."""
+    key, at = F.col("key"), lambda c: F.floor(F.col(c) % 86400 * 25).cast("int")
+    return spans(s, d, 21600.0).select(
+        F.concat(F.lit("v"), key % 20).alias("video"), F.concat(F.lit("actor "), key).alias("actor"), F.col("label").alias("emotion"), F.col("start_s").alias("start"), F.col("end_s").alias("end"),
+        (F.col("confidence") * 0.7310585786).alias("confidence"), key.cast("int").alias("actor_id"), F.array((key % 7).cast("int"), F.lit(3), F.col("n").cast("int")).alias("track_ids"),
+        at("start_s").alias("start_frame"), at("end_s").alias("end_frame"), F.col("n").cast("int").alias("samples"), (F.col("confidence") * 0.4142135623).alias("similarity"),
+    )
+
+
+TIMELINE = f"""
+with {ISL.format(gap='21600')},
+ev as (
+  select 'v' || key % 20 as video, 'actor ' || key as actor, label as emotion, round(start_s, 3) as start, round(end_s, 3) as "end", round(greatest(0, end_s - start_s), 3) as duration,
+         round(confidence * 0.7310585786, 4) as confidence, key::int as actor_id, list_sort(list_distinct([(key % 7)::int, 3, n::int])) as track_ids,
+         floor(start_s % 86400 * 25)::int as start_frame, floor(end_s % 86400 * 25)::int as end_frame, n::int as samples, round(confidence * 0.4142135623, 4) as similarity
+  from spans
+)
+"""
+BARE = "null::int as actor_id, null::varchar as track_ids, null::int as start_frame, null::int as end_frame, null::int as samples, null::double as similarity"
+FULL = "actor_id, array_to_string(track_ids, '|') as track_ids, start_frame, end_frame, samples, similarity"
+
+
+@query("s7_timeline_sink", sql(TIMELINE.strip() + " " + " union all ".join(f"select '{k}' as form, video, actor, emotion, start, \"end\", confidence, {f} from ev" for k, f in (("csv lean", BARE), ("csv verbose", FULL), ("json lean", BARE), ("json verbose", FULL))), "observations"))
+def s7(s, d):
+    """All four forms, written to a new shared folder, as they read back."""
+    folder, ev, out = f"{shared_dir(s).rstrip('/')}/timeline-{uuid.uuid4().hex}", staged(timeline(s, d)), None
+    extra = ("actor_id", "track_ids", "start_frame", "end_frame", "samples", "similarity")
+    for kind in ("csv", "json"):
+        for form in ("lean", "verbose"):
+            path, full = f"{folder}/{kind}-{form}", form == "verbose"
+            TL.write_timeline(ev, path, kind, full)
+            back = TL.read_timeline_rows(s, path, full) if kind == "csv" else TL.read_timeline(s, path)
+            types = {"track_ids": "string", "similarity": "double"}
+            more = [(F.array_join(F.transform("track_ids", lambda t: t.cast("string")), "|").alias(c) if c == "track_ids" else F.col(c)) if full else F.lit(None).cast(types.get(c, "int")).alias(c) for c in extra]
+            rows = back.select(F.lit(f"{kind} {form}").alias("form"), "video", "actor", "emotion", "start", "end", "confidence", *more)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("s9_timeline_source", sql(TIMELINE.strip() + """, videos as (select video, round(max("end") - min(start), 3) as video_duration from ev group by 1)
+select video, video_duration, 25.0::double as fps, actor, emotion, start, "end", confidence, case when odd then actor_id else -1 end as actor_id,
+       case when odd then array_to_string(track_ids, '|') else '' end as track_ids, case when odd then start_frame else -1 end as start_frame,
+       case when odd then end_frame else -1 end as end_frame, case when odd then samples else 0 end as samples, case when odd then similarity else 0.0 end as similarity
+from (select *, actor_id % 2 = 1 as odd from ev) join videos using (video)""", "observations"))
+def s9(s, d):
+    """Documents of even videos in the lean form, of odd ones in the verbose, through the one reader."""
+    folder, ev = f"{shared_dir(s).rstrip('/')}/timeline-{uuid.uuid4().hex}", staged(timeline(s, d))
+    videos = ev.groupBy("video").agg(F.round(F.max("end") - F.min("start"), 3).alias("video_duration")).withColumn("fps", F.lit(25.0))
+    for odd in (0, 1):
+        TL.write_timeline(ev.where(F.col("actor_id") % 2 == odd), f"{folder}/{odd}", "json", bool(odd), videos)
+    back = TL.read_timeline(s, f"{folder}/*")
+    return back.withColumn("track_ids", F.array_join(F.transform("track_ids", lambda t: t.cast("string")), "|"))
+
+
 @query("s10_table_counts", "select c_custkey as k, count(distinct o_orderkey) as orders, count(l_orderkey) as lines from customer join orders on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by 1")
 def s10(s, d):
     o = view(s, d, "orders").withColumn("k", F.col("o_custkey"))

@@ -1,4 +1,4 @@
-"""Reading and shaping of tables, manifests, nested model output and timelines; writing of chunks and timelines."""
+"""Reading and shaping of tables, manifests and nested model output; writing of chunks."""
 
 from __future__ import annotations
 
@@ -70,23 +70,6 @@ def write_chunk_jsonl(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def timeline_rows(events: DataFrame, verbose: bool = False) -> DataFrame:
-    """Events (key, label, start_s, end_s, confidence, n) as lean or verbose text rows."""
-    lean = events.select("key", "label", F.round("start_s", 2).alias("start_s"), F.round("end_s", 2).alias("end_s"), timecode(F.pmod(F.col("start_s"), F.lit(86400.0))).alias("clock"))
-    return lean if not verbose else events.select("key", "label", "start_s", "end_s", F.round("confidence", 3).alias("confidence"), "n")
-
-
-def write_timeline(events: DataFrame, path: str, kind: str = "csv", verbose: bool = False) -> None:
-    out = timeline_rows(events, verbose)
-    out.write.mode("overwrite").csv(path, header=True) if kind == "csv" else out.write.mode("overwrite").json(path)
-
-
-def read_timeline(spark: SparkSession, path: str) -> DataFrame:
-    """Events of either JSON form: (key, label, start_s, end_s)."""
-    raw = spark.read.schema("key bigint, label string, emotion string, start_s double, start double, end_s double, `end` double").json(path)
-    return raw.select("key", F.coalesce("label", "emotion").alias("label"), F.coalesce("start_s", "start").alias("start_s"), F.coalesce("end_s", "end").alias("end_s"))
-
-
 def table_counts(tables: dict[str, DataFrame], key: str) -> DataFrame:
     """(key, one column of counts for each table), from one union of grouped counts."""
     out = None

@@ -108,12 +108,6 @@ def test_upsert_twice_is_upsert_once(spark):
     assert rows(M.upsert(once, new, ["k"], coalesce=("x",)).toPandas()) == rows(once.toPandas())
 
 
-def test_timeline_goes_out_and_comes_back(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a", 0.5, 2.25, 0.5, 3)], "key bigint, label string, start_s double, end_s double, confidence double, n int")
-    T.write_timeline(df, str(tmp_path / "t"), "json")
-    assert listed(T.read_timeline(spark, str(tmp_path / "t")), "key", "label", "start_s", "end_s") == [(1, "a", 0.5, 2.25)]
-
-
 @pytest.mark.parametrize("mode", ["majority", "ema", "hybrid"])
 def test_unsure_rows_do_not_switch_a_label(spark, mode):
     df = spark.createDataFrame([(1, i, "a", 0.9) for i in range(3)] + [(1, i, "b", 0.01) for i in range(3, 9)] + [(2, 0, "b", 0.1), (2, 1, "a", 0.1)], "k int, i int, label string, confidence double")
