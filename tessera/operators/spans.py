@@ -199,20 +199,27 @@ def spans(df: DataFrame, key: str, order: str, label: str, confidence: str, gap:
 
 
 def merge_spans(rows: DataFrame, key: str, gap: float = 0.6, least: float = 0.3) -> DataFrame:
-    """Spans of one label at most ``gap`` apart become one (means weighted by n); a span shorter than ``least`` goes into the
-    one before; without one before, a short span of one observation is dropped. A group is one key's spans."""
+    """Spans of one label at most ``gap`` apart become one: means of confidence, and of ``similarity`` if there, weighted by n,
+    the last ``end_frame`` and the union of ``tracks``, in order, if there. A span shorter than ``least`` goes into the one
+    before, which gets its end only; without one before, a short span of one observation is dropped. A group is one key's
+    spans."""
+    means = [c for c in ("confidence", "similarity") if c in rows.columns]
+    ends = [c for c in ("end_s", "end_frame") if c in rows.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        rows = pdf.sort_values(["start_s", "end_s"]).to_dict("records")
-        for r in rows:
+        for r in pdf.sort_values(["start_s", "end_s"]).to_dict("records"):
             last = out[-1] if out else None
-            if last and last["label"] == r["label"] and r["start_s"] - last["end_s"] <= gap:
+            short = r["end_s"] - r["start_s"] < least
+            near = last and last["label"] == r["label"] and r["start_s"] - last["end_s"] <= gap
+            if last and (near or short):
+                last |= {c: max(last[c], r[c]) for c in ends}
+            if near:
                 n = last["n"] + r["n"]
-                last |= {"confidence": (last["confidence"] * last["n"] + r["confidence"] * r["n"]) / n, "n": n, "end_s": max(last["end_s"], r["end_s"])}
-            elif r["end_s"] - r["start_s"] < least and last:
-                last["end_s"] = max(last["end_s"], r["end_s"])
-            elif last or r["end_s"] - r["start_s"] >= least or r["n"] > 1:
+                last |= {c: (last[c] * last["n"] + r[c] * r["n"]) / max(1, n) for c in means} | {"n": n}
+                if "tracks" in r:
+                    last["tracks"] = sorted({*last["tracks"], *r["tracks"]})
+            elif (last and not short) or (not last and (not short or r["n"] > 1)):
                 out.append(dict(r))
         return pd.DataFrame(out, columns=pdf.columns)
 

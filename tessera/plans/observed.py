@@ -178,18 +178,21 @@ def o12(s, d):
 #: Spans in order; ``no`` counts those that came out so far, of which the last one may still grow.
 MERGED = f"""
 with recursive {ISL.format(gap='21600')},
-q as (select *, row_number() over (partition by key order by start_s, end_s) as i from spans),
+q as (select *, confidence * 0.5 as similarity, [key % 7, n] as tracks, row_number() over (partition by key order by start_s, end_s) as i from spans),
 m as (
-  select key, 0::bigint as i, 0::bigint as no, null::varchar as label, null::double as start_s, null::double as end_s, 0::bigint as n, 0::double as confidence
+  select key, 0::bigint as i, 0::bigint as no, null::varchar as label, null::double as start_s, null::double as end_s, 0::bigint as n, 0::double as confidence,
+         0::double as similarity, []::bigint[] as tracks
   from (select distinct key from spans)
   union all
   select key, i, no + (act = 'new')::bigint,
          case when act = 'new' then l2 else label end, case when act = 'new' then s2 else start_s end,
          case when act = 'new' then e2 when act = 'drop' then end_s else greatest(end_s, e2) end,
          case act when 'new' then n2 when 'join' then n + n2 else n end,
-         case act when 'new' then c2 when 'join' then (confidence * n + c2 * n2) / (n + n2) else confidence end
+         case act when 'new' then c2 when 'join' then (confidence * n + c2 * n2) / (n + n2) else confidence end,
+         case act when 'new' then m2 when 'join' then (similarity * n + m2 * n2) / (n + n2) else similarity end,
+         case act when 'new' then t2 when 'join' then list_sort(list_distinct(list_concat(tracks, t2))) else tracks end
   from (
-    select m.key, q.i, m.no, m.label, m.start_s, m.end_s, m.n, m.confidence, q.label as l2, q.start_s as s2, q.end_s as e2, q.n as n2, q.confidence as c2,
+    select m.key, q.i, m.no, m.label, m.start_s, m.end_s, m.n, m.confidence, m.similarity, m.tracks, q.similarity as m2, list_sort(list_distinct(q.tracks)) as t2, q.label as l2, q.start_s as s2, q.end_s as e2, q.n as n2, q.confidence as c2,
            case when m.no > 0 and m.label = q.label and q.start_s - m.end_s <= 3600 then 'join'
                 when m.no > 0 and q.end_s - q.start_s < 1800 then 'absorb'
                 when m.no > 0 or q.end_s - q.start_s >= 1800 or q.n > 1 then 'new' else 'drop' end as act
@@ -197,13 +200,15 @@ m as (
   )
 ),
 last_of as (select *, row_number() over (partition by key, no order by i desc) as rn from m where no > 0)
-select key, label, start_s, end_s, n, round(confidence, 6) as confidence from last_of where rn = 1
+select key, label, start_s, end_s, n, round(confidence, 6) as confidence, round(similarity, 6) as similarity, array_to_string(tracks, '|') as tracks from last_of where rn = 1
 """
 
 
 @query("o13_merge_spans", sql(MERGED.strip(), "observations"))
 def o13(s, d):
-    return S.merge_spans(spans(s, d, 21600.0), "key", 3600.0, 1800.0).withColumn("confidence", F.round("confidence", 6))
+    rows = spans(s, d, 21600.0).withColumn("similarity", F.col("confidence") * 0.5).withColumn("tracks", F.array_sort(F.array_distinct(F.array(F.col("key") % 7, F.col("n")))))
+    out = S.merge_spans(rows, "key", 3600.0, 1800.0).withColumn("tracks", F.array_join(F.transform("tracks", lambda t: t.cast("string")), "|"))
+    return out.withColumn("confidence", F.round("confidence", 6)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("o14_entity_summary", sql(f"with {ISL.format(gap='21600')} select key, min(start_s) as first_seen, max(end_s) as last_seen, round(sum(end_s - start_s), 3) as total_s, count(*) as spans, sum(change)::bigint as changes from (select *, coalesce((lag(label) over (partition by key order by start_s, end_s) <> label)::int, 0) as change from spans) group by key", "observations"))

@@ -310,3 +310,10 @@ def test_a_hub_is_dealt_over_the_tasks(spark):
     assert got == want
     small = spark.createDataFrame([(1, 5), (2, 5), (2, 6), (3, 6), (1, 6)], "src int, dst int")
     assert {tuple(r) for r in graphs.shared_neighbours(small).collect()} == {(a, b, 2 if {a, b} == {1, 2} else 1) for a, b in permutations((1, 2, 3), 2)}
+
+
+def test_merged_spans_have_the_tracks_and_similarity_of_all(spark):
+    schema = "k int, label string, start_s double, end_s double, n int, confidence double, similarity double, end_frame int, tracks array<int>"
+    rows = [(1, "a", 0.0, 2.0, 1, 0.4, 0.2, 50, [3, 9]), (1, "a", 2.5, 4.0, 3, 0.8, 0.6, 100, [1, 3]), (1, "b", 4.0, 4.2, 5, 0.9, 0.9, 105, [7]), (1, "c", 5.0, 8.0, 2, 0.5, 0.5, 200, [2])]
+    got = [(r.label, r.end_s, r.n, round(r.confidence, 9), round(r.similarity, 9), r.end_frame, list(r.tracks)) for r in S.merge_spans(spark.createDataFrame(rows, schema), "k").orderBy("start_s").collect()]
+    assert got == [("a", 4.2, 4, 0.7, 0.5, 105, [1, 3, 9]), ("c", 8.0, 2, 0.5, 0.5, 200, [2])]
