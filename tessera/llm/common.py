@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,11 @@ def ascii_lower(text: Column) -> Column:
 def small_or_shuffled(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` marked for broadcast when its counted ``rows`` are within ``limit``; unmarked beyond, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def give_back() -> None:
+    """In a task: what earlier tasks of this worker have freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -14,7 +14,7 @@ makes decoding lossless for any text.
 Nulls and edges: a null text gives null ids and null back; an empty text gives no pieces; a null key counts as the text
 'null'; rows equal in key and text get the same segmentation. A lone surrogate can't be in a Spark string. A very long
 text is encoded whole: blocks of chunks of some CHARS characters are drawn one after another, so that lattices take some
-90 MB whatever the text, which itself takes some eight times its bytes; of a chunk of more than LONGEST characters (text
+45 MB whatever the text, which itself takes some eight times its bytes; of a chunk of more than LONGEST characters (text
 without spaces) only the sums at each block's start are kept, and the others worked out again on the way back. Other columns are kept by ``encode`` and ``decode``; a column that has the name
 of the result is replaced. An empty table gives an empty table.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
 from .hashing import BASE, U, batches, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,7 +39,7 @@ SPACE = "▁"
 #: Chunks of more characters than this go place by place, in blocks of so many places; the lattice is the same.
 LONGEST, PLACES = 512, 1 << 14
 #: Characters of chunks that are drawn together; pieces that are decoded together.
-CHARS, TOGETHER = 1 << 19, 1 << 18
+CHARS, TOGETHER = 1 << 18, 1 << 18
 #: The last character before a run of spaces, at whose start a text can be cut.
 CUT = re.compile("[^ ] ")
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -376,6 +377,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", out: str =
     i_text = kept.index(text)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         lattice = _lattice(sent.value, sharpness)
         for part in parts:
             for at in batches(part.column(i_text), 1 << 20, lambda t: len(t.as_py() or "")):
