@@ -187,12 +187,26 @@ def v24(s, d):
     return P.diversity_tree(key_shots(s, d), "video_id").withColumn("diversity", F.round("diversity", 6))
 
 
-@query("v25_prune_chunks")
+PRUNED = TREE[: TREE.index(", r0 as")] + """,
+r as (select video_id, node as shot_index, node // 5 as chunk, e from l0),
+t as (select video_id, chunk, pos, sum(x) as s from (select video_id, chunk, unnest(e) as x, generate_subscripts(e, 1) as pos from r) group by all),
+total as (select video_id, chunk, list(s order by pos) as t, sum(s * s) as q from t group by 1, 2),
+own as (select video_id, chunk, count(*) as n, sum(list_dot_product(e, e)) as own from r group by 1, 2),
+ranked as (
+  select video_id, shot_index, n, case when n > 1 then 1 - (q - own) / (n * (n - 1)) else 0.0 end as spread,
+         row_number() over (partition by video_id, chunk order by round(case when n > 1 then (list_dot_product(e, t) - list_dot_product(e, e)) / (n - 1) else 0.0 end, 9) desc, shot_index) as rank
+  from r join total using (video_id, chunk) join own using (video_id, chunk)
+),
+pruned as (select video_id, shot_index from ranked where n < 2 or spread > 0.6 or rank = 1)
+"""
+
+
+@query("v25_prune_chunks", sql(f"{PRUNED.strip()} select * from pruned", "frames"))
 def v25(s, d):
     return P.prune_chunks(key_shots(s, d), "video_id", 0.6)
 
 
-@query("v26_compression_stats")
+@query("v26_compression_stats", sql(f"{PRUNED.strip()} select video_id, before, after, round(before / after, 6) as ratio from (select video_id, count(*) as before from l0 group by 1) join (select video_id, count(*) as after from pruned group by 1) using (video_id)", "frames"))
 def v26(s, d):
     before, after = key_shots(s, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("before")), P.prune_chunks(key_shots(s, d), "video_id", 0.6).groupBy("video_id").agg(F.count(F.lit(1)).alias("after"))
     return before.join(after, "video_id").withColumn("ratio", F.round(F.col("before") / F.col("after"), 6))

@@ -317,3 +317,22 @@ def test_merged_spans_have_the_tracks_and_similarity_of_all(spark):
     rows = [(1, "a", 0.0, 2.0, 1, 0.4, 0.2, 50, [3, 9]), (1, "a", 2.5, 4.0, 3, 0.8, 0.6, 100, [1, 3]), (1, "b", 4.0, 4.2, 5, 0.9, 0.9, 105, [7]), (1, "c", 5.0, 8.0, 2, 0.5, 0.5, 200, [2])]
     got = [(r.label, r.end_s, r.n, round(r.confidence, 9), round(r.similarity, 9), r.end_frame, list(r.tracks)) for r in S.merge_spans(spark.createDataFrame(rows, schema), "k").orderBy("start_s").collect()]
     assert got == [("a", 4.2, 4, 0.7, 0.5, 105, [1, 3, 9]), ("c", 8.0, 2, 0.5, 0.5, 200, [2])]
+
+
+def test_leader_clusters_equal_a_loop_over_means(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((200, 7))
+    v[7] = 0
+    df = spark.createDataFrame([(i % 2, i, x.tolist()) for i, x in enumerate(v)], "k int, i int, embedding array<double>")
+    want = {}
+    for k in (0, 1):
+        sums = []
+        for i in range(k, 200, 2):
+            score = [float(m @ v[i] / (np.linalg.norm(m) * np.linalg.norm(v[i]) or 1.0)) for m in (s / n for s, n in sums)]
+            at = max(range(len(score)), key=lambda j: (score[j], -j), default=-1)
+            if at < 0 or score[at] < 0.6:
+                at = len(sums)
+                sums.append((np.zeros(7), 0))
+            sums[at] = sums[at][0] + v[i], sums[at][1] + 1
+            want[i] = at
+    assert {r.i: r.cluster for r in P.leader_cluster(df, ["k"], "i", 0.6).collect()} == want and len(set(want.values())) > 16
