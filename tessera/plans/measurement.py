@@ -65,7 +65,25 @@ def c5(s, d):
     return rounded(M.circular_mean(M.with_hsv(px(s, d)), K, "hue", F.col("sat")), *K)
 
 
-@query("c6_hue_peaks")
+def hue_hist(bins: int) -> str:
+    """hh (frame_id, bin, p): shares of equal bins of hue."""
+    return f"{HSV}, hn as (select frame_id, least({bins - 1}, floor(hue / 360.0 * {bins}))::int as bin, count(*) as n from hs where hue between 0 and 360 group by 1, 2), hh as (select frame_id, bin, n / sum(n) over (partition by frame_id) as p from hn)"
+
+
+PEAKS = f"""
+with {hue_hist(12)},
+filled as (select frame_id, bin, coalesce(p, 0.0) as p from (select distinct frame_id from hh) cross join (select unnest(range(12))::int as bin) left join hh using (frame_id, bin)),
+near as (
+  select f.frame_id, f.bin, f.p, b.p as before, a.p as after
+  from filled f join filled b on b.frame_id = f.frame_id and b.bin = (f.bin + 11) % 12 join filled a on a.frame_id = f.frame_id and a.bin = (f.bin + 1) % 12
+)
+select frame_id, bin, round(p, 9) as p, rank from (
+  select *, row_number() over (partition by frame_id order by p desc, bin) as rank from near where p >= before and p >= after and (p > before or p > after)
+) where rank <= 3
+"""
+
+
+@query("c6_hue_peaks", sql(PEAKS.strip(), "pixels"))
 def c6(s, d):
     return rounded(M.hue_peaks(M.hist(M.with_hsv(px(s, d)), K, "hue", 12, 0.0, 360.0), K, 12), *K)
 
@@ -277,7 +295,23 @@ def c41(s, d):
     return a.select(*K, M.caveats(a, [(F.col("r") > 0.51, "bright red"), (F.col("g") < 0.49, "little green")]).alias("notes"))
 
 
-@query("c16_harmony")
+HARMONY = f"""
+with {hue_hist(72)},
+hues(template, place, target, size, hue) as (values {", ".join(f"('{n}', {i}, {j}, {len(hues)}, {float(o)}::double)" for i, (n, hues) in enumerate(M.HARMONIES.items()) for j, o in enumerate(hues))}),
+top as (select frame_id, arg_max(bin, (p, -bin)) as top from hh group by 1),
+turned as (select frame_id, p, (bin - top + 72) % 72 as rel from hh join top using (frame_id)),
+apart as (select t.frame_id, t.rel, t.p, h.*, abs((t.rel * 5.0::double - hue + 900.0) % 360.0 - 180.0) as d from turned t cross join hues h),
+mass as (
+  select frame_id, template, place, size, sum(p * w) as mass
+  from (select frame_id, rel, template, place, size, any_value(p) as p, greatest(0.0, 1.0 - min(d) / 25.0) as w from apart group by 1, 2, 3, 4, 5) group by 1, 2, 3, 4
+),
+used as (select frame_id, template, count(*) as used from (select frame_id, template, target from apart where d <= 25.0 group by 1, 2, 3 having round(sum(p), 12) >= 0.05) group by 1, 2),
+fits as (select frame_id, template, place, round(mass * coalesce(used, 0) / size, 9) as fit from mass left join used using (frame_id, template))
+select frame_id, arg_max(template, (fit, -place)) as template, max(fit) as fit from fits group by 1
+"""
+
+
+@query("c16_harmony", sql(HARMONY.strip(), "pixels"))
 def c16(s, d):
     return M.harmony(M.hist(M.with_hsv(px(s, d)), K, "hue", 72, 0.0, 360.0), K)
 
