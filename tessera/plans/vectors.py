@@ -166,10 +166,29 @@ def v22(s, d):
     return P.select_roles(frames(s, d), K, "frame_index")
 
 
-@query("v23_select_extras")
+def spaced(rows: str, spacing: int, budget: int) -> str:
+    """Of each shot's rows by typicality, those at least ``spacing`` from all that were taken before, up to ``budget``."""
+    return f"""
+with recursive {TYPICAL}, {rows},
+ranked as (select video_id, shot_index, frame_index, row_number() over (partition by video_id, shot_index order by round(typicality, 9) desc, frame_index) as i from free),
+scan as (
+  select video_id, shot_index, 0::bigint as i, []::bigint[] as taken from (select distinct video_id, shot_index from ranked)
+  union all
+  select s.video_id, s.shot_index, r.i,
+         case when len(taken) < {budget} and len(list_filter(taken, lambda t: abs(t - r.frame_index) < {spacing})) = 0 then list_append(taken, r.frame_index) else taken end
+  from scan s join ranked r on r.video_id = s.video_id and r.shot_index = s.shot_index and r.i = s.i + 1
+)
+select video_id, shot_index, unnest(arg_max(taken, i)) as frame_index from scan group by 1, 2
+"""
+
+
+def typical(s, d):
+    return P.typicality(frames(s, d), K).withColumn("typicality", F.round("typicality", 9))
+
+
+@query("v23_select_extras", sql(spaced("free as (select * from typical)", 2, 3).strip(), "frames"))
 def v23(s, d):
-    rows = P.typicality(frames(s, d), K).withColumn("budget", F.lit(3))
-    return P.select_extras(rows, K, "frame_index", "typicality", "budget", 2)
+    return P.select_extras(typical(s, d).withColumn("budget", F.lit(3)), K, "frame_index", "typicality", "budget", 2)
 
 
 def key_shots(s, d):
@@ -298,9 +317,12 @@ def v34(s, d):
     return P.box_set_change(rows, "k", "i", least_delta=1).withColumn("iou", F.round("iou", 6))
 
 
-@query("v35_suppress_near")
+FREE = "free as (select * from typical t where not exists (select 1 from typical e where e.video_id = t.video_id and e.shot_index = t.shot_index and e.frame_index % 8 = 0 and abs(e.frame_index - t.frame_index) < 2))"
+
+
+@query("v35_suppress_near", sql(spaced(FREE, 2, 1 << 30).strip(), "frames"))
 def v35(s, d):
-    rows = P.typicality(frames(s, d), K)
+    rows = typical(s, d)
     return P.suppress_near(rows, rows.where("frame_index % 8 = 0"), K, "frame_index", "typicality", 2)
 
 
