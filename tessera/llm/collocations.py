@@ -38,7 +38,8 @@ from .common import drop_staged, staged
 from .hashing import U, mix, powers
 from .hat_trie import BITS, BURST, HatTrie
 
-#: Entries of a task's tries; bytes of a filter; bytes of text taken at once; distinct words that a task knows; languages.
+#: Entries of a task's tries; bytes of a filter; bytes of text taken at once; distinct words
+#: that a task knows when it takes up a language, or comes to know in one; languages.
 ROOM, FILTER, STEP, KNOWN, LANGS = 1_500_000, 64 << 20, 4 << 20, 1 << 20, 64
 #: Rows put out at once.
 ROWS = 1 << 17
@@ -104,7 +105,7 @@ def _parts(text: bytes, step: int) -> Iterator[list[bytes]]:
 class WordCount:
     """Single words of one language in a task: one container."""
 
-    order, full = 1, False
+    order, full, known = 1, False, 0
 
     def __init__(self, lang: str):
         self.lang, self.counts = lang, Counter()
@@ -149,6 +150,10 @@ class PhraseCount:
     def size(self) -> int:
         return self.trie.size
 
+    @property
+    def known(self) -> int:
+        return len(self.words)
+
     def read(self, text: bytes, step: int) -> Iterator[None]:
         """Count the phrases of ``text``; stops after each part, so that the caller can make room."""
         tail, held = np.zeros(0, np.int64), []
@@ -215,10 +220,10 @@ def _runs(order: int, words, parts, room: int, step: int, burst: int) -> Callabl
         for batch in batches:
             lang, text = batch.column(0), batch.column(1)
             for name in pc.unique(lang).to_pylist():
+                if sum(c.known for c in held.values()) > KNOWN or name not in held and len(held) >= LANGS:
+                    yield from spill(0)
+                    held.clear()
                 if name not in held:
-                    if len(held) >= LANGS:
-                        yield from spill(0)
-                        held.clear()
                     held[name] = WordCount(name) if order == 1 else PhraseCount(name, order, *filters, burst)
                 counter = held[name]
                 for _ in counter.read(GAP.join(text.filter(pc.equal(lang, name)).cast(pa.binary()).to_pylist()), step):

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations as C
@@ -88,6 +89,21 @@ def test_words_known_by_a_task_are_bounded(spark, monkeypatch, rows):
         assert got == Counter({k: a for k, a in want.items() if len(k[1]) == order and k[0] in ("en", "und") and "" not in k[1]})
 
 
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_many_languages_share_one_room(monkeypatch, order):
+    rng = random.Random(6)
+    rows = [(" ".join(rng.choices("abcdefgh", k=40)), f"l{rng.randrange(9)}") for _ in range(300)]
+    monkeypatch.setattr(C, "KNOWN", 12)
+    monkeypatch.setattr(C, "LANGS", 3)
+    monkeypatch.setattr(C.bloom, "found", lambda table, h: np.arange(len(h)))  # all pass
+    batches = [pa.RecordBatch.from_arrays([pa.array([g for _, g in part]), pa.array([t for t, _ in part])], ["lang", "text"]) for part in (rows[a : a + 50] for a in range(0, 300, 50))]
+    got = Counter()
+    for part in C._runs(order, None, None, 10**6, 100, 4)(iter(batches)):
+        for g, _, p, k in zip(*(x.to_pylist() for x in part.columns)):
+            got[g, tuple(p.split(" "))] += k
+    assert got == Counter({k: n for k, n in counted(rows)[0].items() if len(k[1]) == order})
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_trie_bursts_and_spills_sorted_subtrees(order):
     rng, want = np.random.default_rng(order), Counter()
