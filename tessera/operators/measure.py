@@ -233,10 +233,6 @@ def mood(df: DataFrame, keys: list[str], axes: list[str], profiles: dict[str, di
     return rows.select(*keys, F.col("s_m")[0]["n"].alias("mood"), F.col("s_m")[0]["c"].alias("closeness"), (F.col("s_m")[0]["c"] - F.col("s_m")[1]["c"]).alias("margin"))
 
 
-#: Weights of luminance.
-LUMA = {"r": 0.2126, "g": 0.7152, "b": 0.0722}
-
-
 def palette(df: DataFrame, keys: list[str], k: int = 6, levels: int = 6, rounds: int = 12, near: float = 0.06) -> DataFrame:
     """(keys, colour, r, g, b, share, saturation, role): the main colours of each group, numbered by share, then luminance.
 
@@ -273,7 +269,7 @@ def palette(df: DataFrame, keys: list[str], k: int = 6, levels: int = 6, rounds:
     rows = rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
     high = F.greatest(*"rgb")
     saturation = F.when(high < 1e-6, 0.0).otherwise((high - F.least(*"rgb")) / high)
-    luma = F.round(sum((F.col(c) * w for c, w in LUMA.items()), F.lit(0.0)), 9)
+    luma = F.round(luminance(), 9)
     role = F.when(F.col("share") >= 0.3, "dominant").when((F.col("saturation") >= 0.45) & (F.col("share") < 0.12), "accent").otherwise("secondary")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), luma, "colour"))
     return rows.withColumn("saturation", saturation).select(*keys, number.alias("colour"), *"rgb", "share", "saturation", role.alias("role"))
