@@ -2,8 +2,8 @@
 
 Phrases are counted order by order, single words first. For each order every task walks its texts once and counts into
 burst tries (hat_trie.py), one for each language: words get ids of the task's own, positions become phrases of ids, and
-containers count them. A task that holds ROOM entries spills its largest subtrees as sorted runs, (language, prefix,
-phrase, count) rows with words spelled out; what it holds at its end follows. Runs are shuffled by language and prefix,
+containers count them. A task that holds ROOM entries spills its largest subtrees as sorted runs, rows of language,
+phrase, count and prefix, with words spelled out; what it holds at its end follows. Runs are shuffled by language and prefix,
 the first two words, and summed there. So a frequent phrase leaves a task as one row, memory is bounded, and no
 dictionary of all words is needed anywhere.
 
@@ -50,7 +50,7 @@ GAP = b"\xff"
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = bytes.maketrans(ENDS + b"\t", GAP * len(ENDS) + b" ")
 UNKNOWN = "und"
-RUNS = "lang string, prefix string, phrase string, n bigint"
+RUNS = "lang string, phrase string, n bigint"
 P = U(0x9E3779B97F4A7C55)
 
 
@@ -126,13 +126,14 @@ class WordCount:
         for a in range(0, len(words), ROWS):
             some = words[a : a + ROWS]
             names = pa.array(some, pa.binary()).cast(pa.string())
-            yield _rows(self.lang, names, names, pa.array([self.counts[w] for w in some], pa.int64()))
+            yield _rows(self.lang, names, pa.array([self.counts[w] for w in some], pa.int64()))
         if words:
             self.counts = Counter()
 
 
-def _rows(lang: str, prefix: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int8), [lang]).cast(pa.string()), prefix, phrase, n], ["lang", "prefix", "phrase", "n"])
+def _rows(lang: str, phrase: pa.Array, n: pa.Array, *prefix: pa.Array) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int8), [lang]).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, phrase, n, *prefix], ["lang", "phrase", "n", "prefix"][: 3 + len(prefix)])
 
 
 class PhraseCount:
@@ -200,7 +201,7 @@ class PhraseCount:
             at = slice(a, a + ROWS)
             words = [names.take(pa.array(w)) for w in self.trie.words(first[at], rest[at])]
             phrase = pc.binary_join_element_wise(*words, " ")
-            yield _rows(self.lang, phrase if self.order < 3 else pc.binary_join_element_wise(*words[:2], " "), phrase, pa.array(counts[at]))
+            yield _rows(self.lang, phrase, pa.array(counts[at]), *([pc.binary_join_element_wise(*words[:2], " ")] if self.order > 2 else []))
 
 
 def _runs(order: int, words, parts, room: int, step: int, burst: int) -> Callable:
@@ -255,8 +256,10 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", least
     counts = total = words = parts = None
     sent = []
     for order in range(1, longest + 1):
-        runs = rows.mapInArrow(_runs(order, words, parts, room, step, burst), RUNS).repartition("lang", "prefix")
-        summed = runs.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("a"))
+        # a phrase of up to two words is its own prefix
+        by = ["lang", "prefix"] if order > 2 else ["lang", "phrase"]
+        runs = rows.mapInArrow(_runs(order, words, parts, room, step, burst), RUNS + ", prefix string" * (order > 2)).repartition(*by)
+        summed = runs.groupBy(*dict.fromkeys([*by, "phrase"])).agg(F.sum("n").alias("a"))
         if order == 1:
             every = staged(summed)
             total = staged(every.groupBy("lang").agg(F.sum("a").alias("n")))
