@@ -289,9 +289,9 @@ def c26(s, d):
     return M.sanitise(maps, ["k", "i"], "m", params(s))[1].groupBy("k").agg(F.sum("ignored").alias("ignored"), F.sum("clamped").alias("clamped"))
 
 
-@query("c41_caveats", sql("with a as (select frame_id, avg(r) as r, avg(g) as g from pixels group by 1) select frame_id, concat_ws('; ', case when r > 0.51 then 'bright red' end, case when g < 0.49 then 'little green' end) as notes from a", "pixels"))
+@query("c41_caveats", sql("with a as (select frame_id, round(avg(r), 9) as r, round(avg(g), 9) as g from pixels group by 1) select frame_id, concat_ws('; ', case when r > 0.51 then 'bright red' end, case when g < 0.49 then 'little green' end) as notes from a", "pixels"))
 def c41(s, d):
-    a = px(s, d).groupBy(*K).agg(F.avg("r").alias("r"), F.avg("g").alias("g"))
+    a = px(s, d).groupBy(*K).agg(*[F.round(F.avg(c), 9).alias(c) for c in "rg"])
     return a.select(*K, M.caveats(a, [(F.col("r") > 0.51, "bright red"), (F.col("g") < 0.49, "little green")]).alias("notes"))
 
 
