@@ -276,14 +276,14 @@ def entity_key(df: DataFrame, known: str, track: str, keep_unknown: bool = True)
 
 def reid_due(df: DataFrame, key: str, order: str, label: str, value: str, interval: int = 45, threshold: float = 0.38, unknown: str = "unknown") -> DataFrame:
     """``df`` with ``due``: a track is looked at when new, ``interval`` rows after the last look, and as long as it is known
-    but the mean of the votes for it is under ``threshold``. Each look is a vote (see identity_vote)."""
+    but the mean of the votes for it, to nine digits, is under ``threshold``. Each look is a vote (see identity_vote)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         due, vote, since, mean = [], Vote(), 0, 0.0
         for l, v in zip(pdf[label], pdf[value]):
             since += 1
-            ask = vote.label is None or since >= interval or (vote.label != unknown and mean < threshold)
+            ask = vote.label is None or since >= interval or (vote.label != unknown and round(mean, 9) < threshold)
             if ask:
                 mean, since = vote.push(l, v), 0
             due.append(ask)

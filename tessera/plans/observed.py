@@ -288,7 +288,7 @@ v as (
                case when due then list_append(vals, confidence)[-5:] else vals end as vals
         from (
           select o.key, o.i, o.label, o.confidence, v.names, v.vals, v.who, v.mean, v.since + 1 as since,
-                 v.who is null or v.since + 1 >= 10 or (v.who <> 'unknown' and v.mean < 0.38) as due
+                 v.who is null or v.since + 1 >= 10 or (v.who <> 'unknown' and round(v.mean, 9) < 0.38) as due
           from v join o on o.key = v.key and o.i = v.i + 1
         )
       )
