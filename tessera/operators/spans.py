@@ -313,10 +313,11 @@ def suppress_overlaps(boxes: DataFrame, keys: list[str], score: str, tie: str, l
 
 
 def top_labels(df: DataFrame, keys: list[str], scores: str, names: list[str], k: int = 3) -> DataFrame:
-    """(keys, label, p, rank): softmax of the score array, the k largest, ties to the earlier label."""
+    """(keys, label, p, rank): softmax of the score array, the k largest scores, ties to the earlier label; a score so far
+    below the largest that its share is 0 keeps its rank."""
     top = F.array_max(scores)
     rows = df.withColumn("e_t", F.transform(scores, lambda x: F.exp(x - top))).withColumn("sum_t", F.aggregate("e_t", F.lit(0.0), lambda s, x: s + x))
-    rows = rows.select(*keys, F.posexplode("e_t").alias("i", "e"), "sum_t")
+    rows = rows.select(*keys, F.posexplode(F.arrays_zip(F.col(scores).alias("x"), F.col("e_t").alias("e"))).alias("i", "o"), "sum_t").select(*keys, "i", "o.x", "o.e", "sum_t")
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("e"), "i"))).where(F.col("rank") <= k)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("x"), "i"))).where(F.col("rank") <= k)
     return rows.select(*keys, label.alias("label"), (F.col("e") / F.col("sum_t")).alias("p"), "rank")

@@ -311,7 +311,7 @@ def o21(s, d):
     return S.suppress_overlaps(b, ["k"], "score", "i")
 
 
-@query("o22_top_labels", "with e as (select event_id, unnest(['a', 'b', 'c', 'd']) as label, unnest([value / 50, (event_id % 5)::double, user_id / 40.0, 1.0]) as x, unnest([1, 2, 3, 4]) as i from events), p as (select event_id, label, i, x, exp(x) / sum(exp(x)) over (partition by event_id) as p from e) select event_id, label, round(p, 5) as p, row_number() over (partition by event_id order by x desc, i) as rank from p qualify rank <= 3")
+@query("o22_top_labels", "with e as (select event_id, unnest(['a', 'b', 'c', 'd']) as label, unnest([value / 50, (event_id % 5)::double, user_id / 40.0, 1.0]) as x, unnest([1, 2, 3, 4]) as i from events), p as (select event_id, label, i, x, exp(x - top) / sum(exp(x - top)) over (partition by event_id) as p from (select *, max(x) over (partition by event_id) as top from e)) select event_id, label, round(p, 5) as p, row_number() over (partition by event_id order by x desc, i) as rank from p qualify rank <= 3")
 def o22(s, d):
     e = view(s, d, "events").select("event_id", F.array(F.col("value") / 50, (F.col("event_id") % 5).cast("double"), F.col("user_id") / 40.0, F.lit(1.0)).alias("x"))
     return S.top_labels(e, ["event_id"], "x", ["a", "b", "c", "d"]).withColumn("p", F.round("p", 5))
