@@ -12,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
-from .picks import knn, passes
+from . import picks
+from .picks import knn
+from .products import matrix, nearest, parted, units
+from .shared import staged
 
 #: Rows a list for the fit at most, lists at most, queries on which probes are chosen at most.
 FIT_ROWS, MOST_LISTS, TRIALS = 64, 65_536, 256
+#: Numbers that a block of rows, each with its lists, holds at most.
+OUT = 1 << 21
 
 
 def list_count(rows: int) -> int:
@@ -51,8 +55,10 @@ def _nearest(centres, most: int) -> Callable:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value
         for part in parts:
-            for a in range(0, part.num_rows, 2048):
-                some = part.slice(a, 2048)
+            width = len(part.columns[-1].flatten()) // max(1, part.num_rows) + len(c)
+            step = max(1, min(2048, OUT // max(1, most * width)))
+            for a in range(0, part.num_rows, step):
+                some = part.slice(a, step)
                 score = _matrix(some.columns[-1]) @ c.T if c.any() else np.zeros((some.num_rows, len(c)))
                 near = np.argsort(-score, axis=1, kind="stable")[:, :most] if most > 1 else np.argmax(score, axis=1)[:, None]
                 at = pa.array(np.repeat(np.arange(some.num_rows), near.shape[1]))
@@ -92,17 +98,30 @@ def build_lists(corpus: DataFrame, path: str, cid: str, vector: str = "embedding
 
 def search_lists(index: Lists, queries: DataFrame, k: int, qid: str, probes: int, vector: str = "embedding") -> DataFrame:
     """(query, id, rank, score): top k by cosine of each query among the rows of its ``probes`` nearest lists. Queries go to
-    the lists, which are parted into passes by list, so that a list is read in one pass and no vector is shuffled."""
+    the tasks in passes of bounded size, each vector once and the lists as places of it; a list's rows meet its queries as
+    products, and no vector is shuffled."""
     q = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("query"), F.col(vector).cast("array<double>").alias("q"))
-    near = _listed(q, index.centres, probes).drop("r")
-    found = []
-    for part in passes(near, "list"):
-        wanted = [r[0] for r in part.select("list").distinct().collect()]
-        scored = index.rows.where(F.col("list").isin(wanted)).join(part, "list").where(F.col("id") != F.col("query"))
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        found.append(scored.select("query", "id", F.round(cosine("v", "q"), 9).alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    kinds = [x.schema[n].dataType.simpleString() for x, n in ((q, "query"), (index.rows, "id"))]
+    found, read = None, set()
+    for part in parted(q, "query", picks.PASS):
+        names, x = part.column("query").to_numpy(), units(matrix(part.column("q")))
+        by_list = _places(x, index.centres, probes)
+        read |= by_list.keys()
+        sent = index.rows.sparkSession.sparkContext.broadcast((names, x, by_list))
+        some = index.rows.where(F.col("list").isin(list(by_list))).mapInArrow(nearest(sent, k), f"query {kinds[0]}, id {kinds[1]}, score double")
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return q.join(index.rows, F.lit(False)).select("query", "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return picks.ranked(found, index.rows.where(F.col("list").isin(list(read))).select("id", "v"), q, k)
+
+
+def _places(x: np.ndarray, centres: np.ndarray, probes: int) -> dict[int, np.ndarray]:
+    """Of each list, the places of the vectors that it is among the ``probes`` nearest lists of."""
+    near = np.concatenate([np.argsort(-(x[a : a + 256] @ centres.T if centres.any() else np.zeros((len(x[a : a + 256]), len(centres)))), axis=1, kind="stable")[:, :probes] for a in range(0, len(x), 256)])
+    at, lists = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+    order = np.argsort(lists, kind="stable")
+    values, first = np.unique(lists[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(at[order], first[1:])))
 
 
 def recall_curve(index: Lists, queries: DataFrame, corpus: DataFrame, k: int, qid: str, cid: str, vector: str = "embedding") -> DataFrame:
@@ -111,7 +130,7 @@ def recall_curve(index: Lists, queries: DataFrame, corpus: DataFrame, k: int, qi
     those of least hash."""
     some = queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(qid), qid).limit(TRIALS)
     exact = knn(some, corpus, k, qid, cid, vector).select("query", "id")
-    lists = _listed(some.select(F.col(qid).alias("query"), F.col(vector).cast("array<double>").alias("q")), index.centres, len(index.centres)).select("query", "list", "r")
+    lists = staged(_listed(some.select(F.col(qid).alias("query"), F.col(vector).cast("array<double>").alias("q")), index.centres, len(index.centres)).select("query", "list", "r"))
     held = exact.join(index.rows.select("id", "list"), "id").join(lists, ["query", "list"]).groupBy("r").agg(F.count(F.lit(1)).alias("hits"))
     spark = index.rows.sparkSession
     sizes = spark.createDataFrame(sorted(index.counts.items()), "list int, n long")

@@ -81,3 +81,14 @@ def test_odd_vectors(spark):
     none = L.build_lists(df.limit(0), folder(spark), "vec_id")
     assert none.total == 0 and L.search_lists(none, df, 1, "vec_id", 1).count() == 0
     assert L.fewest_probes(L.recall_curve(none, df, df.limit(0), 1, "vec_id", "vec_id"))[0] == 1
+
+
+def test_a_block_of_rows_with_all_their_lists_is_bounded(spark):
+    import pyarrow as pa
+
+    class Sent:
+        value = np.eye(64).repeat(8, axis=0)
+
+    part = pa.RecordBatch.from_arrays([pa.array(range(2048)), pa.array(np.random.default_rng(1).normal(size=(2048, 64)).tolist())], ["query", "q"])
+    sizes = [b.num_rows for b in L._nearest(Sent, 512)([part])]
+    assert sum(sizes) == 2048 * 512 and max(sizes) * 64 <= L.OUT
