@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from tessera.operators import frames as O
 from tessera.operators import picks as P
 from tessera.operators import spans as S
 from tessera.plans import registry
@@ -71,3 +72,26 @@ def test_novelty_pairs_no_rows(spark, monkeypatch):
             shots.setdefault(i // 4, []).append(max(float(x[i] @ x[j]) for j in chosen))
         novelty = [min(1.0, max(0.0, 1 - min(b))) for b in shots.values()]
         assert got[v] == (len(novelty), sum(n > 0.15 for n in novelty), round(sum(novelty) / len(novelty), 9))
+
+
+def test_transitions_of_all_keys_are_matched_in_one_pass(spark):
+    rows = [(k, i, (i * 7 + k) % 10 / 10, i % 4 == 0) for k in range(20) for i in range(30)]
+    df = spark.createDataFrame(rows, "key int, frame long, score double, real boolean")
+    out = O.threshold_sweep(df, "key", "frame", "score", "real", (0.2, 0.5))
+    assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.threshold: (r.tp, r.fp, r.fn) for r in out.collect()}
+    for t in (0.2, 0.5):
+        tp = fp = fn = 0
+        for k in range(20):
+            a, b = (cuts([r[1] for r in rows if r[0] == k and not flag(r)]) for flag in (lambda r: r[3], lambda r: r[2] > t))
+            i = j = hit = 0
+            while i < len(a) and j < len(b):
+                late, early = b[j][0] > a[i][1], b[j][1] < a[i][0]
+                hit, i, j = hit + (not late and not early), i + (not early), j + (not late)
+            tp, fp, fn = tp + hit, fp + len(b) - hit, fn + len(a) - hit
+        assert got[t] == (tp, fp, fn)
+
+
+def cuts(off):
+    """Widened transitions between the stretches of the frames ``off``."""
+    return [(x - 0.5, y + 0.5) for x, y in zip(off, off[1:]) if y > x + 1]
