@@ -233,6 +233,10 @@ def mood(df: DataFrame, keys: list[str], axes: list[str], profiles: dict[str, di
     return rows.select(*keys, F.col("s_m")[0]["n"].alias("mood"), F.col("s_m")[0]["c"].alias("closeness"), (F.col("s_m")[0]["c"] - F.col("s_m")[1]["c"]).alias("margin"))
 
 
+#: Centres that are sent to the tasks; of more the rows are shuffled.
+SENT_CENTRES = 600_000
+
+
 def palette(df: DataFrame, keys: list[str], k: int = 6, levels: int = 6, rounds: int = 12, near: float = 0.06) -> DataFrame:
     """(keys, colour, r, g, b, share, saturation, role): the main colours of each group, numbered by share, then luminance.
 
@@ -246,14 +250,17 @@ def palette(df: DataFrame, keys: list[str], k: int = 6, levels: int = 6, rounds:
     centres = staged(ranked.select(*keys, "colour", *"rgb", F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("done")))
     away = lambda x, y: sum(((x[c] - y[c]) * (x[c] - y[c]) for c in "gb"), (x["r"] - y["r"]) * (x["r"] - y["r"]))
     own = {c: F.col(c) for c in "rgb"}
+    df, few = staged(df.select(*keys, *"rgb")), centres.count() <= SENT_CENTRES
     for _ in range(rounds):
         open_ = centres.where("not done")
         if not open_.take(1):
             break
-        lists = open_.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("colour", *"rgb"))).alias("cs"))
-        at = [F.get("cs", F.lit(i)) for i in range(k)]
-        nearest = F.least(*[F.when(c.isNotNull(), F.struct(F.floor(away(own, c) * 1e12 + 0.5).alias("d"), c["colour"].alias("colour"))) for c in at]) if k > 1 else at[0]
-        means = df.join(lists, keys).withColumn("colour", nearest["colour"]).groupBy(*keys, "colour").agg(F.count(F.lit(1)).alias("m"), *[F.avg(c).alias(f"{c}1") for c in "rgb"])
+        # one row of plain columns a group: a distance is worked out once, and code stays short enough to be compiled
+        lists = open_.groupBy(*keys).agg(*[F.max(F.when(F.col("colour") == i, F.col(c))).alias(f"{c}_{i}") for i in range(1, k + 1) for c in "rgb"])
+        rows = df.select(*keys, *"rgb").join(F.broadcast(lists) if few else lists, keys)
+        apart = F.array(*[F.floor(away(own, {c: F.col(f"{c}_{i}") for c in "rgb"}) * 1e12 + 0.5) for i in range(1, k + 1)])
+        nearest = F.array_position(apart, F.array_min(apart)).cast("int")
+        means = rows.groupBy(*keys, nearest.alias("colour")).agg(F.count(F.lit(1)).alias("m"), *[F.avg(c).alias(f"{c}1") for c in "rgb"])
         moved = open_.join(means, [*keys, "colour"], "left").select(*keys, "colour", *[F.coalesce(f"{c}1", c).alias(c) for c in "rgb"], *[F.col(c).alias(f"{c}0") for c in "rgb"], F.coalesce("m", F.lit(0)).alias("n"))
         still = [F.abs(F.col(c) - F.col(f"{c}0")) <= 1e-4 + 1e-5 * F.abs(f"{c}0") for c in "rgb"]
         done = F.bool_and(still[0] & still[1] & still[2]).over(Window.partitionBy(*keys))
