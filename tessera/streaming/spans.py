@@ -104,7 +104,9 @@ def cut_stream(stream: DataFrame, key: str, order: str, sec: str, hist: str, gap
         both = math.sqrt(max(float(x @ x) * float(y @ y), 0.0))
         score = 1 - (float(x @ y) / both if both else 0.0)
         scores = [*scores, score][-last:]
-        limit = max(base, factor * float(np.median(scores)) + offset) if len(scores) >= least else base
+        held = sorted(scores)
+        middle = (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+        limit = max(base, factor * middle + offset) if len(scores) >= least else base
         hit = score >= limit and (cut is None or i - cut >= gap)
         return [h.tolist(), scores, i if hit else cut, now], [(getattr(row, key), i, score)] if hit else []
 

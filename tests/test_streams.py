@@ -132,3 +132,11 @@ def test_processors_need_no_package_on_the_path():
     ordered.by_value(ordered.__name__, T.__name__, __name__)
     out = subprocess.run([sys.executable, "-c", "import pickle, sys; p = pickle.loads(sys.stdin.buffer.read()); print(p.push(None, None)[1].labels)"], input=cloudpickle.dumps(processor), cwd="/", env={"PATH": "/usr/bin:/bin"}, capture_output=True)
     assert out.stdout.strip() == b"[]", out.stderr[-500:]
+
+
+def test_state_is_kept_by_bucket_and_keys_stay_what_they_are(run, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    keys = [None, 2**53 + 1, *range(30)]
+    got, held = run([[(k, i, 10.0 + i, "a", 1.0) for k in keys for i in range(3)], [END], [(k, 9, 1.1e7, "a", 1.0) for k in keys]], lambda s: T.open_spans(s, "k", "sec", "label", 60.0, late=LATE), SCHEMA.replace("k int", "k long"))
+    assert sorted(got.where("label = 'a'").select("k", "n").collect(), key=str) == sorted([(k, 3) for k in keys], key=str)
+    assert held["waiting"] <= 2 and held["at"] == 0
