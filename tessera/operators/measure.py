@@ -61,8 +61,9 @@ def channel_stats(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 def hist(df: DataFrame, keys: list[str], column: str, bins: int, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """(keys, bin, n, p, cdf): equal bins, the last one closed; values outside are left out."""
     c = F.col(column)
-    at = F.least(F.lit(bins - 1), F.floor((c - lo) / (hi - lo) * bins)).cast("int")
-    rows = df.where(c.between(lo, hi)).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    at = F.when(c.between(lo, hi), F.least(F.lit(bins - 1), F.floor((c - lo) / (hi - lo) * bins))).cast("int")
+    # what is outside goes by its count: a condition on the column would be worked out beside the column, several times a row
+    rows = df.groupBy(*keys, at.alias("bin")).agg(F.count(at).alias("n")).where("n > 0")
     w = Window.partitionBy(*keys)
     rows = rows.withColumn("p", F.col("n") / F.sum("n").over(w))
     return rows.withColumn("cdf", F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w))
@@ -90,13 +91,12 @@ def circular_mean(df: DataFrame, keys: list[str], angle: str, weight: Column) ->
 
 def hue_peaks(h: DataFrame, keys: list[str], bins: int, n: int = 3) -> DataFrame:
     """(keys, bin, p, rank): bins not below either neighbour on the circle and above one, the ``n`` largest."""
-    full = h.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(h.select(*keys, "bin", "p"), [*keys, "bin"], "left").na.fill(0.0, ["p"])
-    w = Window.partitionBy(*keys)
-    o = w.orderBy("bin")
-    first, last = F.first("p").over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("p").over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = full.withColumn("before", F.coalesce(F.lag("p").over(o), last)).withColumn("after", F.coalesce(F.lead("p").over(o), first))
-    rows = rows.where((F.col("p") >= F.col("before")) & (F.col("p") >= F.col("after")) & ((F.col("p") > F.col("before")) | (F.col("p") > F.col("after"))))
-    return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("p"), "bin"))).where(F.col("rank") <= n).select(*keys, "bin", "p", "rank")
+    p = F.map_from_entries(F.collect_list(F.struct("bin", "p")))
+    rows = h.groupBy(*keys).agg(p.alias("of_h")).withColumn("p_h", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("of_h", i), F.lit(0.0))))
+    around = F.transform("p_h", lambda x, i: F.struct((-x).alias("less"), i.alias("bin"), x.alias("p"), F.get("p_h", (i + bins - 1) % bins).alias("before"), F.get("p_h", (i + 1) % bins).alias("after")))
+    peaks = F.filter(around, lambda x: (x["p"] >= x["before"]) & (x["p"] >= x["after"]) & ((x["p"] > x["before"]) | (x["p"] > x["after"])))
+    rows = rows.select(*keys, F.posexplode(F.slice(F.array_sort(peaks), 1, n)).alias("i_h", "o"))
+    return rows.select(*keys, "o.bin", "o.p", (F.col("i_h") + 1).alias("rank"))
 
 
 def lab_summary(df: DataFrame, keys: list[str]) -> DataFrame:
