@@ -284,9 +284,10 @@ def c25(s, d):
 
 @query("c26_sanitise", f"with {GP} select k, count(*) filter (param = 'z') as ignored, count(*) filter (param <> 'z' and cur not between lo and hi) as clamped from g left join lim using (param) group by 1")
 def c26(s, d):
-    rows = grades(s, d).groupBy("k", "param").agg(F.collect_list("current").alias("v")).select("k", "param", F.posexplode("v").alias("i", "x"))
-    maps = rows.groupBy("k", "i").agg(F.map_from_entries(F.collect_list(F.struct("param", F.concat(F.col("x").cast("decimal(20,6)").cast("string"), F.lit("K"))))).alias("m"))
-    return M.sanitise(maps, ["k", "i"], "m", params(s))[1].groupBy("k").agg(F.sum("ignored").alias("ignored"), F.sum("clamped").alias("clamped"))
+    text = lambda c: F.concat(F.col(c).cast("decimal(20,6)").cast("string"), F.lit("K"))
+    each = F.create_map(*[x for n, c in (("q", "l_quantity"), ("d", "l_discount"), ("z", "l_tax")) for x in (F.lit(n), text(c))])
+    maps = view(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.map_filter(each, lambda _, x: x.isNotNull()).alias("m"))
+    return M.sanitise(maps, ["k"], "m", params(s))[1]
 
 
 @query("c41_caveats", sql("with a as (select frame_id, round(avg(r), 9) as r, round(avg(g), 9) as g from pixels group by 1) select frame_id, concat_ws('; ', case when r > 0.51 then 'bright red' end, case when g < 0.49 then 'little green' end) as notes from a", "pixels"))
