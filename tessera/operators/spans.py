@@ -248,9 +248,18 @@ def assign_pids(entities: DataFrame, video: str, entity: str, first_seen: str, k
 
 
 def sample_points(spans_of: DataFrame, key: str, start: str, end: str, forced: DataFrame, every: int = 1) -> DataFrame:
-    """(key, at, forced): whole multiples of ``every`` seconds from start to end, with the forced points (key, at) marked."""
-    grid = spans_of.select(key, F.explode(F.sequence(F.ceil(F.col(start) / every).cast("bigint"), F.floor(F.col(end) / every).cast("bigint"))).alias("i")).select(key, (F.col("i") * every).cast("double").alias("at"), F.lit(False).alias("forced"))
-    return grid.unionByName(forced.select(key, F.col("at").cast("double").alias("at"), F.lit(True).alias("forced"))).groupBy(key, "at").agg(F.max("forced").alias("forced"))
+    """(key, at, forced): whole multiples of ``every`` seconds from start to end, with the forced points (key, at) marked. A key's
+    ends and forced points meet in one row, so the points themselves are never shuffled; a row's points are in memory at once."""
+    lo, hi = F.ceil(F.col(start) / every).cast("bigint"), F.floor(F.col(end) / every).cast("bigint")
+    rows = spans_of.select(key, F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi"))).alias("span_s"), F.lit(None).cast("struct<at:double>").alias("at_s"))
+    # a struct, as a point may be null; + 0.0, as -0.0 is 0.0
+    points = forced.select(key, F.lit(None).cast(rows.schema["span_s"].dataType).alias("span_s"), F.struct((F.col("at").cast("double") + 0.0).alias("at")).alias("at_s"))
+    rows = rows.unionByName(points).groupBy(key).agg(F.collect_set("span_s").alias("spans_s"), F.collect_set("at_s").alias("ats_s"))
+    whole = F.flatten(F.transform("spans_s", lambda x: F.sequence(x["lo"], x["hi"])))
+    ats = F.transform("ats_s", lambda x: x["at"])
+    hits = F.filter(F.transform(F.filter(ats, lambda x: F.abs(x) < 2.0**53), lambda x: F.floor(x / every)), lambda i: F.array_contains(ats, (i * every).cast("double")))
+    out = F.concat(F.transform(F.array_except(whole, hits), lambda i: F.struct((i * every).cast("double").alias("at"), F.lit(False).alias("forced"))), F.transform(ats, lambda x: F.struct(x.alias("at"), F.lit(True).alias("forced"))))
+    return rows.select(key, F.explode(out).alias("o_s")).select(key, "o_s.at", "o_s.forced")
 
 
 def emit_changes(points: DataFrame, key: str, at: str, label: str, forced: str, window: float = 5.0) -> DataFrame:
