@@ -55,11 +55,19 @@ def first_edges(edges: DataFrame, keys: list[str], order: str, tie: str) -> Data
     return edges.groupBy(*keys).agg(F.min(F.struct(order, tie)).alias("f")).select(*keys, f"f.{tie}", f"f.{order}")
 
 
+#: Rows in a partition of cooccurrence(): more rows go into more partitions, so a task holds the same however many there are.
+COOCCURRING = 400_000
+
+
 def cooccurrence(df: DataFrame, frame: str, entity: str) -> DataFrame:
     """(a, b, n): pairs of distinct entities of one frame, a < b, with the number of frames; a frame lists few entities."""
-    rows = df.select(frame, entity).distinct()
-    b = rows.withColumnRenamed(entity, "b")
-    return rows.withColumnRenamed(entity, "a").join(b, frame).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(frame, entity).where(F.col(frame).isNotNull() & F.col(entity).isNotNull())
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // COOCCURRING))
+    held = rows.repartition(parts, frame).groupBy(frame).agg(F.array_sort(F.collect_set(entity)).alias("held_c")).where(F.size("held_c") > 1)
+    firsts = held.select("held_c", F.posexplode("held_c").alias("i_c", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("held_c", F.col("i_c") + 2, F.size("held_c"))).alias("b"))
+    # few pairs come twice in one task, so they are counted after the shuffle only
+    return pairs.repartition(parts, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sanitise_relation(c: Column) -> Column:
