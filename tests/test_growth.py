@@ -77,5 +77,5 @@ def test_frame_labels_take_little_room_in_files(spark, tmp_path):
     O.frame_labels(spark.createDataFrame(scenes, "k long, start_frame long, end_frame long"), "k").write.parquet(str(tmp_path / "labels"))
     rows = spark.read.parquet(str(tmp_path / "labels"))
     assert sorted(tuple(r) for r in rows.collect()) == labels(scenes)
-    # in order of key and frame a label takes nearly four bytes
+    # in order of key and frame a label takes nearly two bytes here
     assert sum(f.stat().st_size for f in (tmp_path / "labels").glob("*.parquet")) < rows.count()
